@@ -113,7 +113,7 @@ tx AS (SELECT session_id, event_id, t_ms // 1000 AS second, CASE
    ELSE printf('%02d:%02d', t_ms // 60000, t_ms // 1000 % 60) END AS txt, (event_id * 7919 % 1000) / 1000.0 AS confidence FROM sig),
 cl AS (SELECT *, regexp_replace(txt, '[^0-9:]', '', 'g') AS x FROM tx),
 em AS (SELECT *, list_filter(list_transform(range(1, greatest(length(x) - 4, 1) + 1), lambda i: substr(x, i, 5)),
-   lambda s: regexp_full_match(s, '[0-9]{2}:[0-9]{2}') AND CAST(substr(s, 4, 2) AS INT) < 60) AS hits,
+   lambda s: regexp_full_match(s, '[0-9]{2}:[0-9]{2}') AND TRY_CAST(substr(s, 4, 2) AS INT) < 60) AS hits,
    regexp_full_match(x, '[0-9]{2}:[0-9]{2}') AND TRY_CAST(substr(x, 4, 2) AS INT) < 60 AS exact FROM cl),
 nm AS (SELECT *, CASE WHEN txt IS NULL THEN 'missing_text' WHEN exact THEN 'exact_cleaned_mm_ss' WHEN len(hits) = 1 THEN 'unique_embedded_mm_ss'
    WHEN len(hits) > 1 THEN 'ambiguous_embedded_mm_ss' ELSE 'no_valid_mm_ss' END AS policy,
