@@ -114,3 +114,9 @@ def interval_bounds(text: Column) -> Column:
     known = start.isNotNull() & end.isNotNull()
     return F.struct(F.when(known, start).alias("start_s"), F.when(known, end).alias("end_s"),
                     F.when(known, end - start).alias("duration_s"))
+
+
+def mean_median(values: Column) -> Column:
+    """Median of an array; the two middle values are averaged."""
+    ordered = F.array_sort(values)
+    return F.when(F.size(values) > 0, (lower_median(ordered) + upper_median(ordered)) / 2)
