@@ -180,7 +180,7 @@ def _cut_index(by: tuple[str, ...]) -> Column:
     """Position of a row among the pieces of its level; a cut on the tie-breaker applies to one instant only."""
     return F.expr(
         f"CASE WHEN NOT _on_tie THEN (`{by[0]}` - _lo) div _width WHEN `{by[0]}` < _at THEN -1L "
-        f"WHEN `{by[0]}` > _at THEN {1 << 60}L ELSE (`{by[-1]}` - _lo) div _width END")
+        f"WHEN `{by[0]}` > _at THEN {1 << 60}L ELSE (`{by[1]}` - _lo) div _width END")
 
 
 _probed: dict[tuple, TimeOrder] = {}
@@ -190,13 +190,13 @@ def time_order(df: DataFrame, keys: str | Sequence[str] = "session_id",
                by: Sequence[str] = ("t_ms", "event_id"), limit: int | None = None) -> TimeOrder:
     """Count rows per session and decide where large sessions are cut.
 
-    ``by[0]`` must be integral; ``by[-1]`` is the integral tie-breaker and is used to cut a single instant
+    ``by[0]`` and ``by[1]`` must be integral; the second and is used to cut a single instant
     that alone holds too many rows.  The probe reads only the key and order columns.
     """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     by = tuple(by)
     limit = limit or group_row_limit(df)
-    slim = df.select(*keys, *dict.fromkeys((by[0], by[-1])))
+    slim = df.select(*keys, *dict.fromkeys(by[:2]))
     token = (id(df.sparkSession), slim.semanticHash(), keys, by, limit)
     if token not in _probed:
         _probed[token] = _probe(slim, keys, by, limit)
@@ -206,7 +206,7 @@ def time_order(df: DataFrame, keys: str | Sequence[str] = "session_id",
 def _probe(slim: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], limit: int) -> TimeOrder:
     order = TimeOrder(keys, by)
     spark = slim.sparkSession
-    first, tie = F.col(by[0]), F.col(by[-1])
+    first, tie = F.col(by[0]), F.col(by[1])
     parts: list[str] = []
     rows = slim
     for level in range(DEPTH):
