@@ -190,8 +190,8 @@ def time_order(df: DataFrame, keys: str | Sequence[str] = "session_id",
                by: Sequence[str] = ("t_ms", "event_id"), limit: int | None = None) -> TimeOrder:
     """Count rows per session and decide where large sessions are cut.
 
-    ``by[0]`` and ``by[1]`` must be integral; the second and is used to cut a single instant
-    that alone holds too many rows.  The probe reads only the key and order columns.
+    ``by[0]`` and ``by[1]`` must be integral; the second is used to cut an instant that alone holds too many rows.
+    The probe reads only the key and order columns.
     """
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     by = tuple(by)
