@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("windows", "clock", "counter", "interval", "stream", "event", "contract", "release", "inventory",
-           "evaluation", "detection", "pointprocess", "machine", "source")
+           "evaluation", "classifier", "detection", "pointprocess", "machine", "source")
 
 
 def load_all() -> None:
