@@ -92,7 +92,7 @@ def nearest_votes(queries: DataFrame, reference: DataFrame, columns: Sequence[st
 
 def stratified_folds(rows: DataFrame, label: str, ident: str, folds: int = 3) -> DataFrame:
     """Fold number per row; every class is dealt out evenly in hash order."""
-    d = rows.withColumn("_h", F.xxhash64(F.col(ident)))
+    d = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.col(ident)), 2))
     order = time_order(d, label, ("_h", ident))
     d = order.untag(order.running(order.tag(d), _n=running_sum(F.lit(1).cast("long"))))
     return d.withColumn("fold", (F.col("_n") % folds).cast("int")).drop("_h", "_n")
