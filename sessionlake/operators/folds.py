@@ -86,7 +86,9 @@ def session_fold(df: DataFrame, order: TimeOrder, columns: Sequence[str], step:
 
     def run(rows: DataFrame, states_only: bool, schema: T.StructType) -> DataFrame:
         sort = [*keys, *([_PIECE] if order.split else []), *order.by]
-        ready = rows.repartition(*keys, "_group").sortWithinPartitions(*sort)
+        # the step functions are the cost here, so keep every shuffle partition instead of letting small ones merge
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ready = rows.repartition(tasks, *keys, "_group").sortWithinPartitions(*sort)
         slim = ready.select(*keys, "_group", "_start", "_last",
                             *[F.col(name).alias(f"_c{i}") for i, name in enumerate(columns)])
         walk = _walker(keys, [f"_c{i}" for i in range(len(columns))], step, finish, initial, schema, states_only)

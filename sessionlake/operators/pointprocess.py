@@ -22,6 +22,15 @@ BLOCK = 10_000
 SAME_INSTANT = 1e-4
 
 
+def literal_rows(spark, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A few driver-side numbers as an inline table."""
+    names = [part.split()[0] for part in ddl.split(", ")]
+    kinds = [part.split()[1] for part in ddl.split(", ")]
+    cell = lambda value, kind: f"CAST('{value}' AS {kind})"
+    values = ", ".join("(" + ", ".join(cell(v, k) for v, k in zip(row, kinds)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def column_roles(sheet: DataFrame) -> DataFrame:
     """Role of every column of a coded sheet from its name, and for the rest from the share of numeric cells."""
     patterns = {"rater": "rater|coder|observer", "timestamp": "time|stamp|interval", "notes": "note|notice|comment|qualitative"}
@@ -169,11 +178,12 @@ def fit_hawkes(events: DataFrame, series: str, session: str, *, end_ms: int, bet
         kept: dict[tuple, tuple] = {}
         move = {key: (0.0, 0.0) for key in params}
         for _ in range(steps):
-            table = spark.createDataFrame([(*key, *value) for key, value in params.items()], f"{series} {h.schema[series].dataType.simpleString()}, beta double, mu double, alpha double")
+            table = literal_rows(spark, [(*key, *value) for key, value in params.items()], f"{series} {h.schema[series].dataType.simpleString()}, beta double, mu double, alpha double")
             rate = F.col("mu") + F.col("alpha") * F.col("r")
             sums = h.join(F.broadcast(table), [series, "beta"]).groupBy(series, "beta").agg(
                 F.sum(F.log(rate)).alias("l"), F.sum(1 / rate).alias("g0"), F.sum(F.col("r") / rate).alias("g1"), F.sum(1 / (rate * rate)).alias("h00"),
                 F.sum(F.col("r") / (rate * rate)).alias("h01"), F.sum(F.col("r") * F.col("r") / (rate * rate)).alias("h11")).collect()
+            settled = True
             for row in sums:
                 key = (row[series], row["beta"])
                 mu, alpha = params[key]
@@ -190,7 +200,11 @@ def fit_hawkes(events: DataFrame, series: str, session: str, *, end_ms: int, bet
                     else:
                         move[key] = (g0 / row["h00"], 0.0)
                 _, mu, alpha = kept[key]
-                params[key] = (min(max(mu + move[key][0], 0.2 * mu), 5 * mu), min(max(alpha + move[key][1], 1e-6), 0.999))
+                following = (min(max(mu + move[key][0], 0.2 * mu), 5 * mu), min(max(alpha + move[key][1], 1e-6), 0.999))
+                settled = settled and abs(following[0] - mu) <= 1e-6 * mu and abs(following[1] - alpha) <= 1e-6
+                params[key] = following
+            if settled:
+                break
         for (name, beta), (value, mu, alpha) in kept.items():
             if name not in best or value > best[name][3]:
                 best[name] = (mu, alpha, beta, value, sizes[(name, beta)][0])
@@ -217,7 +231,7 @@ def fit_multivariate(events: DataFrame, kind: str, session: str, kinds: Sequence
     alpha = [[0.05] * d for _ in kinds]
     value = -math.inf
     for _ in range(steps):
-        table = spark.createDataFrame([(name, mu[i], *alpha[i]) for i, name in enumerate(kinds)], f"{kind} string, mu double, " + ", ".join(f"a{j} double" for j in range(d)))
+        table = literal_rows(spark, [(name, mu[i], *alpha[i]) for i, name in enumerate(kinds)], f"{kind} string, mu double, " + ", ".join(f"a{j} double" for j in range(d)))
         rate = F.col("mu") + sum((F.col(f"a{j}") * beta * F.col(f"h{j}") for j in range(1, d)), F.col("a0") * beta * F.col("h0"))
         sums = h.join(F.broadcast(table), kind).groupBy(kind).agg(F.sum(F.log(rate)).alias("l"), F.sum(F.col("mu") / rate).alias("b"),
                                                                 *[F.sum(F.col(f"a{j}") * beta * F.col(f"h{j}") / rate).alias(f"t{j}") for j in range(d)]).collect()
