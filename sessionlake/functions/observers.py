@@ -20,11 +20,12 @@ def register_observer(name: str, observer: Observer) -> None:
 
 
 def observe(features: DataFrame, name: str) -> DataFrame:
-    """Apply a registered detector to a feature table, one Arrow batch at a time."""
+    """Apply a registered detector to a feature table, one Arrow batch at a time; columns it leaves out are NULL."""
     observer = OBSERVERS[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield observer(batch)
+            rows = observer(batch).reindex(columns=OBSERVATION_SCHEMA.names).astype(object)
+            yield rows.where(rows.notna(), None)
 
     return features.mapInPandas(run, OBSERVATION_SCHEMA)

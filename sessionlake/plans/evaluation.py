@@ -99,29 +99,29 @@ def wilson_bounds(spark, folder):
 
 
 _RATIO_SQL = """
-ra AS (SELECT session_id, 0.3 + value / 100 AS gain FROM ref WHERE strict_color = 'blue'),
-rb AS (SELECT session_id, round(gain / CASE WHEN gain < 1.5 THEN 1.0 ELSE 2.0 END, 4) AS ratio FROM ra WHERE gain / CASE WHEN gain < 1.5 THEN 1.0 ELSE 2.0 END BETWEEN 0.65 AND 1.40),
-rm AS (SELECT count(*) AS n, quantile_cont(ratio, 0.5) AS med FROM rb)"""
+ra AS (SELECT split, 0.3 + value / 100 AS gain FROM ref WHERE strict_color = 'blue'),
+rb AS (SELECT split, round(gain / CASE WHEN gain < 1.5 THEN 1.0 ELSE 2.0 END, 4) AS ratio FROM ra WHERE gain / CASE WHEN gain < 1.5 THEN 1.0 ELSE 2.0 END BETWEEN 0.65 AND 1.40),
+rm AS (SELECT split, count(*) AS n, CASE WHEN count(*) >= 10 THEN quantile_cont(ratio, 0.5) ELSE 1.0 END AS factor FROM rb GROUP BY split)"""
 
 
 def _ratios(spark, folder):
     gain = 0.3 + F.col("value") / 100
     ratio = gain / F.when(gain < 1.5, 1.0).otherwise(2.0)
     return pickups(spark, folder).filter("strict_color = 'blue'").withColumn("ratio", ratio).filter(F.col("ratio").between(0.65, 1.40)).select(
-        F.lit(1).alias("all"), F.round("ratio", 4).alias("ratio"))
+        "split", F.round("ratio", 4).alias("ratio"))
 
 
 @query("growth_correction", f"""
 WITH {SIGNAL_SQL}, {_EVENT_SQL}, {_RATIO_SQL}
-SELECT n AS samples, round(CASE WHEN n >= 10 THEN med ELSE 1.0 END, 6) AS factor, round((SELECT quantile_cont(round(abs(ratio - (SELECT CASE WHEN n >= 10 THEN med ELSE 1.0 END FROM rm)), 6), 0.5) FROM rb), 6) AS mad FROM rm""")
+SELECT split, n AS samples, round(factor, 6) AS factor, round(quantile_cont(round(abs(ratio - factor), 6), 0.5), 6) AS mad FROM rb JOIN rm USING (split) GROUP BY split, n, factor""")
 def growth_correction(spark, folder):
-    """Median of isolated ratios and their median absolute deviation."""
+    """Median of isolated ratios and their median absolute deviation, per split."""
     rows = _ratios(spark, folder)
-    centre = binning.group_quantiles(rows, ["all"], "ratio", {"med": 0.5}).join(rows.groupBy("all").agg(F.count(F.lit(1)).alias("samples")), "all")
+    centre = binning.group_quantiles(rows, ["split"], "ratio", {"med": 0.5}).join(rows.groupBy("split").agg(F.count(F.lit(1)).alias("samples")), "split")
     centre = centre.withColumn("factor", F.when(F.col("samples") >= 10, F.col("med")).otherwise(1.0))
-    gaps = rows.join(F.broadcast(centre), "all").select("all", F.round(F.abs(F.col("ratio") - F.col("factor")), 6).alias("gap"))
-    mad = binning.group_quantiles(gaps, ["all"], "gap", {"mad": 0.5}, scale=1_000_000)
-    return centre.join(mad, "all").select("samples", F.round("factor", 6).alias("factor"), F.round("mad", 6).alias("mad"))
+    gaps = rows.join(F.broadcast(centre), "split").select("split", F.round(F.abs(F.col("ratio") - F.col("factor")), 6).alias("gap"))
+    mad = binning.group_quantiles(gaps, ["split"], "gap", {"mad": 0.5}, scale=1_000_000)
+    return centre.join(mad, "split").select("split", "samples", F.round("factor", 6).alias("factor"), F.round("mad", 6).alias("mad"))
 
 
 @query("rolling_growth")

@@ -9,22 +9,30 @@ EVIDENCE_GRADES = ("A", "B", "C", "D", "unresolved")
 PUBLICATION_STATUSES = ("auto_accepted", "needs_review", "unresolved")
 TEMPORAL_TYPES = ("point", "interval", "state", "counter")
 
-EVIDENCE = T._parse_datatype_string(
-    "array<struct<source_artifact: string, source_record_key: string, modalities: array<string>, details: map<string, string>>>")
-
-EVENT_SCHEMA = T._parse_datatype_string(
-    "event_id string, video_asset_id string, session_id long, event_family string, event_type string, time_lower_ms long, "
-    "anchor_time_ms long, time_upper_ms long, temporal_precision string, evidence_grade string, publication_status string, "
-    "inference_method string, processing_run_id string, frame_number long, game_time_ms long, character_level long, item_name string, "
-    "item_type string, action string, acquisition_source string, quantity double, quantity_min double, quantity_max double, unit string, "
-    "attributes map<string, string>").add("evidence", EVIDENCE)
-
-OBSERVATION_SCHEMA = T._parse_datatype_string(
-    "observation_id string, video_asset_id string, detector_name string, detector_version string, observation_type string, "
-    "frame_number long, media_time_ms long, visibility string, evidence_grade string, value_num double, value_text string, "
-    "value_bool boolean, source_artifact string, attributes map<string, string>")
-
-SIGNAL_SCHEMA = T._parse_datatype_string(
-    "observation_id string, video_asset_id string, session_id long, observable_code string, time_lower_ms long, time_upper_ms long, "
-    "temporal_precision string, visibility string, evidence_grade string, observed boolean, source_artifact string, "
-    "source_record_key string, numeric_value double, text_value string, unit string, frame_number long, attributes map<string, string>")
+_TEXT, _LONG, _DOUBLE, _BOOL = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
+_TEXTS = T.MapType(_TEXT, _TEXT)
+
+
+def _table(**columns: str) -> T.StructType:
+    """Fields by type, each a space-separated list of names in table order."""
+    kinds = {"text": _TEXT, "long": _LONG, "double": _DOUBLE, "bool": _BOOL, "map": _TEXTS}
+    return T.StructType([T.StructField(name, kinds[kind.split("_")[0]]) for kind, names in columns.items() for name in names.split()])
+
+
+EVIDENCE = T.ArrayType(T.StructType([
+    T.StructField("source_artifact", _TEXT), T.StructField("source_record_key", _TEXT), T.StructField("modalities", T.ArrayType(_TEXT)),
+    T.StructField("details", _TEXTS)]))
+
+EVENT_SCHEMA = _table(
+    text_1="event_id video_asset_id", long_1="session_id", text_2="event_family event_type", long_2="time_lower_ms anchor_time_ms time_upper_ms",
+    text_3="temporal_precision evidence_grade publication_status inference_method processing_run_id", long_3="frame_number game_time_ms character_level",
+    text_4="item_name item_type action acquisition_source", double_1="quantity quantity_min quantity_max", text_5="unit", map_1="attributes").add("evidence", EVIDENCE)
+
+OBSERVATION_SCHEMA = _table(
+    text_1="observation_id video_asset_id detector_name detector_version observation_type", long_1="frame_number media_time_ms",
+    text_2="visibility evidence_grade", double_1="value_num", text_3="value_text", bool_1="value_bool", text_4="source_artifact", map_1="attributes")
+
+SIGNAL_SCHEMA = _table(
+    text_1="observation_id video_asset_id", long_1="session_id", text_2="observable_code", long_2="time_lower_ms time_upper_ms",
+    text_3="temporal_precision visibility evidence_grade", bool_1="observed", text_4="source_artifact source_record_key", double_1="numeric_value",
+    text_5="text_value unit", long_3="frame_number", map_1="attributes")

@@ -24,20 +24,25 @@ def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], co
     schema = T.StructType(key_fields + T._parse_datatype_string(out_fields).fields)
     names = [field.name for field in schema.fields]
 
-    def plain(value: Any) -> Any:
+    whole = {name for name in (*order, *columns) if isinstance(stream.schema[name].dataType, T.IntegralType)}
+
+    def plain(name: str, value: Any) -> Any:
+        """Python value of a cell; pandas turns whole numbers next to blanks into floats."""
         value = value.item() if hasattr(value, "item") else value
-        return None if value is None or value != value or value is pd.NaT else value
+        if value is None or value != value or value is pd.NaT:
+            return None
+        return int(value) if name in whole else value
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = json.loads(state.get[0]) if state.exists else {"state": None, "at": None}
         rows = pd.concat(list(batches), ignore_index=True).sort_values(list(order), kind="stable")
         out: list[tuple] = []
         for place, body in zip(rows[list(order)].itertuples(index=False), rows[list(columns)].itertuples(index=False)):
-            at = [plain(v) for v in place]
+            at = [plain(name, v) for name, v in zip(order, place)]
             if saved["at"] is not None and at < saved["at"]:
                 continue
             saved["at"] = at
-            saved["state"], made = step(saved["state"], tuple(plain(v) for v in body))
+            saved["state"], made = step(saved["state"], tuple(plain(name, v) for name, v in zip(columns, body)))
             out.extend((*key, *row) for row in made)
         state.update((json.dumps(saved),))
         if out:
