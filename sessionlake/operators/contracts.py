@@ -140,3 +140,43 @@ def selection_exclusion(cursor_score: Column, owned: Column, level: Column, maxi
     """Why a suggested selection is impossible, or NULL."""
     return (F.when(cursor_score < cursor_threshold, "selection_pointer_unconfirmed").when(owned & maximum.isNotNull() & (level >= maximum), "item_already_at_normal_max")
             .when(~owned & (owned_items >= 6) & needs_review, "low_confidence_beyond_standard_slots"))
+
+
+def pickup_composition(c: dict[str, Column]) -> Column:
+    """Struct ``(blue, green, red, unresolved, evidence, confidence, reasons)`` of one experience update.
+
+    Trajectories outrank disappearances, these outrank a single blue-sized step, and anything else stays unresolved.
+    ``c``: ``boundary, full_from_level, trajectories_*, disappeared_*, trajectory_score, disappeared_score, weak_accepted,
+    hint, saturated, step_ratio, weak_template``.
+    """
+    colours = COLOURS[:3]
+    tracked = {name: c[f"trajectories_{name}"] for name in colours}
+    gone = {name: c[f"disappeared_{name}"] for name in colours}
+    total = lambda counts: sum((counts[name] for name in colours[1:]), counts[colours[0]])
+    by_track = ~c["boundary"] & (total(tracked) > 0)
+    by_sight = ~c["boundary"] & ~by_track & (total(gone) > 0)
+    by_step = ~c["boundary"] & ~by_track & ~by_sight & ~c["saturated"] & (c["step_ratio"] <= 1.60)
+    open_case = ~c["boundary"] & ~by_track & ~by_sight & ~by_step
+    merged = {name: F.when(by_track, F.greatest(tracked[name], gone[name])).when(by_sight, gone[name])
+              .when(by_step & F.lit(name == "blue"), 1).otherwise(0).cast("long") for name in colours}
+    count = total(merged)
+    shown = F.coalesce(*[F.when((c["hint"] == name) & (merged[name] > 0), F.lit(True)) for name in colours], F.lit(False))
+    conflict = (by_track | by_sight) & (c["hint"] != "unknown") & ~shown
+    weak = by_sight & c["weak_accepted"]
+    base = (F.when(by_track, F.least(F.lit(0.98), 0.78 + 0.10 * c["trajectory_score"] + 0.03 * count))
+            .when(by_sight, F.least(F.lit(0.98), 0.72 + 0.08 * count + 0.12 * c["disappeared_score"]))
+            .when(by_step, 0.48).when(open_case, 0.20).otherwise(0.0))
+    confidence = F.when(conflict, F.least(base, F.lit(0.72))).otherwise(base)
+    confidence = F.when(weak, F.least(confidence, F.lit(0.68))).otherwise(confidence)
+    evidence = (F.when(c["boundary"], "level_up_boundary_pickup_count_unobserved").when(by_track, "visual_trajectory")
+                .when(weak, "visual_disappearance_weak").when(by_sight, "visual_disappearance").when(by_step, "xp_single_step_blue_fallback")
+                .otherwise("xp_confirmed_color_ambiguous"))
+    reasons = F.concat_ws(
+        "|", F.when(c["boundary"], F.when(c["full_from_level"], "xp_bar_full_inferred_from_level_change").otherwise("level_up_boundary_needs_visual_review")),
+        F.when(by_track & (count > 1), "multiple_trajectory_pickups_in_one_xp_update"), F.when(weak, "weak_visual_candidate_confirmed_by_single_xp_step"),
+        F.when(by_sight & (count > 1), "multiple_sprites_disappeared_in_one_xp_update"), F.when(conflict, "visual_color_differs_from_merged_xp_value_band"),
+        F.when(by_step, "blue_sized_xp_step_with_hidden_sprite"),
+        F.when(open_case, F.when(c["saturated"], "bar_saturated_and_no_disappearing_sprite").otherwise("merged_or_high_value_xp_jump_without_direct_color")),
+        F.when(~c["boundary"] & c["weak_template"], "weak_template_match"))
+    return F.struct(*[merged[name].alias(name) for name in colours], F.when(open_case, 1).otherwise(0).cast("long").alias("unresolved"),
+                    evidence.alias("evidence"), confidence.alias("confidence"), reasons.alias("reasons"))

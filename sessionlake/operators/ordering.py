@@ -228,6 +228,10 @@ def _probe(slim: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], limit: i
         while len(found) > MAX_CUT_ROWS:
             floor, limit = floor * 8, limit * 8
             found = stats.filter(F.col("_n") > floor).limit(MAX_CUT_ROWS + 1).collect()
+        if level == 0 and found:
+            # pieces are broadcast and, in folds, listed on the driver: keep their number bounded
+            limit = max(limit, -(-sum(row["_n"] for row in found) // MAX_CUT_ROWS))
+            found = [row for row in found if row["_n"] > limit]
         table = []
         for row in found:
             on_tie = row["_hi"] == row["_lo"]

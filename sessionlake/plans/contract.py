@@ -413,3 +413,115 @@ def clock_observations(spark, folder):
 WITH {_LEDGER_SQL} SELECT state_source AS status, count(*) AS n, count(*) FILTER (NOT timer_observed) AS unread FROM led GROUP BY ALL""")
 def clock_issue_rows(spark, folder):
     return hud_ledger(spark, folder).groupBy(F.col("state_source").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("timer_observed")).alias("unread"))
+
+
+_LADDER_SQL = """
+ld AS (SELECT event_id, event_type = 'signup' AND k % 5 = 0 AS bd, k % 2 = 0 AS fl, CASE WHEN k % 3 = 0 THEN event_id % 3 ELSE 0 END AS tb, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS tg, 0 AS tr, CASE WHEN k % 5 = 1 THEN 1 ELSE 0 END AS db, CASE WHEN k % 5 = 2 THEN 2 ELSE 0 END AS dg,
+  CASE WHEN k = 99 THEN 1 ELSE 0 END AS dr, (60 + k % 40) / 100.0 AS ts, (70 + event_id % 30) / 100.0 AS ds, k % 10 = 1 AS wa, CASE WHEN value < 30 THEN 'blue' WHEN value < 110 THEN 'green' WHEN value < 150 THEN 'red' ELSE 'unknown' END AS hint, k >= 95 AS sat, value / 30 AS ratio, event_id % 8 = 0 AS wt FROM sig),
+l1 AS (SELECT *, NOT bd AND tb + tg + tr > 0 AS bt, NOT bd AND NOT (tb + tg + tr > 0) AND db + dg + dr > 0 AS bs FROM ld),
+l2 AS (SELECT *, NOT bd AND NOT bt AND NOT bs AND NOT sat AND ratio <= 1.6 AS bp FROM l1), l3 AS (SELECT *, NOT bd AND NOT bt AND NOT bs AND NOT bp AS oc FROM l2),
+l4 AS (SELECT *, CAST(CASE WHEN bt THEN greatest(tb, db) WHEN bs THEN db WHEN bp THEN 1 ELSE 0 END AS BIGINT) AS blue, CAST(CASE WHEN bt THEN greatest(tg, dg) WHEN bs THEN dg ELSE 0 END AS BIGINT) AS green, CAST(CASE WHEN bt THEN greatest(tr, dr) WHEN bs THEN dr ELSE 0 END AS BIGINT) AS red FROM l3),
+l5 AS (SELECT *, blue + green + red AS n, (bt OR bs) AND hint <> 'unknown' AND NOT ((hint = 'blue' AND blue > 0) OR (hint = 'green' AND green > 0) OR (hint = 'red' AND red > 0)) AS cf, bs AND wa AS wk FROM l4),
+l6 AS (SELECT *, CASE WHEN bt THEN least(0.98, 0.78 + 0.10 * ts + 0.03 * n) WHEN bs THEN least(0.98, 0.72 + 0.08 * n + 0.12 * ds) WHEN bp THEN 0.48 WHEN oc THEN 0.20 ELSE 0.0 END AS b0 FROM l5)"""
+
+
+@query("pickup_composition", f"""
+WITH {SIGNAL_SQL}, {_LADDER_SQL}
+SELECT event_id, blue, green, red, CAST(CASE WHEN oc THEN 1 ELSE 0 END AS BIGINT) AS unresolved, CASE WHEN bd THEN 'level_up_boundary_pickup_count_unobserved' WHEN bt THEN 'visual_trajectory' WHEN wk THEN 'visual_disappearance_weak' WHEN bs THEN 'visual_disappearance'
+  WHEN bp THEN 'xp_single_step_blue_fallback' ELSE 'xp_confirmed_color_ambiguous' END AS evidence, round(CAST(CASE WHEN wk THEN least(0.68, CASE WHEN cf THEN least(b0, 0.72) ELSE b0 END) WHEN cf THEN least(b0, 0.72) ELSE b0 END AS DOUBLE), 6) AS confidence,
+  concat_ws('|', CASE WHEN bd THEN CASE WHEN fl THEN 'xp_bar_full_inferred_from_level_change' ELSE 'level_up_boundary_needs_visual_review' END END, CASE WHEN bt AND n > 1 THEN 'multiple_trajectory_pickups_in_one_xp_update' END, CASE WHEN wk THEN 'weak_visual_candidate_confirmed_by_single_xp_step' END,
+    CASE WHEN bs AND n > 1 THEN 'multiple_sprites_disappeared_in_one_xp_update' END, CASE WHEN cf THEN 'visual_color_differs_from_merged_xp_value_band' END, CASE WHEN bp THEN 'blue_sized_xp_step_with_hidden_sprite' END,
+    CASE WHEN oc THEN CASE WHEN sat THEN 'bar_saturated_and_no_disappearing_sprite' ELSE 'merged_or_high_value_xp_jump_without_direct_color' END END, CASE WHEN NOT bd AND wt THEN 'weak_template_match' END) AS reasons FROM l6""")
+def pickup_composition(spark, folder):
+    """Composition, confidence and review reasons of every experience update."""
+    k, e, value = F.col("k"), F.col("event_id"), F.col("value")
+    flag = lambda condition, n: F.when(condition, n).otherwise(0).cast("long")
+    c = {"boundary": (F.col("event_type") == "signup") & (k % 5 == 0), "full_from_level": k % 2 == 0, "trajectories_blue": F.when(k % 3 == 0, e % 3).otherwise(0).cast("long"),
+         "trajectories_green": flag(k % 7 == 0, 1), "trajectories_red": flag(F.lit(False), 1), "disappeared_blue": flag(k % 5 == 1, 1), "disappeared_green": flag(k % 5 == 2, 2),
+         "disappeared_red": flag(k == 99, 1), "trajectory_score": (60 + k % 40) / 100.0, "disappeared_score": (70 + e % 30) / 100.0, "weak_accepted": k % 10 == 1,
+         "hint": F.when(value < 30, "blue").when(value < 110, "green").when(value < 150, "red").otherwise("unknown"), "saturated": k >= 95, "step_ratio": value / 30, "weak_template": e % 8 == 0}
+    d = signals(spark, folder).select("event_id", ops.pickup_composition(c).alias("p")).select("event_id", "p.*")
+    return d.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("retrospective_outcomes", f"""
+WITH {SIGNAL_SQL}, o AS (SELECT session_id, event_id, t_ms, CASE k % 3 WHEN 0 THEN 'Big Coin Bag' WHEN 1 THEN 'Floor Chicken' ELSE 'Little Heart' END AS outcome, k < 30 AS nr FROM sig WHERE event_type = 'signup')
+SELECT session_id, 'vss_' || event_id || '_selection' AS event_id, 'level_up_selection' AS event_type, 'progression' AS event_family, t_ms AS anchor_time_ms, CASE WHEN nr THEN 'C' ELSE 'B' END AS evidence_grade, CAST(NULL AS VARCHAR) AS selection_event_id FROM o
+UNION ALL SELECT session_id, 'vss_' || event_id || '_outcome', CASE outcome WHEN 'Big Coin Bag' THEN 'big_coin_bag' WHEN 'Floor Chicken' THEN 'floor_chicken' ELSE 'consumable_reward' END, CASE outcome WHEN 'Big Coin Bag' THEN 'currency' ELSE 'consumable' END, t_ms, CASE WHEN nr THEN 'C' ELSE 'B' END, 'vss_' || event_id || '_selection' FROM o""")
+def retrospective_outcomes(spark, folder):
+    """Reviewed reward menus: a selection and the outcome it led to."""
+    k = F.col("k") % 3
+    base = F.concat(F.lit("vss_"), F.col("event_id").cast("string"))
+    selection_id = F.concat(base, F.lit("_selection"))
+    kind = F.when(k == 0, "big_coin_bag").when(k == 1, "floor_chicken").otherwise("consumable_reward")
+    made = F.explode(F.array(
+        F.struct(selection_id.alias("event_id"), F.lit("level_up_selection").alias("event_type"), F.lit("progression").alias("event_family"), F.lit(None).cast("string").alias("selection_event_id")),
+        F.struct(F.concat(base, F.lit("_outcome")).alias("event_id"), kind.alias("event_type"), F.when(k == 0, "currency").otherwise("consumable").alias("event_family"), selection_id.alias("selection_event_id")))).alias("e")
+    return signals(spark, folder).filter("event_type = 'signup'").select(
+        "session_id", F.col("t_ms").alias("anchor_time_ms"), F.when(F.col("k") < 30, "C").otherwise("B").alias("evidence_grade"), made).select("session_id", "anchor_time_ms", "evidence_grade", "e.*")
+
+
+@query("canonical_projection", f"""
+WITH {SIGNAL_SQL} SELECT event_id, event_type, t_ms AS start_ms, t_ms + k AS end_ms, CASE WHEN k % 4 = 0 THEN t_ms ELSE t_ms + k // 2 END AS anchor_ms, CASE WHEN event_type IN ('error', 'signup') THEN CAST(value AS DOUBLE) END AS previous_percent,
+  CASE WHEN event_type IN ('error', 'signup') THEN 'health_bar' END AS modality FROM sig WHERE k < 90""")
+def canonical_projection(spark, folder):
+    """Published form of canonical events; the anchor falls back to the lower bound, and only health events keep their evidence."""
+    health = F.col("event_type").isin("error", "signup")
+    details = F.create_map(F.lit("previous_percent"), F.col("value").cast("string"))
+    evidence = F.array(F.struct(F.lit("health.jsonl").alias("source_artifact"), F.col("event_id").cast("string").alias("source_record_key"), F.array(F.lit("health_bar")).alias("modalities"), details.alias("details")))
+    rows = signals(spark, folder).filter("k < 90").select(
+        "event_id", "event_type", F.col("t_ms").alias("time_lower_ms"), (F.col("t_ms") + F.col("k")).alias("time_upper_ms"),
+        F.when(F.col("k") % 4 != 0, F.col("t_ms") + F.expr("k div 2")).alias("anchor_time_ms"), F.when(health, evidence).alias("evidence"))
+    first = F.get("evidence", F.lit(0))
+    return rows.select("event_id", "event_type", F.col("time_lower_ms").alias("start_ms"), F.col("time_upper_ms").alias("end_ms"), F.coalesce("anchor_time_ms", "time_lower_ms").alias("anchor_ms"),
+                       first["details"]["previous_percent"].cast("double").alias("previous_percent"), F.get(first["modalities"], F.lit(0)).alias("modality"))
+
+
+@query("fever_flags", f"""
+WITH {SIGNAL_SQL}, f AS (SELECT event_id, k / 100.0 AS peak, (k + event_id % 5) / 120.0 AS sup, (event_id % 20) / 200.0 AS bot, 330 + k % 30 AS y, (event_id % 9) / 200.0 AS lab, event_type = 'error' AS paused, (80 + k % 20) / 100.0 AS hud FROM sig),
+g AS (SELECT *, peak >= 0.60 AND sup >= 0.42 AND bot >= 0.06 AND y >= 344 AS gauge, lab >= 0.02 AS label FROM f)
+SELECT event_id, gauge AS gauge_like, label AS label_like, gauge OR label AS visible_raw, (gauge OR label) AND NOT paused AND hud >= 0.90 AS fever_like FROM g""")
+def fever_flags(spark, folder):
+    """A gauge or label may stay visible behind a menu; only clear gameplay counts as active."""
+    k, e = F.col("k"), F.col("event_id")
+    gauge = (k / 100.0 >= 0.60) & ((k + e % 5) / 120.0 >= 0.42) & (e % 20 / 200.0 >= 0.06) & (330 + k % 30 >= 344)
+    label = e % 9 / 200.0 >= 0.02
+    seen = gauge | label
+    return signals(spark, folder).select("event_id", gauge.alias("gauge_like"), label.alias("label_like"), seen.alias("visible_raw"),
+                                         (seen & (F.col("event_type") != "error") & ((80 + k % 20) / 100.0 >= 0.90)).alias("fever_like"))
+
+
+@query("likely_color_audit", f"""
+WITH {SIGNAL_SQL} SELECT event_id, printf('%d:%02d', t_ms // 60000, t_ms // 1000 % 60) AS video_time_stamp, CASE WHEN k % 3 = 0 THEN 'blue' WHEN k % 3 = 1 THEN 'green' ELSE 'red' END AS likely_color, round(value, 2) AS gain, 'unresolved' AS quantity_status FROM sig WHERE event_type = 'view' AND k % 4 = 0""")
+def likely_color_audit(spark, folder):
+    """Audit rows of applied likely colours; they never imply a quantity."""
+    k, t = F.col("k"), F.col("t_ms")
+    return signals(spark, folder).filter("event_type = 'view' AND k % 4 = 0").select(
+        "event_id", F.format_string("%d:%02d", F.expr("t_ms div 60000"), F.expr("t_ms div 1000 % 60")).alias("video_time_stamp"), F.when(k % 3 == 0, "blue").when(k % 3 == 1, "green").otherwise("red").alias("likely_color"),
+        F.round("value", 2).alias("gain"), F.lit("unresolved").alias("quantity_status"))
+
+
+@query("progress_points", f"""
+WITH {SIGNAL_SQL}, x AS (SELECT session_id, event_id, t_ms, 1 + t_ms // 120000 AS level, round(CAST(k AS DOUBLE), 4) AS p, event_type = 'signup' AND k % 4 = 0 AS bound, (70 + k % 30) / 100.0 AS q FROM sig),
+a AS (SELECT session_id, event_id, t_ms - 40 AS t_ms, level, p AS progress, CAST(NULL AS VARCHAR) AS anchor FROM x WHERE NOT bound AND q >= 0.85 UNION ALL SELECT session_id, event_id, t_ms, level, least(100.0, p + 1.5), NULL FROM x WHERE NOT bound AND q >= 0.85
+  UNION ALL SELECT session_id, event_id, t_ms, level, 100.0, 'level_end' FROM x WHERE bound UNION ALL SELECT session_id, event_id, t_ms, level + 1, 0.0, 'level_start' FROM x WHERE bound)
+SELECT * FROM a UNION ALL SELECT session_id, -1, 0, arg_min(level, (t_ms, event_id, level)), 0.0, 'level_start' FROM a GROUP BY session_id
+  HAVING count(*) FILTER (progress = 0.0 AND level = (SELECT arg_min(b.level, (b.t_ms, b.event_id, b.level)) FROM a b WHERE b.session_id = a.session_id)) = 0""")
+def progress_points(spark, folder):
+    """Both ends of every measured increase, 100 and 0 at confirmed level borders, and the start of the first level."""
+    k = F.col("k")
+    x = signals(spark, folder).select("session_id", "event_id", "t_ms", F.expr("1 + t_ms div 120000").alias("level"), F.round(k.cast("double"), 4).alias("p"),
+                                      ((F.col("event_type") == "signup") & (k % 4 == 0)).alias("bound"), ((70 + k % 30) / 100.0).alias("q"))
+    none = F.lit(None).cast("string")
+    point = lambda t, level, progress, anchor: F.struct(t.alias("t_ms"), level.alias("level"), progress.alias("progress"), anchor.alias("anchor"))
+    t, level = F.col("t_ms"), F.col("level")
+    border = F.array(point(t, level, F.lit(100.0), F.lit("level_end")), point(t, level + 1, F.lit(0.0), F.lit("level_start")))
+    ends = F.array(point(t - 40, level, F.col("p"), none), point(t, level, F.least(F.lit(100.0), F.col("p") + 1.5), none))
+    made = x.filter(F.col("bound") | (F.col("q") >= 0.85)).select("session_id", "event_id", F.explode(F.when(F.col("bound"), border).otherwise(ends)).alias("e"))
+    points = made.select("session_id", "event_id", "e.*")
+    # the first level of a session, and whether some point already shows its zero
+    zeros = F.collect_set(F.when(F.col("progress") == 0.0, F.col("level")))
+    first = points.groupBy("session_id").agg(F.min_by("level", F.struct("t_ms", "event_id", "level")).alias("level"), zeros.alias("zeros"))
+    opening = first.filter(~F.array_contains("zeros", F.col("level"))).select(
+        "session_id", F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("t_ms"), "level", F.lit(0.0).alias("progress"), F.lit("level_start").alias("anchor"))
+    return points.unionByName(opening)
