@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionlake.session import cut_lineage
+
 GROUP_ROWS_CONF = "spark.sessionlake.maxGroupRows"
 DEFAULT_GROUP_ROWS = 1_000_000
 ROW_BYTES = 64
@@ -107,32 +109,39 @@ class TimeOrder:
         return Window.partitionBy(*self.keys).orderBy(*self.by)
 
     # ---- windows ------------------------------------------------------------------------------
+    def _apart(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of ordinary sessions, and rows of large ones with their lineage cut.
+
+        Later steps read the large rows twice; without the cut every step would double the work of the ones before it.
+        The constant flags let the optimizer drop the other half when the two are taken apart again.
+        """
+        small = df.filter(~F.col(_LARGE)).withColumn(_LARGE, F.lit(False))
+        large = cut_lineage(df.filter(_LARGE)).withColumn(_LARGE, F.lit(True))
+        return small, large
+
     def frames(self, df: DataFrame, reach: int, **cols: Callable[[WindowSpec], Column]) -> DataFrame:
         """Columns that look at most ``reach`` rows back or ahead; ``df`` must be tagged."""
+        s = self._session_window()
+        whole = lambda rows: rows.withColumns({name: make(s) for name, make in cols.items()})
         if not self.split:
-            w = self.window()
-            return df.withColumns({name: make(w) for name, make in cols.items()})
+            return whole(df)
+        small, large = self._apart(df)
         w = self.window()
-        local = df.withColumns({
+        local = large.withColumns({
             **{name: make(w) for name, make in cols.items()},
             "_from_start": F.row_number().over(w),
             "_to_end": F.count(F.lit(1)).over(Window.partitionBy(*self.group)) - F.row_number().over(w),
         })
-        near = F.col(_LARGE) & ((F.col("_from_start") <= 2 * reach) | (F.col("_to_end") < 2 * reach))
-        redo = F.col(_LARGE) & ((F.col("_from_start") <= reach) | (F.col("_to_end") < reach))
-        s = self._session_window()
-        edge = (
-            local.filter(near)
-            .withColumns({name: make(s) for name, make in cols.items()})
-            .filter(redo)
-        )
-        return local.filter(~redo).unionByName(edge).drop("_from_start", "_to_end")
+        near = (F.col("_from_start") <= 2 * reach) | (F.col("_to_end") < 2 * reach)
+        redo = (F.col("_from_start") <= reach) | (F.col("_to_end") < reach)
+        edge = whole(local.filter(near)).filter(redo)
+        pieces = local.filter(~redo).unionByName(edge).drop("_from_start", "_to_end")
+        return whole(small).unionByName(pieces)
 
     def running(self, df: DataFrame, **specs: Running) -> DataFrame:
         """Running aggregates in time order; ``df`` must be tagged."""
-        w = self.window()
 
-        def frame(spec: Running) -> WindowSpec:
+        def frame(spec: Running, w: WindowSpec) -> WindowSpec:
             if spec.reverse:
                 return w.rowsBetween(1 if spec.exclusive else 0, Window.unboundedFollowing)
             return w.rowsBetween(Window.unboundedPreceding, -1 if spec.exclusive else 0)
@@ -143,9 +152,12 @@ class TimeOrder:
                 return pick(expr, ignorenulls=True).over(spec_window)
             return getattr(F, spec.kind)(expr).over(spec_window)
 
-        local = df.withColumns({name: over(spec, spec.expr, frame(spec)) for name, spec in specs.items()})
+        def along(rows: DataFrame, w: WindowSpec) -> DataFrame:
+            return rows.withColumns({name: over(spec, spec.expr, frame(spec, w)) for name, spec in specs.items()})
+
         if not self.split:
-            return local
+            return along(df, self._session_window())
+        small, large = self._apart(df)
         position = F.struct(*self.by)
 
         def piece_value(spec: Running) -> Column:
@@ -154,8 +166,7 @@ class TimeOrder:
                 return pick(spec.expr, F.when(spec.expr.isNotNull(), position))
             return getattr(F, spec.kind)(spec.expr)
 
-        summary = df.filter(_LARGE).groupBy(*self.keys, _PIECE).agg(
-            *[piece_value(spec).alias(f"_{name}") for name, spec in specs.items()])
+        summary = large.groupBy(*self.keys, _PIECE).agg(*[piece_value(spec).alias(f"_{name}") for name, spec in specs.items()])
         pieces = Window.partitionBy(*self.keys).orderBy(_PIECE)
         before = pieces.rowsBetween(Window.unboundedPreceding, -1)
         after = pieces.rowsBetween(1, Window.unboundedFollowing)
@@ -163,7 +174,7 @@ class TimeOrder:
             *self.keys, _PIECE,
             *[over(spec, F.col(f"_{name}"), after if spec.reverse else before).alias(f"_{name}")
               for name, spec in specs.items()])
-        joined = local.join(F.broadcast(carry), [*self.keys, _PIECE], "left")
+        joined = along(large, self.window()).join(F.broadcast(carry), [*self.keys, _PIECE], "left")
 
         def merged(name: str, spec: Running) -> Column:
             here, earlier = F.col(name), F.col(f"_{name}")
@@ -173,8 +184,8 @@ class TimeOrder:
                 return F.coalesce(here + earlier, here, earlier)
             return (F.greatest if spec.kind == "max" else F.least)(here, earlier)
 
-        return joined.withColumns({name: merged(name, spec) for name, spec in specs.items()}).drop(
-            *[f"_{name}" for name in specs])
+        done = joined.withColumns({name: merged(name, spec) for name, spec in specs.items()}).drop(*[f"_{name}" for name in specs])
+        return along(small, self._session_window()).unionByName(done)
 
 
 def _cut_index(by: tuple[str, ...]) -> Column:
