@@ -235,18 +235,18 @@ def inventory_rows(spark, folder):
 @query("inventory_adapter", f"""
 WITH {SIGNAL_SQL}, {_INV_SQL}, g AS (SELECT *, lower(trim(needs_review)) IN ('1', 'true', 'yes', 'y') AS nr, lower(confidence) = 'high' AS hi, lower(trim(change)) AS ch FROM iv WHERE change <> 'initial_state'),
 b AS (SELECT *, CASE WHEN nr THEN 'C' WHEN hi THEN 'A' ELSE 'B' END AS evidence_grade, CASE WHEN nr THEN 'needs_review' ELSE 'auto_accepted' END AS publication_status FROM g)
-SELECT session_id, 'vss_' || event_id || '_selection' AS event_id, 'level_up_selection' AS event_type, 'progression' AS event_family, t_ms AS anchor_time_ms, evidence_grade, publication_status,
+SELECT session_id, 'evt_' || event_id || '_selection' AS event_id, 'level_up_selection' AS event_type, 'progression' AS event_family, t_ms AS anchor_time_ms, evidence_grade, publication_status,
   CAST(NULL AS VARCHAR) AS selection_event_id, CAST(NULL AS VARCHAR) AS item_name FROM b WHERE event_source LIKE 'level_up%'
-UNION ALL SELECT session_id, 'vss_' || event_id || '_outcome', CASE WHEN ch = 'evolution' THEN 'weapon_evolution' WHEN ch = 'new' AND item_type = 'weapon' THEN 'new_weapon' WHEN ch = 'new' AND item_type = 'passive_item' THEN 'new_passive_item'
+UNION ALL SELECT session_id, 'evt_' || event_id || '_outcome', CASE WHEN ch = 'evolution' THEN 'weapon_evolution' WHEN ch = 'new' AND item_type = 'weapon' THEN 'new_weapon' WHEN ch = 'new' AND item_type = 'passive_item' THEN 'new_passive_item'
   WHEN ch = 'upgrade' AND item_type = 'weapon' THEN 'weapon_upgrade' WHEN ch = 'upgrade' AND item_type = 'passive_item' THEN 'passive_item_upgrade' ELSE 'inventory_change' END, 'inventory', t_ms, evidence_grade, publication_status,
-  CASE WHEN event_source LIKE 'level_up%' THEN 'vss_' || event_id || '_selection' END, item_after FROM b""")
+  CASE WHEN event_source LIKE 'level_up%' THEN 'evt_' || event_id || '_selection' END, item_after FROM b""")
 def inventory_adapter(spark, folder):
     """A level-up change becomes a selection and an outcome linked by id; other changes are outcomes only."""
     rows = inventory_rows(spark, folder).filter("change <> 'initial_state'")
     review = truth(F.col("needs_review"), ("1", "true", "yes", "y"))
     grade = F.when(review, "C").when(F.lower("confidence") == "high", "A").otherwise("B")
     status = F.when(review, "needs_review").otherwise("auto_accepted")
-    base = F.concat(F.lit("vss_"), F.col("event_id").cast("string"))
+    base = F.concat(F.lit("evt_"), F.col("event_id").cast("string"))
     selection_id = F.concat(base, F.lit("_selection"))
     from_menu = F.col("event_source").startswith("level_up")
     none = F.lit(None).cast("string")
@@ -259,12 +259,12 @@ def inventory_adapter(spark, folder):
 
 
 @query("event_set_duplicates", f"""
-WITH {SIGNAL_SQL}, u AS (SELECT 'vss_' || (event_id % 5000) AS event_id, t_ms FROM sig WHERE event_type = 'click' UNION ALL SELECT 'vss_' || (event_id % 7000), t_ms FROM sig WHERE event_type = 'view')
+WITH {SIGNAL_SQL}, u AS (SELECT 'evt_' || (event_id % 5000) AS event_id, t_ms FROM sig WHERE event_type = 'click' UNION ALL SELECT 'evt_' || (event_id % 7000), t_ms FROM sig WHERE event_type = 'view')
 SELECT event_id, count(*) AS copies, min(t_ms) AS first_ms FROM u GROUP BY ALL HAVING count(*) > 1""")
 def event_set_duplicates(spark, folder):
     """Identifiers that several sources would publish."""
     rows = signals(spark, folder)
-    named = lambda kind, modulus: rows.filter(F.col("event_type") == kind).select(F.concat(F.lit("vss_"), (F.col("event_id") % modulus).cast("string")).alias("event_id"), "t_ms")
+    named = lambda kind, modulus: rows.filter(F.col("event_type") == kind).select(F.concat(F.lit("evt_"), (F.col("event_id") % modulus).cast("string")).alias("event_id"), "t_ms")
     both = named("click", 5_000).unionByName(named("view", 7_000))
     return both.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"), F.min("t_ms").alias("first_ms")).filter("copies > 1")
 
@@ -356,10 +356,10 @@ def slot_range_flags(spark, folder):
 
 
 @query("lucky_level_ups", f"""
-WITH {SIGNAL_SQL} SELECT 'vss_lucky_level_up_' || t_ms AS event_id, session_id, t_ms - k * 10 AS time_lower_ms, t_ms AS anchor_time_ms, 'A' AS evidence_grade, 2 + k % 4 AS option_count FROM sig WHERE event_type = 'signup' AND 2 + k % 4 >= 4""")
+WITH {SIGNAL_SQL} SELECT 'evt_lucky_level_up_' || t_ms AS event_id, session_id, t_ms - k * 10 AS time_lower_ms, t_ms AS anchor_time_ms, 'A' AS evidence_grade, 2 + k % 4 AS option_count FROM sig WHERE event_type = 'signup' AND 2 + k % 4 >= 4""")
 def lucky_level_ups(spark, folder):
     rows = signals(spark, folder).filter("event_type = 'signup'").withColumn("option_count", 2 + F.col("k") % 4)
-    return rows.filter("option_count >= 4").select(F.concat(F.lit("vss_lucky_level_up_"), F.col("t_ms").cast("string")).alias("event_id"), "session_id",
+    return rows.filter("option_count >= 4").select(F.concat(F.lit("evt_lucky_level_up_"), F.col("t_ms").cast("string")).alias("event_id"), "session_id",
                                                    (F.col("t_ms") - F.col("k") * 10).alias("time_lower_ms"), F.col("t_ms").alias("anchor_time_ms"), F.lit("A").alias("evidence_grade"), "option_count")
 
 
@@ -446,12 +446,12 @@ def pickup_composition(spark, folder):
 
 @query("retrospective_outcomes", f"""
 WITH {SIGNAL_SQL}, o AS (SELECT session_id, event_id, t_ms, CASE k % 3 WHEN 0 THEN 'Big Coin Bag' WHEN 1 THEN 'Floor Chicken' ELSE 'Little Heart' END AS outcome, k < 30 AS nr FROM sig WHERE event_type = 'signup')
-SELECT session_id, 'vss_' || event_id || '_selection' AS event_id, 'level_up_selection' AS event_type, 'progression' AS event_family, t_ms AS anchor_time_ms, CASE WHEN nr THEN 'C' ELSE 'B' END AS evidence_grade, CAST(NULL AS VARCHAR) AS selection_event_id FROM o
-UNION ALL SELECT session_id, 'vss_' || event_id || '_outcome', CASE outcome WHEN 'Big Coin Bag' THEN 'big_coin_bag' WHEN 'Floor Chicken' THEN 'floor_chicken' ELSE 'consumable_reward' END, CASE outcome WHEN 'Big Coin Bag' THEN 'currency' ELSE 'consumable' END, t_ms, CASE WHEN nr THEN 'C' ELSE 'B' END, 'vss_' || event_id || '_selection' FROM o""")
+SELECT session_id, 'evt_' || event_id || '_selection' AS event_id, 'level_up_selection' AS event_type, 'progression' AS event_family, t_ms AS anchor_time_ms, CASE WHEN nr THEN 'C' ELSE 'B' END AS evidence_grade, CAST(NULL AS VARCHAR) AS selection_event_id FROM o
+UNION ALL SELECT session_id, 'evt_' || event_id || '_outcome', CASE outcome WHEN 'Big Coin Bag' THEN 'big_coin_bag' WHEN 'Floor Chicken' THEN 'floor_chicken' ELSE 'consumable_reward' END, CASE outcome WHEN 'Big Coin Bag' THEN 'currency' ELSE 'consumable' END, t_ms, CASE WHEN nr THEN 'C' ELSE 'B' END, 'evt_' || event_id || '_selection' FROM o""")
 def retrospective_outcomes(spark, folder):
     """Reviewed reward menus: a selection and the outcome it led to."""
     k = F.col("k") % 3
-    base = F.concat(F.lit("vss_"), F.col("event_id").cast("string"))
+    base = F.concat(F.lit("evt_"), F.col("event_id").cast("string"))
     selection_id = F.concat(base, F.lit("_selection"))
     kind = F.when(k == 0, "big_coin_bag").when(k == 1, "floor_chicken").otherwise("consumable_reward")
     made = F.explode(F.array(
