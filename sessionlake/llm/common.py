@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
                 yield batch.slice(start, end - start)
 
 
+def bucket_count(docs: DataFrame, text: str, each: int) -> int:
+    """A power of two of buckets, each for about so many bytes of text."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(16, 1 << max(0, math.ceil(math.log2(max(1, size) / each))))
+
+
+def by_bucket(at: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs in `at`, and where."""
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b]:cuts[b + 1]]
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionlake.llm.common import free_name, pieces, smallest_linked
+from sessionlake.llm.common import bucket_count, by_bucket, free_name, pieces, smallest_linked
 from sessionlake.llm.words import distinct_sets, mix, shingles, words
 from sessionlake.session import cut_lineage
 
@@ -40,7 +40,7 @@ FREQUENT = 16
 MAX_FREQUENT = 4_000_000
 BUCKET_BYTES = 8 << 20  # of text for each bucket of the index
 WHOLE_GROUP = 1024  # sets verified together in one task; larger groups go by blocks of this size
-_LOW = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(1 << 63)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -67,28 +67,22 @@ def _sets(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, bounds, mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Bucket number and places of the keys in it."""
-    at = (keys >> np.uint64(32)).astype(np.int64) % buckets
-    order = np.argsort(at, kind="stable")
-    cuts = np.searchsorted(at[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        yield b, order[cuts[b]:cuts[b + 1]]
-
-
 def frequent_shingles(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarray:
-    """Sorted 40-bit ends of shingles in more than FREQUENT sets, counted over all documents."""
+    """Sorted ends (32 bits and the bucket's) of shingles in more than FREQUENT sets, counted over all documents.
+
+    Only the lower half of the hash order is counted: prefixes are the lowest quarter, and what they skip is rarely more than
+    another quarter. Shingles beyond count as rare, which costs time where they are not, but no link.
+    """
+    shift = np.uint64(32 - (buckets.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
-            h, bounds, _ = _sets(batch.column(text))
-            token, times = np.unique(mix(h) >> np.uint64(24), return_counts=True)
-            at = (token >> np.uint64(32)).astype(np.int64)
+            h, _, _ = _sets(batch.column(text))
+            token, times = np.unique(mix(h[h < _HALF]) >> shift, return_counts=True)
             rows = []
-            for b, places in _by_bucket(token << np.uint64(24) | (at.astype(np.uint64) & np.uint64(0)), buckets):
-                low, high = token[places], times[places]
-                many = high > 1
-                rows.append((b, low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), np.flatnonzero(many).astype("<u4").tobytes(), high[many].astype("<u4").tobytes()))
+            for b, places in by_bucket((token >> np.uint64(32)).astype(np.int64), buckets):
+                many = times[places] > 1
+                rows.append((b, token[places].astype("<u4").tobytes(), np.flatnonzero(many).astype("<u4").tobytes(), times[places][many].astype("<u4").tobytes()))
             if rows:
                 b, tokens, places, more = zip(*rows)
                 yield pa.record_batch({"bucket": pa.array(b, pa.int32()), "tokens": pa.array(tokens, pa.binary()), "places": pa.array(places, pa.binary()), "times": pa.array(more, pa.binary())})
@@ -96,20 +90,17 @@ def frequent_shingles(docs: DataFrame, buckets: int, text: str = "text") -> np.n
     def merge(rows: pa.Table) -> pa.Table:
         tokens, times = [], []
         for r in range(len(rows)):
-            raw = np.frombuffer(rows.column("tokens")[r].as_py(), np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :5] = raw
-            n = np.ones(len(raw), np.int64)
-            n[np.frombuffer(rows.column("places")[r].as_py(), "<u4")] = np.frombuffer(rows.column("times")[r].as_py(), "<u4")
-            tokens.append(wide.view("<u8").ravel())
-            times.append(n)
+            tokens.append(np.frombuffer(rows.column("tokens")[r].as_py(), "<u4"))
+            times.append(np.ones(len(tokens[-1]), np.int64))
+            times[-1][np.frombuffer(rows.column("places")[r].as_py(), "<u4")] = np.frombuffer(rows.column("times")[r].as_py(), "<u4")
         token, n = np.concatenate(tokens), np.concatenate(times)
         order = np.argsort(token)
         token, n = token[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         total = np.add.reduceat(n, first)
         keep = total > FREQUENT
-        return pa.table({"token": pa.array(token[first][keep].astype(np.int64)), "n": pa.array(total[keep])})
+        whole = token[first][keep].astype(np.int64) + (rows.column("bucket")[0].as_py() << 32)
+        return pa.table({"token": pa.array(whole), "n": pa.array(total[keep])})
 
     counted = docs.select(text).mapInArrow(count, "bucket int, tokens binary, places binary, times binary")
     found = cut_lineage(counted.groupBy("bucket").applyInArrow(merge, "token long, n long"))
@@ -118,15 +109,15 @@ def frequent_shingles(docs: DataFrame, buckets: int, text: str = "text") -> np.n
     return np.sort(found.select("token").toArrow().column(0).to_numpy().astype(np.uint64))
 
 
-def index_keys(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def index_keys(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of every set, and the number of the set each belongs to."""
     n = np.diff(bounds)
     set_of = np.repeat(np.arange(len(n)), n)
-    tail = mix(h) >> np.uint64(24)
+    tail = mix(h) >> np.uint64(32 - (buckets.bit_length() - 1))
     common = np.zeros(len(h), dtype=bool)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tail), len(frequent) - 1)
-        common = frequent[at] == tail
+        common = (frequent[at] == tail) & (h < _HALF)
     mixed = np.flatnonzero(np.bincount(set_of[common], minlength=len(n)))
     pure = np.ones(len(n), dtype=bool)
     pure[mixed] = False
@@ -178,45 +169,46 @@ def _chain(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], sids[first], pair[:, 0], pair[:, 1]
 
 
-def _index(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Rows (d, t, sid, n) of documents, and rows (bucket, keys, sids) of the index; bucket -1 holds links (keys = a, sids = b)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _documents(docs: DataFrame) -> DataFrame:
+    """d, t, sid (hash of the set), n (its size)."""
     kind = docs.schema["d"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            _, bounds, sid = _sets(batch.column("text"))
+            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "sid": pa.array(sid.view(np.int64)), "n": pa.array(np.diff(bounds), pa.int64())})
+
+    return docs.mapInArrow(run, f"d {kind}, t long, sid long, n long")
+
+
+def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """Links (a, b) that chain all sets of a key. Keys travel as packed arrays by bucket: 32 bits of a key, its lowest set in the
+    batch; links within the batch go along in a bucket of their first set."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shift = np.uint64(32 - (buckets.bit_length() - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             h, bounds, sid = _sets(batch.column("text"))
-            n = np.diff(bounds)
             _, first = np.unique(sid, return_index=True)
             copy = np.ones(len(sid), dtype=bool)
             copy[first] = False
-            keys, owners = index_keys(h, bounds, shared.value)
+            keys, owners = index_keys(h, bounds, shared.value, buckets)
             stay = ~copy[owners]
-            keys, lead, a, b = _chain(keys[stay], sid[owners[stay]])
-            rows = [(-1, a.tobytes(), b.tobytes())] if len(a) else []
-            rows += [(bucket, keys[places].tobytes(), lead[places].tobytes()) for bucket, places in _by_bucket(keys, buckets)]
-            docs_, index = len(batch), len(rows)
-            none = lambda size, type_: pa.nulls(size, type_)
-            yield pa.record_batch({
-                "d": pa.concat_arrays([batch.column("d"), none(index, batch.column("d").type)]), "t": pa.concat_arrays([batch.column("t"), none(index, pa.int64())]),
-                "sid": pa.concat_arrays([pa.array(sid.view(np.int64)), none(index, pa.int64())]), "n": pa.concat_arrays([pa.array(n, pa.int64()), none(index, pa.int64())]),
-                "bucket": pa.array([None] * docs_ + [r[0] for r in rows], pa.int32()), "keys": pa.array([None] * docs_ + [r[1] for r in rows], pa.binary()), "sids": pa.array([None] * docs_ + [r[2] for r in rows], pa.binary())})
-
-    return docs.select("d", "t", "text").mapInArrow(run, f"d {kind}, t long, sid long, n long, bucket int, keys binary, sids binary")
-
-
-def _joined(rows: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(rows.column("keys")[r].as_py(), np.uint64) for r in range(len(rows))])
-    sids = np.concatenate([np.frombuffer(rows.column("sids")[r].as_py(), np.uint64) for r in range(len(rows))])
-    _, _, a, b = _chain(keys, sids)
-    return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+            keys, lead, a, b = _chain(keys[stay] >> shift, sid[owners[stay]])
+            none = b""
+            rows = [(bucket, keys[places].astype("<u4").tobytes(), lead[places].tobytes(), none, none) for bucket, places in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+            rows += [(bucket, none, none, a[places].tobytes(), b[places].tobytes()) for bucket, places in by_bucket((a % np.uint64(buckets)).astype(np.int64), buckets)]
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.record_batch({"bucket": pa.array(columns[0], pa.int32()), **{name: pa.array(column, pa.binary()) for name, column in zip(("keys", "sids", "a", "b"), columns[1:])}})
 
+    def chain(rows: pa.Table) -> pa.Table:
+        keys, sids, a, b = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u4"), ("sids", np.uint64), ("a", np.int64), ("b", np.int64)))
+        _, _, x, y = _chain(keys, sids)
+        return pa.table({"a": pa.array(np.concatenate((a, x.view(np.int64)))), "b": pa.array(np.concatenate((b, y.view(np.int64))))})
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in range(len(batch)):
-            a, b = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("keys", "sids"))
-            yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary, a binary, b binary").groupBy("bucket").applyInArrow(chain, "a long, b long")
 
 
 def _verified(sets: list[np.ndarray], left: range | list, right: range | list) -> list[tuple[int, int]]:
@@ -254,18 +246,13 @@ def _verified(sets: list[np.ndarray], left: range | list, right: range | list) -
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(d, t, sid, n) of the rows of docs (d, t, text), and (sid, root) of sets linked to others."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, 1 << max(0, math.ceil(math.log2(max(1, size) / BUCKET_BYTES))))
-    frequent = frequent_shingles(docs, buckets)
-    table = cut_lineage(_index(docs, frequent, buckets))
-    info = table.filter("bucket is null").select("d", "t", "sid", "n")
-    links = table.filter("bucket >= 0").select("bucket", "keys", "sids").groupBy("bucket").applyInArrow(_joined, "a long, b long")
-    local = table.filter("bucket = -1").select("keys", "sids").mapInArrow(_unpacked, "a long, b long")
-    candidates = smallest_linked(links.unionAll(local))
+    buckets = bucket_count(docs, "text", BUCKET_BYTES)
+    info = cut_lineage(_documents(docs))
+    candidates = smallest_linked(_candidates(docs, frequent_shingles(docs, buckets), buckets))
     counts = candidates.groupBy("root").agg(F.count("*").alias("members"))
     first = info.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t")).alias("first"))
     wanted = candidates.join(counts, "root").join(first, F.col("node") == F.col("sid")).select("sid", "root", "members", F.col("first.d").alias("fd"), F.col("first.t").alias("ft"))
-    texts = docs.join(wanted, F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft"))).select("sid", "root", "members", "text").dropDuplicates(["sid"])
+    texts = docs.join(wanted, F.col("d").eqNullSafe(F.col("fd")) & (F.col("t") == F.col("ft"))).select("sid", "root", "members", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

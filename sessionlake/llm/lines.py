@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import free_name, pieces
-from sessionlake.llm.words import _BASE, _INVERSE, Words, mix, powers, words
+from sessionlake.llm.common import bucket_count, by_bucket, free_name, pieces
+from sessionlake.llm.words import _BASE, _INVERSE, mix, powers, words
 from sessionlake.session import cut_lineage
 
 MIN_WORDS = 8
+BUCKET_BYTES = 16 << 20  # of text for each bucket of the sieve
 
 
 class Lines:
@@ -66,26 +67,62 @@ def _tagged(h: np.ndarray, tag: np.ndarray, kind: int) -> np.ndarray:
     return mix(mix(h) + tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)).view(np.int64)
 
 
-def line_table(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """d, t (hash of the text), lines (array<struct<i, n, h, halves>>): halves are the four keys of the sieve."""
-    source = docs.select(docs[f"`{id_column}`"].alias("d"), docs[f"`{text}`"].alias("text")).withColumn("t", F.xxhash64("text"))
+def _source(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    return docs.select(docs[f"`{id_column}`"].alias("d"), F.xxhash64(docs[f"`{text}`"]).alias("t"), docs[f"`{text}`"].alias("text"))
+
+
+def line_table(source: DataFrame) -> DataFrame:
+    """d, t (hash of the text), and of its lines with words: i (numbers), h (hashes)."""
     kind = source.schema["d"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = Lines(batch.column("text"))
-            n = x.end - x.start
-            h = _tagged(x.stretch(x.start, x.end), n, 1)
-            long_ = n >= MIN_WORDS
-            s, e, m = x.start[long_], x.end[long_], n[long_]
-            halves = np.column_stack((_tagged(x.stretch(s, s + m // 2), m, 2), _tagged(x.stretch(s + m // 2, e), m, 3),
-                                      _tagged(x.stretch(s, s + (m + 1) // 2), m + 1, 2), _tagged(x.stretch(e - (m + 1 - (m + 1) // 2), e), m + 1, 3)))
-            sizes = np.where(long_, 4, 0)
-            keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(halves.ravel(), pa.int64()))
-            rows = pa.StructArray.from_arrays([pa.array(x.number, pa.int32()), pa.array(n, pa.int32()), pa.array(h, pa.int64()), keys], names=["i", "n", "h", "halves"])
-            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "lines": pa.ListArray.from_arrays(pa.array(x.bounds, pa.int32()), rows)})
+            bounds = pa.array(x.bounds, pa.int32())
+            h = _tagged(x.stretch(x.start, x.end), x.end - x.start, 1)
+            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "i": pa.ListArray.from_arrays(bounds, pa.array(x.number, pa.int32())), "h": pa.ListArray.from_arrays(bounds, pa.array(h))})
+
+    return source.mapInArrow(run, f"d {kind}, t long, i array<int>, h array<long>")
+
+
+def shared_halves(source: DataFrame, buckets: int) -> DataFrame:
+    """h, low, high, whole of lines that share a half with another line.
 
-    return source.select("d", "t", "text").mapInArrow(run, f"d {kind}, t long, lines array<struct<i:int,n:int,h:bigint,halves:array<bigint>>>")
+    low: the second half is shared, so the edit may lie in the first; high: the first half is shared; whole: a half of a line
+    one word longer is shared. Keys travel as packed arrays by bucket, each key of a batch once for each line.
+    """
+    bits = np.uint64(64 - 32 - (buckets.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            x = Lines(batch.column("text"))
+            h = _tagged(x.stretch(x.start, x.end), x.end - x.start, 1)
+            _, first = np.unique(h, return_index=True)
+            first = first[(x.end - x.start)[first] >= MIN_WORDS]
+            s, e, h = x.start[first], x.end[first], h[first]
+            m = e - s
+            keys = np.concatenate((_tagged(x.stretch(s, s + m // 2), m, 2), _tagged(x.stretch(s + m // 2, e), m, 3),
+                                   _tagged(x.stretch(s, s + (m + 1) // 2), m + 1, 2), _tagged(x.stretch(e - (m + 1 - (m + 1) // 2), e), m + 1, 3))).view(np.uint64) >> bits
+            side, owner = np.repeat(np.arange(4, dtype=np.uint8), len(h)), np.tile(h, 4)
+            rows = [(b, keys[at].astype("<u4").tobytes(), owner[at].tobytes(), side[at].tobytes()) for b, at in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+            if rows:
+                b, keys_, owners, sides = zip(*rows)
+                yield pa.record_batch({"bucket": pa.array(b, pa.int32()), "keys": pa.array(keys_, pa.binary()), "owners": pa.array(owners, pa.binary()), "sides": pa.array(sides, pa.binary())})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys, owners, sides = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u4"), ("owners", np.int64), ("sides", np.uint8)))
+        order = np.lexsort((owners, keys))
+        keys, owners, sides = keys[order], owners[order], sides[order]
+        same = keys[1:] == keys[:-1]
+        other = same & (owners[1:] != owners[:-1])
+        key = np.concatenate(([0], np.cumsum(~same)))
+        crowded = np.bincount(key[1:][other], minlength=key[-1] + 1) > 0
+        stay = crowded[key]
+        return pa.table({"h": pa.array(owners[stay]), "side": pa.array(sides[stay], pa.int32())})
+
+    met = source.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, sides binary").groupBy("bucket").applyInArrow(meet, "h long, side int")
+    flag = lambda condition, name: F.max(condition.cast("int")).alias(name)
+    return met.groupBy("h").agg(flag(F.col("side") == 1, "low"), flag(F.col("side") == 0, "high"), flag(F.col("side") >= 2, "whole"))
 
 
 def _order(*columns: str) -> Column:
@@ -143,16 +180,14 @@ def within_one(a: Column, b: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """d, t, n_lines, dropped (sorted array of line numbers): one row for each distinct pair of id and text."""
-    table = cut_lineage(line_table(docs, id_column, text))
-    lines = table.select("d", "t", F.explode("lines").alias("x")).select("d", "t", "x.i", "x.n", "x.h", "x.halves")
-    firsts = cut_lineage(lines.groupBy("h").agg(F.min(_order("d", "t", "i", "n", "halves")).alias("first"), F.count("*").alias("copies")))
-    distinct = firsts.select("h", "first.*").filter(F.size("halves") > 0)
-
-    halves = distinct.select("h", F.posexplode("halves").alias("side", "key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
-    sides = halves.join(shared, "key").groupBy("h").agg(F.max((F.col("side") == 1).cast("int")).alias("low"), F.max((F.col("side") == 0).cast("int")).alias("high"), F.max((F.col("side") >= 2).cast("int")).alias("whole"))
-    left = distinct.join(sides, "h").groupBy("d", "t").agg(F.collect_list(F.struct("i", "h", "low", "high", "whole")).alias("wanted"))
-    source = docs.select(docs[f"`{id_column}`"].alias("e"), docs[f"`{text}`"].alias("text")).withColumn("u", F.xxhash64("text"))
+    source = _source(docs, id_column, text)
+    table = cut_lineage(line_table(source))
+    lines = table.select("d", "t", F.explode(F.arrays_zip("i", "h")).alias("x")).select("d", "t", "x.i", "x.h")
+    firsts = cut_lineage(lines.groupBy("h").agg(F.min(_order("d", "t", "i")).alias("first"), F.count("*").alias("copies")))
+
+    sides = shared_halves(source, bucket_count(docs, text, BUCKET_BYTES))
+    left = firsts.select("h", "first.*").join(sides, "h").groupBy("d", "t").agg(F.collect_list(F.struct("i", "h", "low", "high", "whole")).alias("wanted"))
+    left = left.select(F.col("d").alias("e"), F.col("t").alias("u"), "wanted")
     texts = source.join(left, F.col("e").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).select("d", "t", "text", "wanted")
     near = cut_lineage(_variants(texts).dropDuplicates(["h"]))
 
@@ -166,10 +201,10 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     fuzzy = cut_lineage(verified.select("h").distinct().withColumn("fuzzy", F.lit(True)))
 
     # Only lines that occur again or have an earlier near line can go.
-    doubtful = firsts.join(fuzzy, "h", "left").filter("copies > 1 or fuzzy").select("h", F.struct("first.z", "first.d", "first.t", "first.i").alias("first"), F.coalesce("fuzzy", F.lit(False)).alias("fuzzy"))
+    doubtful = firsts.join(fuzzy, "h", "left").filter("copies > 1 or fuzzy").select("h", "first", F.coalesce("fuzzy", F.lit(False)).alias("fuzzy"))
     gone = lines.select("d", "t", "i", "h").join(doubtful, "h").filter(F.col("fuzzy") | (_order("d", "t", "i") > F.col("first"))).select("d", "t", "i").distinct()
     per = gone.groupBy(F.col("d").alias("gd"), F.col("t").alias("gt")).agg(F.array_sort(F.collect_list("i")).alias("dropped"))
-    documents = table.select("d", "t", F.size("lines").alias("n_lines")).dropDuplicates(["d", "t"])
+    documents = table.select("d", "t", F.size("i").alias("n_lines")).dropDuplicates(["d", "t"])
     return documents.join(per, F.col("d").eqNullSafe(F.col("gd")) & (F.col("t") == F.col("gt")), "left").select("d", "t", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
