@@ -10,8 +10,9 @@ one node from the start.
 3. A set whose prefix reaches frequent shingles is extended by m places, where m depends on the size class of the smaller set. Linked sets then share
    m + 1 shingles of the extended prefixes: a rare one, which is a key, or m + 1 frequent ones, of which two fall in the same
    of m hash classes. So pairs of frequent shingles of one class are keys: about two for each place, not all combinations.
-4. Sets of one key are chained, within a batch before the shuffle and across batches after it, so a key that a third of all
-   documents share costs its batches, not its rows. Chained sets form candidate groups; linked sets never lie in two.
+4. Sets that share a key make pairs, if their sizes allow a link and bit signatures (which bound the intersection from
+   above) do not rule it out. Keys of over FREQUENT sets make no pairs: their sets are chained, within a batch before the shuffle and across batches after it, so a
+   key that a third of all documents share costs its batches, not its rows. Pairs and chains form candidate groups; linked sets never lie in two.
 5. Candidate groups are verified exactly: small ones whole, several in a task; large ones by pairs of blocks of
    compatible sizes. Only pairs not yet connected are intersected.
 
@@ -158,34 +159,85 @@ def index_keys(h: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, buckets:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _chain(keys: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their lowest set, and links of the other sets of a key to it."""
-    order = np.lexsort((sids, keys))
-    keys, sids = keys[order], sids[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    lead = sids[first][np.cumsum(first) - 1] if len(keys) else sids
-    other = sids != lead
-    pair = np.unique(np.stack((lead[other], sids[other]), axis=1), axis=0) if other.any() else np.zeros((0, 2), np.uint64)
-    return keys[first], sids[first], pair[:, 0], pair[:, 1]
+MANY = 65535
+_REACH = math.ceil(2000 * math.log2(100 / PERCENT)) + 2
+
+
+def _grade(n: np.ndarray) -> np.ndarray:
+    return np.floor(2000 * np.log2(np.maximum(n, 1))).astype(np.int64)
+
+
+def _crowds(keys: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: the place of each key's first entry, and whether over FREQUENT entries share it (or one stands for many)."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    group = np.cumsum(first) - 1
+    lead = np.flatnonzero(first)[group]
+    crowded = np.bincount(group) > FREQUENT
+    if many is not None:
+        crowded |= np.bincount(group, weights=many) > 0
+    return lead, crowded[group]
+
+
+def _chain(sids: np.ndarray, lead: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct links of the sets of crowded keys to their key's first set."""
+    at = np.flatnonzero(crowded & (sids != sids[lead])) if len(sids) else np.zeros(0, np.int64)
+    pair = np.unique(np.stack((sids[lead[at]], sids[at]), axis=1), axis=0)
+    return pair[:, 0], pair[:, 1]
+
+
+def _bits(h: np.ndarray) -> bytes:
+    """A power of two of bits, at least four for each element; element x sets the bit of its low bits."""
+    size = 64
+    while size < 4 * len(h):
+        size *= 2
+    out = np.zeros(size, dtype=bool)
+    out[(mix(h) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> bool:
+    """False only if two sets can't link: elements whose bit the other set lacks are not shared."""
+    a, b = np.frombuffer(bits_a, np.uint64), np.frombuffer(bits_b, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    most = min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * most >= PERCENT * (n_a + n_b - most)
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")))
+        keep = pa.array([may_link(*row) for row in rows], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """d, t, sid (hash of the set), n (its size)."""
+    """d, t, sid (hash of the set), n (its size), bits (the set hashed to at least 4 n bits)."""
     kind = docs.schema["d"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            _, bounds, sid = _sets(batch.column("text"))
-            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "sid": pa.array(sid.view(np.int64)), "n": pa.array(np.diff(bounds), pa.int64())})
+            h, bounds, sid = _sets(batch.column("text"))
+            bits = [_bits(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "sid": pa.array(sid.view(np.int64)), "n": pa.array(np.diff(bounds), pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return docs.mapInArrow(run, f"d {kind}, t long, sid long, n long")
+    return docs.mapInArrow(run, f"d {kind}, t long, sid long, n long, bits binary")
 
 
 def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """Links (a, b) that chain all sets of a key. Keys travel as packed arrays by bucket: 32 bits of a key, its lowest set in the
-    batch; links within the batch go along in a bucket of their first set."""
+    """a, b, sure: pairs of sets that share a rare key and have compatible sizes; links (sure) that chain the sets of a crowded key.
+
+    Keys travel as packed arrays by bucket: 32 bits of the key, the set, its size on a fine logarithmic scale. A key that more than FREQUENT
+    sets of one batch share is chained there, and only its lowest set goes on, marked as one of many.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(32 - (buckets.bit_length() - 1))
+    names = ("keys", "sids", "sizes", "a", "b")
+    kinds = ("<u4", np.uint64, "<u2", np.int64, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -195,20 +247,42 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
             copy[first] = False
             keys, owners = index_keys(h, bounds, shared.value, buckets)
             stay = ~copy[owners]
-            keys, lead, a, b = _chain(keys[stay] >> shift, sid[owners[stay]])
+            keys, sids, grade = keys[stay] >> shift, sid[owners[stay]], _grade(np.diff(bounds)[owners[stay]])
+            order = np.lexsort((sids, keys))
+            keys, sids, grade = keys[order], sids[order], grade[order]
+            fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))) if len(keys) else np.zeros(0, bool)
+            keys, sids, grade = keys[fresh], sids[fresh], grade[fresh]
+            lead, crowded = _crowds(keys)
+            a, b = _chain(sids, lead, crowded)
+            grade = np.where(crowded, MANY, grade)
+            stay = ~crowded | (np.arange(len(keys)) == lead)
+            keys, sids, grade = keys[stay], sids[stay], grade[stay]
             none = b""
-            rows = [(bucket, keys[places].astype("<u4").tobytes(), lead[places].tobytes(), none, none) for bucket, places in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
-            rows += [(bucket, none, none, a[places].tobytes(), b[places].tobytes()) for bucket, places in by_bucket((a % np.uint64(buckets)).astype(np.int64), buckets)]
+            rows = [(bucket, keys[at].astype("<u4").tobytes(), sids[at].tobytes(), grade[at].astype("<u2").tobytes(), none, none) for bucket, at in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+            rows += [(bucket, none, none, none, a[at].tobytes(), b[at].tobytes()) for bucket, at in by_bucket((a % np.uint64(buckets)).astype(np.int64), buckets)]
             if rows:
                 columns = list(zip(*rows))
-                yield pa.record_batch({"bucket": pa.array(columns[0], pa.int32()), **{name: pa.array(column, pa.binary()) for name, column in zip(("keys", "sids", "a", "b"), columns[1:])}})
-
-    def chain(rows: pa.Table) -> pa.Table:
-        keys, sids, a, b = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u4"), ("sids", np.uint64), ("a", np.int64), ("b", np.int64)))
-        _, _, x, y = _chain(keys, sids)
-        return pa.table({"a": pa.array(np.concatenate((a, x.view(np.int64)))), "b": pa.array(np.concatenate((b, y.view(np.int64))))})
-
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary, a binary, b binary").groupBy("bucket").applyInArrow(chain, "a long, b long")
+                yield pa.record_batch({"bucket": pa.array(columns[0], pa.int32()), **{name: pa.array(column, pa.binary()) for name, column in zip(names, columns[1:])}})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys, sids, grade, a, b = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in zip(names, kinds))
+        order = np.lexsort((sids, keys))
+        keys, sids, grade = keys[order], sids[order], grade[order].astype(np.int64)
+        fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]) | (grade[1:] != grade[:-1]))) if len(keys) else np.zeros(0, bool)
+        keys, sids, grade = keys[fresh], sids[fresh], grade[fresh]
+        lead, crowded = _crowds(keys, grade == MANY)
+        x, y = _chain(sids, lead, crowded)
+        a, b = np.concatenate((a, x.view(np.int64))), np.concatenate((b, y.view(np.int64)))
+        pairs = []
+        for step in range(1, FREQUENT):
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & ~crowded[step:]) if len(keys) > step else np.zeros(0, np.int64)
+            at = at[(np.abs(grade[at] - grade[at + step]) <= _REACH) & (sids[at] != sids[at + step])]
+            pairs.append(np.stack((sids[at], sids[at + step]), axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+        sure = np.concatenate((np.ones(len(a), bool), np.zeros(len(pairs), bool)))
+        return pa.table({"a": pa.array(np.concatenate((a, pairs[:, 0]))), "b": pa.array(np.concatenate((b, pairs[:, 1]))), "sure": pa.array(sure)})
+
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary, sizes binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long, sure boolean")
 
 
 def _verified(sets: list[np.ndarray], left: range | list, right: range | list) -> list[tuple[int, int]]:
@@ -248,7 +322,12 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(d, t, sid, n) of the rows of docs (d, t, text), and (sid, root) of sets linked to others."""
     buckets = bucket_count(docs, "text", BUCKET_BYTES)
     info = cut_lineage(_documents(docs))
-    candidates = smallest_linked(_candidates(docs, frequent_shingles(docs, buckets), buckets))
+    pairs = cut_lineage(_candidates(docs, frequent_shingles(docs, buckets), buckets))
+    known = info.filter("n > 0").select("sid", "n", "bits").dropDuplicates(["sid"])
+    sized = pairs.filter("not sure").select("a", "b").distinct().join(known.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    sized = sized.join(known.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    possible = sized.filter(F.col("n_a") * 100 >= F.col("n_b") * PERCENT).filter(F.col("n_b") * 100 >= F.col("n_a") * PERCENT).select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible, "a long, b long")
+    candidates = smallest_linked(possible.unionAll(pairs.filter("sure").select("a", "b")))
     counts = candidates.groupBy("root").agg(F.count("*").alias("members"))
     first = info.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t")).alias("first"))
     wanted = candidates.join(counts, "root").join(first, F.col("node") == F.col("sid")).select("sid", "root", "members", F.col("first.d").alias("fd"), F.col("first.t").alias("ft"))

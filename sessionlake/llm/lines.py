@@ -130,15 +130,17 @@ def _order(*columns: str) -> Column:
     return F.struct(F.col("d").isNull().alias("z"), *(F.col(c) for c in columns))
 
 
-def _variants(texts: DataFrame) -> DataFrame:
-    """Rows of (d, t, text, wanted: array<struct<i, h, low, high, whole>>) to variants: key, role (0 replaced, 1 whole, 2 left out), the line, its words."""
+def _variants(texts: DataFrame, buckets: int) -> DataFrame:
+    """Of rows (d, t, text, wanted: array<struct<i, h, low, high, whole>>): rows of lines (d, t, i, h, words), and rows of packed
+    variants (bucket, keys, owners, roles: 0 a word replaced, 1 the whole line, 2 a word left out)."""
     kind = texts.schema["d"].dataType.simpleString()
+    bits = np.uint64(64 - 32 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = Lines(batch.column("text"))
             own = {(int(t), int(i)): k for k, (t, i) in enumerate(zip(x.text, x.number))}
-            out: dict[str, list] = {"d": [], "t": [], "i": [], "h": [], "words": [], "roles": []}
+            lines, variants, roles = [], [], []
             for r, wanted in enumerate(batch.column("wanted").to_pylist()):
                 for line in wanted:
                     k = own[r, line["i"]]
@@ -146,25 +148,39 @@ def _variants(texts: DataFrame) -> DataFrame:
                     n = e - s
                     at = np.concatenate((np.arange(s, s + n // 2) if line["low"] else np.zeros(0, np.int64), np.arange(s + n // 2, e) if line["high"] else np.zeros(0, np.int64)))
                     # Words before the place, and those after it moved one to the left.
-                    left = (x.sums[at] - x.sums[s]) * x.down[s]
-                    right = (x.sums[e] - x.sums[at + 1]) * x.down[s + 1]
-                    rest = left + right
-                    keys = [np.stack((_tagged(mix(rest) + (at - s).astype(np.uint64), np.full(len(at), n), 4), np.zeros(len(at), np.int64))),
-                            np.stack((np.unique(_tagged(rest, np.full(len(at), n - 1), 5)), np.full(len(np.unique(_tagged(rest, np.full(len(at), n - 1), 5))), 2)))]
-                    if line["whole"]:
-                        keys.append(np.stack((_tagged(x.stretch(np.array([s]), np.array([e])), np.array([n]), 5), np.ones(1, np.int64))))
-                    keys = np.concatenate(keys, axis=1)
-                    for name, value in (("d", batch.column("d")[r]), ("t", batch.column("t")[r].as_py()), ("i", line["i"]), ("h", line["h"]), ("words", x.words.hashes[s:e].view(np.int64)), ("roles", keys)):
-                        out[name].append(value)
-            roles = np.concatenate(out["roles"], axis=1) if out["roles"] else np.zeros((2, 0), np.int64)
-            bounds = pa.array(np.cumsum([0, *(k.shape[1] for k in out["roles"])]), pa.int32())
-            pairs = pa.StructArray.from_arrays([pa.array(roles[0]), pa.array(roles[1], pa.int32())], names=["key", "role"])
-            flat = np.concatenate(out["words"]) if out["words"] else np.zeros(0, np.int64)
-            yield pa.record_batch({"d": pa.array([v.as_py() for v in out["d"]], batch.column("d").type), "t": pa.array(out["t"], pa.int64()), "i": pa.array(out["i"], pa.int32()), "h": pa.array(out["h"], pa.int64()),
-                                   "words": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out["words"])]), pa.int32()), pa.array(flat)),
-                                   "keys": pa.ListArray.from_arrays(bounds, pairs)})
-
-    return texts.mapInArrow(run, f"d {kind}, t long, i int, h long, words array<long>, keys array<struct<key:bigint,role:int>>")
+                    rest = (x.sums[at] - x.sums[s]) * x.down[s] + (x.sums[e] - x.sums[at + 1]) * x.down[s + 1]
+                    left_out = np.unique(_tagged(rest, np.full(len(at), n - 1), 5))
+                    replaced = _tagged(mix(rest) + (at - s).astype(np.uint64), np.full(len(at), n), 4)
+                    whole = _tagged(x.stretch(np.array([s]), np.array([e])), np.array([n]), 5) if line["whole"] else left_out[:0]
+                    variants.append(np.concatenate((replaced, whole, left_out)))
+                    roles.append(np.repeat(np.array([0, 1, 2], np.uint8), (len(replaced), len(whole), len(left_out))))
+                    lines.append((r, line["i"], line["h"], x.words.hashes[s:e].view(np.int64)))
+            if not lines:
+                continue
+            keys, role = np.concatenate(variants).view(np.uint64) >> bits, np.concatenate(roles)
+            owner = np.repeat(np.array([line[2] for line in lines], np.int64), [len(v) for v in variants])
+            rows = [(b, keys[at].astype("<u4").tobytes(), owner[at].tobytes(), role[at].tobytes()) for b, at in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+            pick, more, blank = pa.array([line[0] for line in lines], pa.int64()), len(rows), len(lines)
+            sequence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(line[3]) for line in lines)]), pa.int32()), pa.array(np.concatenate([line[3] for line in lines])))
+            columns = {"d": batch.column("d").take(pick), "t": batch.column("t").take(pick), "i": pa.array([line[1] for line in lines], pa.int32()), "h": pa.array([line[2] for line in lines], pa.int64()), "words": sequence}
+            out = {name: pa.concat_arrays([value, pa.nulls(more, value.type)]) for name, value in columns.items()}
+            for at, (name, type_) in enumerate((("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("roles", pa.binary()))):
+                out[name] = pa.array([None] * blank + [row[at] for row in rows], type_)
+            yield pa.record_batch(out)
+
+    return texts.mapInArrow(run, f"d {kind}, t long, i int, h long, words array<long>, bucket int, keys binary, owners binary, roles binary")
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """key, role, h of variants whose key another line has, too."""
+    keys, owners, roles = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u4"), ("owners", np.int64), ("roles", np.uint8)))
+    order = np.lexsort((owners, keys))
+    keys, owners, roles = keys[order], owners[order], roles[order]
+    same = keys[1:] == keys[:-1]
+    group = np.concatenate(([0], np.cumsum(~same)))
+    stay = (np.bincount(group[1:][same & (owners[1:] != owners[:-1])], minlength=group[-1] + 1) > 0)[group]
+    whole = keys[stay].astype(np.int64) + (rows.column("bucket")[0].as_py() << 32)
+    return pa.table({"key": pa.array(whole), "role": pa.array(roles[stay], pa.int32()), "h": pa.array(owners[stay])})
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -185,13 +201,15 @@ def dropped_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     lines = table.select("d", "t", F.explode(F.arrays_zip("i", "h")).alias("x")).select("d", "t", "x.i", "x.h")
     firsts = cut_lineage(lines.groupBy("h").agg(F.min(_order("d", "t", "i")).alias("first"), F.count("*").alias("copies")))
 
-    sides = shared_halves(source, bucket_count(docs, text, BUCKET_BYTES))
+    buckets = bucket_count(docs, text, BUCKET_BYTES)
+    sides = shared_halves(source, buckets)
     left = firsts.select("h", "first.*").join(sides, "h").groupBy("d", "t").agg(F.collect_list(F.struct("i", "h", "low", "high", "whole")).alias("wanted"))
     left = left.select(F.col("d").alias("e"), F.col("t").alias("u"), "wanted")
     texts = source.join(left, F.col("e").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u"))).select("d", "t", "text", "wanted")
-    near = cut_lineage(_variants(texts).dropDuplicates(["h"]))
-
-    rows = near.select("d", "t", "i", "h", F.explode("keys").alias("k")).select("d", "t", "i", "h", "k.key", "k.role")
+    table_ = cut_lineage(_variants(texts, buckets))
+    near = table_.filter("bucket is null").select("d", "t", "i", "h", "words").dropDuplicates(["h"])
+    met = table_.filter("bucket is not null").select("bucket", "keys", "owners", "roles").groupBy("bucket").applyInArrow(_met, "key long, role int, h long").distinct()
+    rows = cut_lineage(met.join(near.select("d", "t", "i", "h"), "h"))
     place = _order("d", "t", "i", "h")
     least = rows.groupBy("key").agg(F.min(F.when(F.col("role") == 0, place)).alias("r0"), F.min(F.when(F.col("role") == 1, place)).alias("r1"), F.min(F.when(F.col("role") == 2, place)).alias("r2"), F.count("*").alias("many")).filter("many > 1")
     partner = F.when(F.col("role") == 0, F.col("r0")).when(F.col("role") == 1, F.col("r2")).otherwise(F.col("r1"))
