@@ -167,14 +167,14 @@ def _grade(n: np.ndarray) -> np.ndarray:
     return np.floor(2000 * np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
-def _crowds(keys: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: the place of each key's first entry, and whether over FREQUENT entries share it (or one stands for many)."""
+def _crowds(keys: np.ndarray, limit: int, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys: the place of each key's first entry, and whether over `limit` entries share it (or one stands for many)."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, bool)
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
     group = np.cumsum(first) - 1
     lead = np.flatnonzero(first)[group]
-    crowded = np.bincount(group) > FREQUENT
+    crowded = np.bincount(group) > limit
     if many is not None:
         crowded |= np.bincount(group, weights=many) > 0
     return lead, crowded[group]
@@ -252,7 +252,7 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
             keys, sids, grade = keys[order], sids[order], grade[order]
             fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))) if len(keys) else np.zeros(0, bool)
             keys, sids, grade = keys[fresh], sids[fresh], grade[fresh]
-            lead, crowded = _crowds(keys)
+            lead, crowded = _crowds(keys, FREQUENT)
             a, b = _chain(sids, lead, crowded)
             grade = np.where(crowded, MANY, grade)
             stay = ~crowded | (np.arange(len(keys)) == lead)
@@ -270,10 +270,10 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
         keys, sids, grade = keys[order], sids[order], grade[order].astype(np.int64)
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]) | (grade[1:] != grade[:-1]))) if len(keys) else np.zeros(0, bool)
         keys, sids, grade = keys[fresh], sids[fresh], grade[fresh]
-        lead, crowded = _crowds(keys, grade == MANY)
+        lead, crowded = _crowds(keys, FREQUENT, grade == MANY)
         x, y = _chain(sids, lead, crowded)
         a, b = np.concatenate((a, x.view(np.int64))), np.concatenate((b, y.view(np.int64)))
-        pairs = []
+        pairs = [np.zeros((0, 2), np.uint64)]
         for step in range(1, FREQUENT):
             at = np.flatnonzero((keys[step:] == keys[:-step]) & ~crowded[step:]) if len(keys) > step else np.zeros(0, np.int64)
             at = at[(np.abs(grade[at] - grade[at + step]) <= _REACH) & (sids[at] != sids[at + step])]
