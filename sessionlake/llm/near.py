@@ -108,9 +108,9 @@ def near_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "em
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     fits = usable(F.col("v")) & F.col("label").isNotNull()
     # Very small and very large vectors are scaled by their greatest component first.
-    rows = rows.withColumn("v", F.when(fits, F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))))
+    rows = rows.withColumn("v", F.when(fits, F.transform("v", lambda x: F.try_divide(x, F.array_max(F.transform("v", F.abs))))))
     rows = rows.withColumn("length", norm).withColumn("v", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length")))).drop("length")
-    rows = cut_lineage(rows.withColumn("fits", F.col("v").isNotNull() & F.forall("v", lambda x: ~F.isnan(x))))
+    rows = cut_lineage(rows.withColumn("fits", F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))))
     good = rows.filter("fits").withColumn("dim", F.size("v"))
     nodes = good.groupBy("dim", "label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     nodes = cut_lineage(nodes.withColumn("node", F.monotonically_increasing_id()))
