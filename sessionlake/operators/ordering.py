@@ -25,7 +25,6 @@ from sessionlake.session import cut_lineage
 
 GROUP_ROWS_CONF = "spark.sessionlake.maxGroupRows"
 DEFAULT_GROUP_ROWS = 1_000_000
-ROW_BYTES = 64
 MAX_CUT_ROWS = 200_000
 DEPTH = 4
 
@@ -195,19 +194,11 @@ def _cut_index(by: tuple[str, ...]) -> Column:
         f"WHEN `{by[0]}` > _at THEN {1 << 60}L ELSE (`{by[1]}` - _lo) div _width END")
 
 
-_probed: dict[tuple, TimeOrder] = {}
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a frame as the optimizer estimates it; unknown sizes count as huge."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def time_order(df: DataFrame, keys: str | Sequence[str] = "session_id",
                by: Sequence[str] = ("t_ms", "event_id"), limit: int | None = None) -> TimeOrder:
     """Count rows per session and decide where large sessions are cut.
 
-    A table so small that one task could sort it whole is not counted at all.
+    Sessions are always counted: sizes that the optimizer estimates say nothing about rows made by a generator or packed well.
 
     ``by[0]`` and ``by[1]`` must be integral; the second is used to cut an instant that alone holds too many rows.
     The probe reads only the key and order columns.
@@ -215,13 +206,7 @@ def time_order(df: DataFrame, keys: str | Sequence[str] = "session_id",
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
     by = tuple(by)
     limit = limit or group_row_limit(df)
-    if estimated_bytes(df) <= limit * ROW_BYTES:
-        return TimeOrder(keys, by)
-    slim = df.select(*keys, *dict.fromkeys(by[:2]))
-    token = (id(df.sparkSession), slim.semanticHash(), keys, by, limit)
-    if token not in _probed:
-        _probed[token] = _probe(slim, keys, by, limit)
-    return _probed[token]
+    return _probe(df.select(*keys, *dict.fromkeys(by[:2])), keys, by, limit)
 
 
 def _probe(slim: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], limit: int) -> TimeOrder:

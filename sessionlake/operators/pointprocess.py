@@ -90,14 +90,14 @@ def gap_histogram(rows: DataFrame, key: str, *, bins: int = 30, share: float = 0
     kept = rows.join(caps, key).filter(F.col("gap_s") <= F.col("_cap"))
     ends = kept.groupBy(key).agg(F.min("gap_s").alias("low_s"), F.max("gap_s").alias("high_s"))
     d = kept.join(ends, key)
-    cell = F.least(F.floor((F.col("gap_s") - F.col("low_s")) / (F.col("high_s") - F.col("low_s")) * bins), F.lit(bins - 1)).cast("long")
+    cell = F.least(F.floor(F.try_divide(F.col("gap_s") - F.col("low_s"), F.col("high_s") - F.col("low_s")) * bins), F.lit(bins - 1)).cast("long")
     return d.groupBy(key, F.coalesce(cell, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def poisson_fit(events: DataFrame, keys: Sequence[str], exposure_s: Column) -> DataFrame:
     """Homogeneous Poisson rate, log-likelihood, AIC and BIC; ``exposure_s`` is an aggregate."""
     d = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), exposure_s.cast("double").alias("exposure_s"))
-    rate = F.col("n") / F.col("exposure_s")
+    rate = F.try_divide(F.col("n"), F.col("exposure_s"))
     d = d.withColumns({"rate": rate, "loglik": F.col("n") * F.log(rate) - F.col("n")})
     return d.withColumns({"aic": 2 - 2 * F.col("loglik"), "bic": F.log("n") - 2 * F.col("loglik")})
 

@@ -364,10 +364,10 @@ def lucky_level_ups(spark, folder):
 
 
 @query("review_queue", f"""
-WITH {SIGNAL_SQL} SELECT event_id, session_id, t_ms // 33 AS frame, greatest(0, t_ms // 33 - 7) AS first_frame, t_ms // 33 + 7 AS last_frame, '' AS coded_type, '' AS coded_count FROM sig WHERE k < 30""")
+WITH {SIGNAL_SQL} SELECT event_id, session_id, t_ms // 33 AS frame, greatest(0, t_ms // 33 - 7) AS first_frame, t_ms // 33 + 7 AS last_frame, '' AS coded_type, '' AS coded_count FROM sig""")
 def review_queue(spark, folder):
     frame = F.expr("t_ms div 33")
-    return signals(spark, folder).filter("k < 30").select("event_id", "session_id", frame.alias("frame"), F.greatest(F.lit(0), frame - 7).alias("first_frame"),
+    return signals(spark, folder).select("event_id", "session_id", frame.alias("frame"), F.greatest(F.lit(0), frame - 7).alias("first_frame"),
                                                           (frame + 7).alias("last_frame"), F.lit("").alias("coded_type"), F.lit("").alias("coded_count"))
 
 
@@ -384,12 +384,12 @@ def slot_occupancy(spark, folder):
 
 @query("entry_rows", f"""
 WITH {SIGNAL_SQL} SELECT event_id AS track_id, t_ms // 33 AS entry_frame, round(t_ms // 33 / 30.0, 4) AS entry_video_time, t_ms // 33 + 5 + k AS predicted_arrival_frame, round(value, 2) AS entry_distance,
- printf('%d:%06.3f', t_ms // 33 // 1800, t_ms // 33 / 30.0 - 60 * (t_ms // 33 // 1800)) AS stamp FROM sig WHERE event_type = 'click' AND k >= 50""")
+ printf('%d:%06.3f', t_ms // 33 // 1800, t_ms // 33 / 30.0 - 60 * (t_ms // 33 // 1800)) AS stamp FROM sig WHERE event_type = 'click'""")
 def entry_rows(spark, folder):
     frame = F.expr("t_ms div 33")
     seconds = frame / 30.0
     minutes = F.floor(seconds / 60)
-    return signals(spark, folder).filter("event_type = 'click' AND k >= 50").select(
+    return signals(spark, folder).filter("event_type = 'click'").select(
         F.col("event_id").alias("track_id"), frame.alias("entry_frame"), F.round(seconds, 4).alias("entry_video_time"), (frame + 5 + F.col("k")).alias("predicted_arrival_frame"),
         F.round("value", 2).alias("entry_distance"), F.format_string("%d:%06.3f", minutes, seconds - minutes * 60).alias("stamp"))
 
@@ -463,13 +463,13 @@ def retrospective_outcomes(spark, folder):
 
 @query("canonical_projection", f"""
 WITH {SIGNAL_SQL} SELECT event_id, event_type, t_ms AS start_ms, t_ms + k AS end_ms, CASE WHEN k % 4 = 0 THEN t_ms ELSE t_ms + k // 2 END AS anchor_ms, CASE WHEN event_type IN ('error', 'signup') THEN CAST(value AS DOUBLE) END AS previous_percent,
-  CASE WHEN event_type IN ('error', 'signup') THEN 'health_bar' END AS modality FROM sig WHERE k < 90""")
+  CASE WHEN event_type IN ('error', 'signup') THEN 'health_bar' END AS modality FROM sig""")
 def canonical_projection(spark, folder):
     """Published form of canonical events; the anchor falls back to the lower bound, and only health events keep their evidence."""
     health = F.col("event_type").isin("error", "signup")
     details = F.create_map(F.lit("previous_percent"), F.col("value").cast("string"))
     evidence = F.array(F.struct(F.lit("health.jsonl").alias("source_artifact"), F.col("event_id").cast("string").alias("source_record_key"), F.array(F.lit("health_bar")).alias("modalities"), details.alias("details")))
-    rows = signals(spark, folder).filter("k < 90").select(
+    rows = signals(spark, folder).select(
         "event_id", "event_type", F.col("t_ms").alias("time_lower_ms"), (F.col("t_ms") + F.col("k")).alias("time_upper_ms"),
         F.when(F.col("k") % 4 != 0, F.col("t_ms") + F.expr("k div 2")).alias("anchor_time_ms"), F.when(health, evidence).alias("evidence"))
     first = F.get("evidence", F.lit(0))

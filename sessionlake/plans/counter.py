@@ -115,12 +115,12 @@ def counter_quality(spark, folder):
 
 @query("counter_candidate", f"""
 WITH {SIGNAL_SQL}, c AS (SELECT session_id, t_ms // 1000 AS second, (event_id * 31 % 100) / 100.0 AS confidence, k AS value,
-   'x' || k AS raw_text FROM sig WHERE event_id % 10 >= 3)
+   'x' || k AS raw_text FROM sig)
 SELECT session_id, second, value, confidence, raw_text FROM c
 QUALIFY row_number() OVER (PARTITION BY session_id, second ORDER BY confidence DESC, value DESC, raw_text DESC) = 1""")
 def counter_candidate(spark, folder):
     """Most confident reading in the lower part of the counter area; the larger value wins a tie."""
-    rows = signals(spark, folder).filter("event_id % 10 >= 3").select(
+    rows = signals(spark, folder).select(
         "session_id", F.expr("t_ms div 1000").alias("second"), (F.col("event_id") * 31 % 100 / 100.0).alias("confidence"),
         F.concat(F.lit("x"), F.col("k").cast("string")).alias("raw_text"))
     best = F.max(F.struct("confidence", F.regexp_replace("raw_text", "[^0-9]", "").cast("long").alias("value"), "raw_text"))

@@ -358,7 +358,7 @@ def status_ladder(spark, folder):
 
 _LIKELY_SQL = """
 sv AS (SELECT event_id, CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN 'blue|green' WHEN k % 4 = 2 THEN 'red|blue|red' ELSE 'green' END AS colors, CASE WHEN k % 4 = 1 THEN '0.9|0.8' WHEN k % 4 = 2 THEN '0.7|0.95' WHEN k % 4 = 3 THEN 'nan' ELSE '' END AS scores,
-   k % 3 AS ub, event_id % 2 AS ug, 0 AS ur FROM sig WHERE k >= 60),
+   k % 3 AS ub, event_id % 2 AS ug, 0 AS ur FROM sig),
 se2 AS (SELECT *, list_filter(string_split(colors, '|'), lambda x: x IN ('blue', 'green', 'red')) AS cs, list_filter(string_split(scores, '|'), lambda x: x <> '' AND lower(x) <> 'nan') AS ss FROM sv),
 vo AS (SELECT *, list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN i <= len(ss) THEN CAST(ss[i] AS DOUBLE) ELSE 1.0 END) AS w FROM se2),
 vt AS (SELECT *, coalesce(list_sum(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN cs[i] = 'blue' THEN w[i] ELSE 0 END)), 0) AS vb, coalesce(list_sum(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN cs[i] = 'green' THEN w[i] ELSE 0 END)), 0) AS vg,
@@ -372,7 +372,7 @@ WITH {SIGNAL_SQL}, {_LIKELY_SQL} SELECT event_id, CASE WHEN b + g + r <= 0 THEN
 def saturated_likely_color(spark, folder):
     """Likely colour of a saturated pickup: trajectory scores vote, else unmatched candidates, else the weakest fallback."""
     k = F.col("k") % 4
-    rows = signals(spark, folder).filter("k >= 60").select(
+    rows = signals(spark, folder).select(
         "event_id", F.when(k == 0, "").when(k == 1, "blue|green").when(k == 2, "red|blue|red").otherwise("green").alias("colors"),
         F.when(k == 1, "0.9|0.8").when(k == 2, "0.7|0.95").when(k == 3, "nan").otherwise("").alias("scores"), (F.col("k") % 3).alias("ub"), (F.col("event_id") % 2).alias("ug"), F.lit(0).cast("long").alias("ur"))
     colours = F.filter(F.split("colors", "\\|"), lambda c: c.isin(*ops.COLOURS))

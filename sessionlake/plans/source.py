@@ -23,23 +23,23 @@ def frame_decimation(spark, folder):
 
 
 @query("export_page", f"""
-WITH {SIGNAL_SQL} SELECT event_id, session_id, t_ms FROM sig WHERE k < 30 ORDER BY session_id, t_ms, event_id LIMIT 50 OFFSET 100""")
+WITH {SIGNAL_SQL} SELECT event_id, session_id, t_ms FROM sig ORDER BY session_id, t_ms, event_id LIMIT 50 OFFSET 100""")
 def export_page(spark, folder):
     """One page of an ordered review export."""
-    rows = signals(spark, folder).filter("k < 30").select("event_id", "session_id", "t_ms")
+    rows = signals(spark, folder).select("event_id", "session_id", "t_ms")
     return ops.page(rows, ["session_id", "t_ms", "event_id"], 100, 50)
 
 
 _CONFIG_SQL = """
 cf AS (SELECT p_partkey AS config, 'video_' || (p_partkey % 700) AS source, sha256('v' || (p_partkey % 900)) AS sha256 FROM part),
-so AS (SELECT 'video_' || (l_orderkey % 800) AS source, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE sha256('v' || (l_orderkey % 800 + CASE WHEN l_orderkey % 13 = 0 THEN 50 ELSE 0 END)) END AS sha256, l_orderkey % 9 <> 0 AS inspected FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 7 = 0 AND l_orderkey < 5000))"""
+so AS (SELECT 'video_' || (l_orderkey % 800) AS source, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE sha256('v' || (l_orderkey % 800 + CASE WHEN l_orderkey % 13 = 0 THEN 50 ELSE 0 END)) END AS sha256, l_orderkey % 9 <> 0 AS inspected FROM (SELECT DISTINCT l_orderkey FROM lineitem))"""
 
 
 def _registry(spark, folder):
     configs = table(spark, folder, "part").select(F.col("p_partkey").alias("config"), F.concat(F.lit("video_"), (F.col("p_partkey") % 700).cast("string")).alias("source"),
                                                   F.sha2(F.concat(F.lit("v"), (F.col("p_partkey") % 900).cast("string")), 256).alias("sha256"))
     k = F.col("l_orderkey")
-    sources = table(spark, folder, "lineitem").filter("l_orderkey % 7 = 0 AND l_orderkey < 5000").select("l_orderkey").distinct().select(
+    sources = table(spark, folder, "lineitem").select("l_orderkey").distinct().select(
         F.concat(F.lit("video_"), (k % 800).cast("string")).alias("source"),
         F.when(k % 9 != 0, F.sha2(F.concat(F.lit("v"), (k % 800 + F.when(k % 13 == 0, 50).otherwise(0)).cast("string")), 256)).alias("sha256"), (k % 9 != 0).alias("inspected"))
     return configs, sources
