@@ -3,7 +3,7 @@
 encode: a text is cut by the pattern into pre-tokens. A pre-token that is itself in the vocabulary is resolved by one probe of
 a minimal perfect hash. Any other is merged: its bytes are a linked list, the adjacent pairs wait in a heap ordered by rank and
 place, and the lowest pair is joined until no pair is in the vocabulary; O(n log n) in the length of the pre-token. Results
-for recent pre-tokens are kept in a bounded dictionary per task.
+for recent pre-tokens are kept in two bounded dictionaries per worker process.
 
 Defined cases: a null or empty text has no ids and decodes to empty bytes; null ids decode to null; repeated rows are encoded
 each; other columns pass through; an existing column of the result's name is replaced.
@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from sessionlake.llm.common import free_name, pieces
 
 MAX_VOCABULARY = 2_000_000
-CACHED_PRETOKENS = 400_000
+CACHED_PRETOKENS = 400_000  # in each of two generations
 LONG_PRETOKEN = 100  # characters; longer ones are not kept
 _MASK = (1 << 64) - 1
 _hash = xxhash.xxh3_64_intdigest
@@ -90,33 +91,56 @@ class PerfectHash:
 def merge(piece: bytes, rank) -> list[int]:
     """Ids of a pre-token: the lowest-ranked adjacent pair is joined first, the leftmost among equals.
 
-    A part is known by its first byte's place; end[a] is where it ends and the next begins, before[a] where the last began.
+    A part is known by its first byte's place; end[a] is where it ends and the next begins, before[a] where the last began,
+    ids[a] its id once joined. A heap entry is one integer: rank, place and stop, each of as many bits as the length has.
     """
     n = len(piece)
+    bits = n.bit_length()
+    ones = (1 << bits) - 1
     end = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    heap = [(r, a, a + 2) for a in range(n - 1) if (r := rank(piece[a:a + 2])) is not None]
+    ids = [-1] * n
+    heap = [(r << bits | a) << bits | a + 2 for a in range(n - 1) if (r := rank(piece[a:a + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, a, stop = heapq.heappop(heap)
+        entry = heapq.heappop(heap)
+        stop, a = entry & ones, entry >> bits & ones
         b = end[a]
         if b < 0 or b >= n or end[b] != stop:  # one of the two has changed since
             continue
-        end[a], end[b] = stop, -1
+        end[a], end[b], ids[a] = stop, -1, entry >> 2 * bits
         if stop < n:
             before[stop] = a
             if (r := rank(piece[a:end[stop]])) is not None:
-                heapq.heappush(heap, (r, a, end[stop]))
+                heapq.heappush(heap, (r << bits | a) << bits | end[stop])
         left = before[a]
         if left >= 0 and (r := rank(piece[left:stop])) is not None:
-            heapq.heappush(heap, (r, left, stop))
+            heapq.heappush(heap, (r << bits | left) << bits | stop)
     out, at = [], 0
     while at < n:
-        out.append(rank(piece[at:end[at]]))
+        out.append(ids[at] if ids[at] >= 0 else rank(piece[at:at + 1]))
         at = end[at]
     return out
 
 
+class Recent(dict):
+    """Ids (packed int32) of pre-tokens by their text, in two generations: a full one becomes the old one, and what is used again moves back."""
+
+    def __init__(self, find):
+        self.find, self.old = find, {}
+
+    def __missing__(self, token: str) -> bytes:
+        ids = self.old.get(token)
+        if ids is None:
+            ids = self.find(token.encode("utf-8"))
+        if len(token) <= LONG_PRETOKEN:
+            if len(self) >= CACHED_PRETOKENS:
+                self.old = dict(self)
+                self.clear()
+            self[token] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder over one vocabulary; small enough to be broadcast (bounded by MAX_VOCABULARY entries)."""
 
@@ -129,37 +153,45 @@ class Codec:
         self.table = PerfectHash(ranks)
         self.pattern = pattern
         self.ranks = ranks
-        self.recent: dict[str, list[int]] = {}  # stays with the worker process from task to task
-        self.bytes_of = {rank: key for key, rank in ranks.items()}
+        self.recent: Recent | None = None  # made in the worker process, where it stays from task to task
+        self.bytes_of = pa.nulls(0, pa.binary())
+        if ranks:
+            of = {rank: key for key, rank in ranks.items()}
+            self.bytes_of = pa.array([of.get(rank) for rank in range(max(of) + 1)], pa.binary())
+
+    def ids_of(self, raw: bytes) -> bytes:
+        """Ids of one pre-token, packed."""
+        whole = self.table.get(raw)
+        return array("i", [whole] if whole is not None else merge(raw, self.ranks.get)).tobytes()
+
+    def packer(self):
+        """A function from a text to its ids, packed as int32."""
+        find = regex.compile(self.pattern).findall
+        if self.recent is None:
+            self.recent = Recent(self.ids_of)
+        ids = self.recent.__getitem__
+        return lambda text: b"".join(map(ids, find(text))) if text else b""
 
     def encoder(self):
-        find = regex.compile(self.pattern).findall
-        table, pair_rank, cache = self.table, self.ranks.get, self.recent
-
-        def ids_of(token: str) -> list[int]:
-            raw = token.encode("utf-8")
-            whole = table.get(raw)
-            return [whole] if whole is not None else merge(raw, pair_rank)
-
-        def encode(text: str | None) -> list[int]:
-            tokens = find(text) if text else []
-            try:
-                return list(chain.from_iterable(map(cache.__getitem__, tokens)))
-            except KeyError:
-                pass
-            if len(cache) > CACHED_PRETOKENS:
-                cache.clear()
-            for token in set(tokens).difference(cache):
-                cache[token] = ids_of(token)
-            out = list(chain.from_iterable(map(cache.__getitem__, tokens)))
-            for token in {t for t in tokens if len(t) > LONG_PRETOKEN}:
-                cache.pop(token, None)
-            return out
-
-        return encode
+        """A function from a text to the list of its ids."""
+        pack = self.packer()
+        return lambda text: np.frombuffer(pack(text), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids: the entries of all ids side by side, cut where a list ends."""
+        parts = self.bytes_of.take(lists.flatten())
+        if parts.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        _, offsets, data = parts.buffers()
+        starts = np.frombuffer(offsets, np.int32)[parts.offset:parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+        cuts = starts[np.concatenate(([0], np.cumsum(lengths)))]
+        missing = pc.is_valid(lists).cast(pa.uint8()).to_numpy(zero_copy_only=False)
+        valid = pa.py_buffer(np.packbits(missing, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(cuts.astype(np.int32).tobytes()), data if data is not None else pa.py_buffer(b"")])
 
 
 def load_codec(spark: SparkSession, path: str, pattern: str) -> Codec:
@@ -178,10 +210,10 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids")
     schema = T.StructType([*source.select(*(f"`{c}`" for c in rest)).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = shared.value.encoder()
+        one = shared.value.packer()
         for batch in pieces(batches, own):
-            lists = [one(t.as_py()) for t in batch.column(own)]
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(chain.from_iterable(lists), pa.int32()))
+            lists = [one(t) for t in batch.column(own).to_pylist()]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
             columns = [batch.column(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*columns, ids], names=[*rest, out])
 
@@ -198,9 +230,8 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        for batch in batches:
-            column = batch.column(own)
-            raw = pa.array([codec.decode(x.values.to_pylist()) if x.is_valid else None for x in column], pa.binary())
+        for batch in pieces(batches, own, measure=pc.list_value_length):
+            raw = codec.decode_lists(batch.column(own))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), raw], names=[*rest, out])
 
     return source.mapInArrow(run, schema)

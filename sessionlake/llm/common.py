@@ -20,10 +20,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about so many bytes of text; a longer text comes alone."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES, measure=pc.binary_length) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text, or of what else is measured; a longer text comes alone."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = measure(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes, dtype=np.int64) // limit
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]))
         for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
