@@ -80,11 +80,17 @@ def smallest_linked(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for every node of links (a, b: long); nodes without links are absent.
 
     Every round points each node's larger neighbours, then its smaller ones, at the smallest of them, so distances halve and
-    a round only moves as many rows as there are links. Rounds end when nothing changes; each is a checkpoint.
+    a round only moves as many rows as there are links. Rounds end when the links are stars: each node has one link to a
+    smaller one, which has none itself. Each round is a checkpoint.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
     edges = cut_lineage(links.mapInArrow(join_locally, "a long, b long").distinct())
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+            edges.select(F.col("b"), (F.col("b") > F.col("a")).cast("int"), F.lit(1)))
+        chained = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)")
+        if chained.isEmpty():
+            break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -92,9 +98,7 @@ def smallest_linked(links: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = (down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
                  .select("e.a", "e.b").filter("a != b").distinct())
-        before, edges = edges, cut_lineage(small)
-        if edges.exceptAll(before).isEmpty() and before.exceptAll(edges).isEmpty():
-            break
+        edges = cut_lineage(small)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 

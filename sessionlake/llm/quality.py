@@ -107,25 +107,41 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return text, np.clip(meta, -50, 50), n
 
 
+CHUNK_ROWS = 4096  # rows of a sample turned into doubles at once
+
+
+def _chunks(rows: int) -> Iterator[slice]:
+    return (slice(at, at + CHUNK_ROWS) for at in range(0, rows, CHUNK_ROWS))
+
+
 class View(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)
+        scores = [_standard(x[at], self.mean, self.scale) @ self.weights[1:] + self.weights[0] for at in _chunks(len(x))]
+        return np.clip(np.concatenate(scores), -30, 30) if scores else np.zeros(0)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, prepare=lambda part: part) -> np.ndarray:
     """Newton's method with an L2 penalty; the first weight is the constant."""
-    x = np.column_stack((np.ones(len(x)), x))
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(x.shape[1] + 1, penalty)
     ridge[0] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(ridge))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
+        curvature, gradient = np.diag(ridge), -ridge * w
+        for at in _chunks(len(x)):
+            part = prepare(x[at])
+            part = np.column_stack((np.ones(len(part)), part))
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curvature = curvature + (part * (weight[at] * p * (1 - p) + 1e-9)[:, None]).T @ part
+            gradient = gradient + part.T @ (weight[at] * (y[at] - p))
+        step = np.linalg.solve(curvature, gradient)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -133,9 +149,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 
 def fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, scale = x.mean(0), x.std(0)
+    mean = x.mean(0, dtype=np.float64)
+    scale = np.sqrt(sum((((x[at] - mean) ** 2).sum(0) for at in _chunks(len(x))), np.zeros(x.shape[1])) / max(1, len(x)))
     scale = np.where(scale > 1e-9, scale, 1.0)
-    return View(mean, scale, _logistic(np.clip((x - mean) / scale, -8, 8), y, weight))
+    return View(mean, scale, _logistic(x, y, weight, prepare=lambda part: _standard(part, mean, scale)))
 
 
 class Model(NamedTuple):
@@ -217,7 +234,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
     if not len(table):
         return None
     table = table.take(pc.sort_indices(table.select(["id"]), sort_keys=[("id", "ascending")]))
-    flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(table), -1)
+    flat = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
     n_text = len(_CLASSES) + 9 + WORD_BUCKETS
     y = table.column("y").to_numpy(zero_copy_only=False)
     has = ~np.isnan(y)
