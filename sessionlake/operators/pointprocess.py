@@ -151,102 +151,162 @@ def excitation_label(alpha: Column) -> Column:
     return F.when(alpha > 0.5, "strong").when(alpha > 0.2, "moderate").otherwise("weak")
 
 
+LOW_ALPHA, HIGH_ALPHA = 1e-6, 0.999
+
+
+def _newton(h: DataFrame, series: str, params: dict[tuple, tuple], exposure: float, steps: int) -> dict[tuple, tuple]:
+    """(log-likelihood, mu, alpha, n, settled) per (series, decay), by damped Newton steps from ``params``.
+
+    ``h`` has ``series, beta, r, m``.  A round is one aggregate over all pairs; pairs that are settled leave it.
+    """
+    spark = h.sparkSession
+    kind = h.schema[series].dataType.simpleString()
+    rate = F.col("mu") + F.col("alpha") * F.col("r")
+    kept: dict[tuple, tuple] = {}
+    move: dict[tuple, tuple] = {}
+    open_params = dict(params)
+    for _ in range(steps):
+        table = literal_rows(spark, [(*key, *value) for key, value in open_params.items()], f"{series} {kind}, beta double, mu double, alpha double")
+        sums = h.join(F.broadcast(table), [series, "beta"]).groupBy(series, "beta").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("m").alias("mass"), F.sum(F.log(rate)).alias("l"), F.sum(1 / rate).alias("g0"), F.sum(F.col("r") / rate).alias("g1"),
+            F.sum(1 / (rate * rate)).alias("h00"), F.sum(F.col("r") / (rate * rate)).alias("h01"), F.sum(F.col("r") * F.col("r") / (rate * rate)).alias("h11")).collect()
+        following: dict[tuple, tuple] = {}
+        for row in sums:
+            key = (row[series], row["beta"])
+            mu, alpha = open_params[key]
+            value = row["l"] - mu * exposure - alpha * row["mass"]
+            if key in kept and value < kept[key][0]:
+                move[key] = (move[key][0] / 2, move[key][1] / 2)
+            else:
+                kept[key] = (value, mu, alpha, row["n"], False)
+                g0, g1 = row["g0"] - exposure, row["g1"] - row["mass"]
+                det = row["h00"] * row["h11"] - row["h01"] ** 2
+                pinned = (alpha <= LOW_ALPHA and g1 <= 0) or (alpha >= HIGH_ALPHA and g1 >= 0)
+                if not pinned and det > 1e-12 * row["h00"] * max(row["h11"], 1e-300):
+                    move[key] = ((row["h11"] * g0 - row["h01"] * g1) / det, (row["h00"] * g1 - row["h01"] * g0) / det)
+                else:
+                    move[key] = (g0 / row["h00"], 0.0)
+            _, mu, alpha, n, _ = kept[key]
+            step = (min(max(mu + move[key][0], 0.2 * mu), 5 * mu), min(max(alpha + move[key][1], LOW_ALPHA), HIGH_ALPHA))
+            if abs(step[0] - mu) <= 1e-6 * mu and abs(step[1] - alpha) <= 1e-6:
+                kept[key] = (*kept[key][:4], True)
+            else:
+                following[key] = step
+        open_params = following
+        if not open_params:
+            break
+    return kept
+
+
+def _next_decays(tried: set[float], best: float, spacing: float, limits: tuple[float, float]) -> tuple[list[float], float]:
+    """Decays to try beside the best one and the spacing they leave: outwards from an edge, else a third as far apart."""
+    if best == min(tried) and best > limits[0]:
+        return sorted({max(best / f, limits[0]) for f in (3.0, 9.0)}), spacing
+    if best == max(tried) and best < limits[1]:
+        return sorted({min(best * f, limits[1]) for f in (3.0, 9.0)}), spacing
+    return [best * math.exp(k * spacing / 3) for k in (-2, -1, 1, 2) if limits[0] <= best * math.exp(k * spacing / 3) <= limits[1]], spacing / 3
+
+
 def fit_hawkes(events: DataFrame, series: str, session: str, *, end_ms: int, betas: Sequence[float] = (0.02, 0.05, 0.1, 0.3, 1.0, 3.0, 10.0),
-               steps: int = 14, refinements: int = 1) -> DataFrame:
+               steps: int = 60, refinements: int = 12, gain: float = 1e-3, limits: tuple[float, float] = (1e-4, 1e4)) -> DataFrame:
     """Maximum-likelihood ``mu, alpha, beta`` per series, pooled over sessions.
 
     For a fixed decay the log-likelihood is concave in ``(mu, alpha)``, so each round is one aggregate of its gradient and
     curvature over all series and decays at once, followed by a damped Newton step on the driver (a handful of numbers).
-    The decay grid is then refined around the best value of each series.
+    The decay grid is then extended while the best value lies at its edge, and refined around it until a round gains less
+    than ``gain``.  ``converged`` tells whether both the Newton steps and the decay of a series came to rest inside
+    ``limits`` within ``steps`` and ``refinements``.  The likelihood may have several maxima along the decay; the one found
+    is that beside the best value of ``betas``, so the grid should be wide.
     """
     spark = events.sparkSession
     sessions = events.select(session).distinct().count()
     exposure = sessions * end_ms / 1000.0
-    best: dict[str, tuple] = {}
+    kind = events.schema[series].dataType.simpleString()
     grid = events.select(session, series, "t_ms", "event_id")
-    rounds = [with_decay_rates(grid, betas)]
+    best: dict[str, tuple] = {}
+    tried: dict[str, set[float]] = {}
+    spacing: dict[str, float] = {}
+    at_rest: set[str] = set()
+    wanted: dict[str, list[float]] | None = None
+    first_spacing = max((math.log(b / a) for a, b in zip(sorted(betas), sorted(betas)[1:])), default=math.log(3.0))
     for attempt in range(refinements + 1):
-        if attempt:
-            pairs = [(name, float(b * f)) for name, (_, _, b, _, _) in best.items() for f in (0.6, 0.8, 1.25, 1.6)]
-            near = spark.createDataFrame(pairs, [grid.schema[series].simpleString().split(":")[0], "beta"])
-            rounds.append(grid.join(F.broadcast(near), series))
-        h = decayed_history(rounds[attempt], [session, series], "beta").select(
-            series, "beta", (F.col("beta") * F.col("history")).alias("r"), (1 - F.exp(-F.col("beta") * (end_ms - F.col("t_ms")) / 1000.0)).alias("m"))
-        h = cut_lineage(h)
-        sizes = {(row[series], row["beta"]): (row["n"], row["mass"]) for row in h.groupBy(series, "beta").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("mass")).collect()}
-        params = {key: (0.5 * n / exposure, 0.3) for key, (n, _) in sizes.items()}
-        kept: dict[tuple, tuple] = {}
-        move = {key: (0.0, 0.0) for key in params}
-        for _ in range(steps):
-            table = literal_rows(spark, [(*key, *value) for key, value in params.items()], f"{series} {h.schema[series].dataType.simpleString()}, beta double, mu double, alpha double")
-            rate = F.col("mu") + F.col("alpha") * F.col("r")
-            sums = h.join(F.broadcast(table), [series, "beta"]).groupBy(series, "beta").agg(
-                F.sum(F.log(rate)).alias("l"), F.sum(1 / rate).alias("g0"), F.sum(F.col("r") / rate).alias("g1"), F.sum(1 / (rate * rate)).alias("h00"),
-                F.sum(F.col("r") / (rate * rate)).alias("h01"), F.sum(F.col("r") * F.col("r") / (rate * rate)).alias("h11")).collect()
-            settled = True
-            for row in sums:
-                key = (row[series], row["beta"])
-                mu, alpha = params[key]
-                mass = sizes[key][1]
-                value = row["l"] - mu * exposure - alpha * mass
-                if key in kept and value < kept[key][0] - 1e-9:
-                    move[key] = (move[key][0] / 2, move[key][1] / 2)
-                else:
-                    kept[key] = (value, mu, alpha)
-                    g0, g1 = row["g0"] - exposure, row["g1"] - mass
-                    det = row["h00"] * row["h11"] - row["h01"] ** 2
-                    if det > 1e-12 * row["h00"] * max(row["h11"], 1e-300):
-                        move[key] = ((row["h11"] * g0 - row["h01"] * g1) / det, (row["h00"] * g1 - row["h01"] * g0) / det)
-                    else:
-                        move[key] = (g0 / row["h00"], 0.0)
-                _, mu, alpha = kept[key]
-                following = (min(max(mu + move[key][0], 0.2 * mu), 5 * mu), min(max(alpha + move[key][1], 1e-6), 0.999))
-                settled = settled and abs(following[0] - mu) <= 1e-6 * mu and abs(following[1] - alpha) <= 1e-6
-                params[key] = following
-            if settled:
-                break
-        for (name, beta), (value, mu, alpha) in kept.items():
+        if wanted is None:
+            points = with_decay_rates(grid, betas)
+        else:
+            near = literal_rows(spark, [(name, b) for name, some in wanted.items() for b in some], f"{series} {kind}, beta double")
+            points = grid.join(F.broadcast(near), series)
+        h = cut_lineage(decayed_history(points, [session, series], "beta").select(
+            series, "beta", (F.col("beta") * F.col("history")).alias("r"), (1 - F.exp(-F.col("beta") * (end_ms - F.col("t_ms")) / 1000.0)).alias("m")))
+        sizes = {(row[series], row["beta"]): row["n"] for row in h.groupBy(series, "beta").agg(F.count(F.lit(1)).alias("n")).collect() if row[series] is not None}
+        start = {key: (best[key[0]][0], min(max(best[key[0]][1], 0.01), 0.9)) if key[0] in best else (0.5 * n / exposure, 0.3) for key, n in sizes.items()}
+        before = {name: row[3] for name, row in best.items()}
+        for (name, beta), (value, mu, alpha, n, settled) in _newton(h, series, start, exposure, steps).items():
+            tried.setdefault(name, set()).add(beta)
             if name not in best or value > best[name][3]:
-                best[name] = (mu, alpha, beta, value, sizes[(name, beta)][0])
-    rows = [(name, mu, alpha, beta, value, n, 6 - 2 * value, 3 * math.log(n) - 2 * value) for name, (mu, alpha, beta, value, n) in best.items()]
-    fitted = spark.createDataFrame(rows, f"{series} {events.schema[series].dataType.simpleString()}, mu double, alpha double, beta double, loglik double, n long, aic double, bic double")
+                best[name] = (mu, alpha, beta, value, n, settled)
+        wanted = {}
+        for name, row in best.items():
+            if name in at_rest:
+                continue
+            inside = min(tried[name]) < row[2] < max(tried[name])
+            if name in before and inside and row[3] - before[name] < gain:
+                at_rest.add(name)
+                continue
+            some, spacing[name] = _next_decays(tried[name], row[2], spacing.get(name, first_spacing), limits)
+            if some:
+                wanted[name] = some
+        if not wanted:
+            break
+    rows = [(name, mu, alpha, beta, value, n, 6 - 2 * value, 3 * math.log(n) - 2 * value, settled and name in at_rest) for name, (mu, alpha, beta, value, n, settled) in best.items()]
+    fitted = spark.createDataFrame(rows, f"{series} {kind}, mu double, alpha double, beta double, loglik double, n long, aic double, bic double, converged boolean")
     return fitted.withColumn("excitation", excitation_label(F.col("alpha")))
 
 
-def fit_multivariate(events: DataFrame, kind: str, session: str, kinds: Sequence[str], *, end_ms: int, beta: float = 1.0, steps: int = 25) -> DataFrame:
+def fit_multivariate(events: DataFrame, kind: str, session: str, kinds: Sequence[str], *, end_ms: int, beta: float = 1.0, steps: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Cross-excitation of a fixed, small set of event types at a fixed decay, by expectation-maximisation.
 
-    The histories per source type are computed once; a round is one aggregate per target type.  The log-likelihood never
-    falls, and only ``D + D * D`` numbers reach the driver.
+    Only strictly earlier events excite: events are counted per instant and type, and the history runs over instants.
+    Histories are computed once; a round is one aggregate per target type.  Rounds end when the log-likelihood gains less
+    than ``tolerance`` of its size (``converged``) or after ``steps``.  ``loglik`` belongs to the published parameters.
     """
     spark = events.sparkSession
     exposure = events.select(session).distinct().count() * end_ms / 1000.0
-    points = events.filter(F.col(kind).isin(*kinds)).select(session, kind, "t_ms", "event_id").withColumn("beta", F.lit(float(beta)))
-    weights = {f"h{i}": F.when(F.col(kind) == name, 1.0).otherwise(0.0) for i, name in enumerate(kinds)}
-    h = decayed_history(points, [session], "beta", weights=weights)
-    h = cut_lineage(h.select(kind, *weights, (1 - F.exp(-beta * (end_ms - F.col("t_ms")) / 1000.0)).alias("m")))
-    base = {row[kind]: (row["n"], row["mass"]) for row in h.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("mass")).collect()}
+    instants = events.filter(F.col(kind).isin(*kinds)).groupBy(session, "t_ms").agg(*[F.count_if(F.col(kind) == name).cast("double").alias(f"n{i}") for i, name in enumerate(kinds)])
+    instants = instants.withColumns({"beta": F.lit(float(beta)), "event_id": F.lit(0).cast("long")})
+    weights = {f"h{i}": F.col(f"n{i}") for i in range(len(kinds))}
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("target"), F.col(f"n{i}").alias("n")) for i, name in enumerate(kinds)])).alias("x")
+    h = decayed_history(instants, [session], "beta", weights=weights)
+    h = h.select(cells, *weights, (1 - F.exp(-beta * (end_ms - F.col("t_ms")) / 1000.0)).alias("m")).select("x.*", *weights, "m")
+    h = cut_lineage(h.filter("n > 0"))
+    base = {row["target"]: (row["events"], row["mass"]) for row in h.groupBy("target").agg(F.sum("n").alias("events"), F.sum(F.col("n") * F.col("m")).alias("mass")).collect()}
     d = len(kinds)
-    mu = [0.5 * base.get(name, (0, 0))[0] / exposure for name in kinds]
-    alpha = [[0.05] * d for _ in kinds]
-    value = -math.inf
+    mass = [base.get(name, (0.0, 0.0))[1] for name in kinds]
+    mu = [0.5 * base.get(name, (0.0, 0.0))[0] / exposure for name in kinds]
+    alpha = [[0.05 if base.get(name, (0.0, 0.0))[0] else 0.0] * d for name in kinds]
+    part = lambda j: F.col(f"a{j}") * beta * F.col(f"h{j}")
+    rate = sum((part(j) for j in range(d)), F.col("mu"))
+
+    def measure() -> tuple[dict, float]:
+        table = literal_rows(spark, [(name, mu[i], *alpha[i]) for i, name in enumerate(kinds)], "target string, mu double, " + ", ".join(f"a{j} double" for j in range(d)))
+        sums = h.join(F.broadcast(table), "target").groupBy("target").agg(F.sum(F.col("n") * F.log(rate)).alias("l"), F.sum(F.col("n") * F.col("mu") / rate).alias("b"),
+                                                                         *[F.sum(F.col("n") * part(j) / rate).alias(f"t{j}") for j in range(d)]).collect()
+        found = {row["target"]: row for row in sums}
+        return found, sum(found[name]["l"] - mu[i] * exposure - sum(a * m for a, m in zip(alpha[i], mass)) for i, name in enumerate(kinds) if name in found)
+
+    found, value = measure()
+    converged = False
     for _ in range(steps):
-        table = literal_rows(spark, [(name, mu[i], *alpha[i]) for i, name in enumerate(kinds)], f"{kind} string, mu double, " + ", ".join(f"a{j} double" for j in range(d)))
-        rate = F.col("mu") + sum((F.col(f"a{j}") * beta * F.col(f"h{j}") for j in range(1, d)), F.col("a0") * beta * F.col("h0"))
-        sums = h.join(F.broadcast(table), kind).groupBy(kind).agg(F.sum(F.log(rate)).alias("l"), F.sum(F.col("mu") / rate).alias("b"),
-                                                                *[F.sum(F.col(f"a{j}") * beta * F.col(f"h{j}") / rate).alias(f"t{j}") for j in range(d)]).collect()
-        found = {row[kind]: row for row in sums}
-        now = 0.0
         for i, name in enumerate(kinds):
-            if name not in found:
-                continue
-            row = found[name]
-            now += row["l"] - mu[i] * exposure - sum(alpha[i][j] * base.get(kinds[j], (0, 0.0))[1] for j in range(d))
-            mu[i] = max(row["b"] / exposure, 1e-12)
-            alpha[i] = [min(row[f"t{j}"] / base[kinds[j]][1], 0.999) if base.get(kinds[j], (0, 0))[1] > 0 else 0.0 for j in range(d)]
-        value = now
-    rows = [(target, source, mu[i], alpha[i][j], value) for i, target in enumerate(kinds) for j, source in enumerate(kinds)]
-    out = spark.createDataFrame(rows, "target string, source string, mu double, alpha double, loglik double")
+            if name in found:
+                mu[i] = max(found[name]["b"] / exposure, 1e-12)
+                alpha[i] = [min(found[name][f"t{j}"] / mass[j], HIGH_ALPHA) if mass[j] > 0 else 0.0 for j in range(d)]
+        found, following = measure()
+        converged = abs(following - value) <= tolerance * max(1.0, abs(value))
+        value = following
+        if converged:
+            break
+    rows = [(target, source, mu[i], alpha[i][j], value, converged) for i, target in enumerate(kinds) for j, source in enumerate(kinds)]
+    out = spark.createDataFrame(rows, "target string, source string, mu double, alpha double, loglik double, converged boolean")
     own = F.col("target") == F.col("source")
     label = (F.when(own & (F.col("alpha") > 0.2), "strong").when(own & (F.col("alpha") > 0.05), "moderate").when(own, "weak")
              .when(F.col("alpha") > 0.01, "cross").otherwise("none"))

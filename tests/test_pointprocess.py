@@ -53,3 +53,29 @@ def test_multivariate_loglik_never_falls(spark):
     end = max(d[1] for d in data) + 1_000
     values = [ops.fit_multivariate(df, "event_type", "session_id", ["a", "b"], end_ms=end, steps=steps).first()["loglik"] for steps in (2, 5, 9)]
     assert values == sorted(values)
+
+
+def test_only_strictly_earlier_events_excite_each_other(spark):
+    data = [(1, 1_000, 1, "a"), (1, 1_000, 2, "b"), (1, 1_000, 3, "b"), (1, 2_500, 4, "a"), (1, 2_500, 5, "b"), (1, 2_900, 6, "a"), (1, 6_000, 7, "b")]
+    df = spark.createDataFrame(data, "session_id long, t_ms long, event_id long, event_type string")
+    end = 8_000
+    for steps in (1, 4, 100):
+        rows = ops.fit_multivariate(df, "event_type", "session_id", ["a", "b"], end_ms=end, steps=steps).collect()
+        mu = {r["target"]: r["mu"] for r in rows}
+        alpha = {(r["target"], r["source"]): r["alpha"] for r in rows}
+        total = -sum(mu.values()) * end / 1000
+        for _, t, _, kind in data:
+            total += math.log(mu[kind] + sum(alpha[kind, other] * math.exp(-(t - u) / 1000) for _, u, _, other in data if u < t))
+            total -= sum(alpha[target, kind] * (1 - math.exp(-(end - t) / 1000)) for target in mu)
+        assert abs(rows[0]["loglik"] - total) < 1e-9
+    assert rows[0]["converged"]
+
+
+def test_decay_is_found_between_and_beyond_the_grid(spark):
+    df, _ = events(spark, 300)
+    df = df.withColumn("event_type", F.lit("a"))
+    end = df.agg(F.max("t_ms")).first()[0] + 1_000
+    near = ops.fit_hawkes(df, "event_type", "session_id", end_ms=end, betas=(10.0, 30.0, 100.0)).first()
+    far = ops.fit_hawkes(df, "event_type", "session_id", end_ms=end, betas=(4.0, 6.0)).first()
+    assert near["converged"] and far["converged"] and far["beta"] > 6.0
+    assert abs(near["loglik"] - far["loglik"]) < 0.01
