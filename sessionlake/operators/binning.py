@@ -28,6 +28,11 @@ def bin_spine(sessions: DataFrame, duration_ms: int | Column, bin_ms: int, keys:
     )
 
 
+def observed_durations(rows: DataFrame, bin_ms: int, *, time: str = "t_ms", keys: Sequence[str] = ("session_id",)) -> DataFrame:
+    """``duration_ms`` of each session without a recorded length: the end of the bin that holds its last row."""
+    return rows.groupBy(*keys).agg((bin_start(F.max(time), bin_ms) + bin_ms).alias("duration_ms"))
+
+
 def count_by_bin(events: DataFrame, bin_ms: int, counts: dict[str, Column], *, time: str = "t_ms",
                  keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Conditional counts per half-open bin of the anchor time."""
@@ -35,19 +40,22 @@ def count_by_bin(events: DataFrame, bin_ms: int, counts: dict[str, Column], *, t
         *[F.count_if(condition).alias(name) for name, condition in counts.items()])
 
 
-def boundary_windows(samples: DataFrame, duration_ms: int, bin_ms: int, *, value: str, time: str = "t_ms",
+def boundary_windows(samples: DataFrame, duration_ms: int | None, bin_ms: int, *, value: str, time: str = "t_ms",
                      tie: str = "event_id", key: str = "session_id") -> DataFrame:
     """Counter at both boundaries of each bin and its increase; NULL where the bin saw no sample.
 
     A boundary takes the last sample at or before it, so samples are grouped into bins closed on the right and
     the snapshots are a running last over those bins.  A bin counts as observed when a sample lies in the
-    *closed* interval between its boundaries.
+    *closed* interval between its boundaries.  Without a duration each session ends with the bin of its last sample.
     """
     right_bin = (F.ceil(F.col(time) / bin_ms) - 1).cast("long")
     last = samples.groupBy(key, right_bin.alias("_b")).agg(
         F.max(F.struct(F.col(time).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v"))).alias("_s"))
-    bins = -(-duration_ms // bin_ms)
-    spine = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(bins - 1).cast("long"))).alias("_b"))
+    if duration_ms is None:
+        ends = observed_durations(samples, bin_ms, time=time, keys=(key,)).select(key, F.expr(f"duration_ms div {bin_ms}").alias("_n"))
+    else:
+        ends = samples.select(key).distinct().withColumn("_n", F.lit(-(-duration_ms // bin_ms)).cast("long"))
+    spine = ends.select(key, F.explode(F.sequence(F.lit(-1).cast("long"), F.col("_n") - 1)).alias("_b"))
     w = Window.partitionBy(key).orderBy("_b")
     snap = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = spine.join(last, [key, "_b"], "left").withColumn("_at_end", snap)
@@ -56,7 +64,7 @@ def boundary_windows(samples: DataFrame, duration_ms: int, bin_ms: int, *, value
     seen = F.col("_s").isNotNull() | (F.col("_at_start.t") == start)
     usable = F.col("_at_start").isNotNull() & seen
     return rows.select(
-        key, start.alias("start_ms"), F.least(start + bin_ms, F.lit(duration_ms).cast("long")).alias("end_ms"),
+        key, start.alias("start_ms"), (start + bin_ms if duration_ms is None else F.least(start + bin_ms, F.lit(duration_ms).cast("long"))).alias("end_ms"),
         F.coalesce("_at_start.v", F.lit(0)).cast("long").alias("counter_start"),
         F.when(F.col("_at_start").isNotNull(), F.col("_at_end.v")).otherwise(0).cast("long").alias("counter_end"),
         F.when(usable, F.greatest(F.lit(0), F.col("_at_end.v") - F.col("_at_start.v"))).cast("long").alias("delta"),

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.scalars import clock_label, interval_bounds
 from sessionlake.operators import pointprocess as ops
+from sessionlake.operators.binning import observed_durations
 from sessionlake.operators.ordering import running_sum, time_order
 from sessionlake.plans.registry import query
-from sessionlake.sources.telemetry import SESSION_DURATION_MS, SIGNAL_SQL, signals
+from sessionlake.sources.telemetry import SIGNAL_SQL, signals
 
-END_S = SESSION_DURATION_MS / 1000.0
+BIN_MS = 5_000
+GRID_MS = 30_000
 TYPES = ("click", "purchase", "view")
 KINDS = ("click", "error", "purchase", "signup", "view")
 
@@ -118,19 +120,25 @@ def top_types(spark, folder):
     return signals(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-def _exposure():
-    return F.lit(END_S) * F.count_distinct("session_id")
+def _end_ms(spark, folder) -> int:
+    """The observation ends for all sessions with the bin that holds the last event."""
+    return signals(spark, folder).agg((F.floor(F.max("t_ms") / BIN_MS) + 1) * BIN_MS).first()[0] or BIN_MS
+
+
+def _exposure(end_ms: int):
+    return F.lit(end_ms / 1000.0) * F.count_distinct("session_id")
 
 
 _POISSON_SQL = f"""
-ps AS (SELECT event_type, count(*) AS n, count(DISTINCT session_id) * {END_S} AS expo FROM sig GROUP BY ALL),
+en AS (SELECT (max(t_ms) // {BIN_MS} + 1) * {BIN_MS} AS end_ms FROM sig),
+ps AS (SELECT event_type, count(*) AS n, count(DISTINCT session_id) * max(end_ms) / 1000.0 AS expo FROM sig, en GROUP BY event_type),
 pf AS (SELECT event_type, n, expo, n / expo AS rate, n * ln(n / expo) - n AS loglik FROM ps)"""
 
 
 @query("poisson_fit", f"""
 WITH {SIGNAL_SQL}, {_POISSON_SQL} SELECT event_type, n, CAST(expo AS DOUBLE) AS exposure_s, round(CAST(rate AS DOUBLE), 8) AS rate, round(CAST(loglik AS DOUBLE), 4) AS loglik, round(CAST(2 - 2 * loglik AS DOUBLE), 4) AS aic, round(CAST(ln(n) - 2 * loglik AS DOUBLE), 4) AS bic FROM pf""")
 def poisson_fit(spark, folder):
-    d = ops.poisson_fit(signals(spark, folder), ["event_type"], _exposure())
+    d = ops.poisson_fit(signals(spark, folder), ["event_type"], _exposure(_end_ms(spark, folder)))
     return d.withColumns({"rate": F.round("rate", 8), **{name: F.round(name, 4) for name in ("loglik", "aic", "bic")}})
 
 
@@ -139,9 +147,10 @@ MU, ALPHA = 0.015, 0.2
 
 _HAWKES_SQL = f"""
 bt(beta) AS (VALUES (0.05), (0.5), (5.0)),
-pr AS (SELECT a.session_id, a.event_type, a.event_id, a.t_ms, beta, sum(CASE WHEN (b.t_ms, b.event_id) < (a.t_ms, a.event_id) THEN exp(-beta * (a.t_ms - b.t_ms) / 1000.0) ELSE 0 END) AS h
-   FROM sig a JOIN sig b ON a.session_id = b.session_id AND a.event_type = b.event_type, bt GROUP BY ALL),
-hl AS (SELECT event_type, beta, count(*) AS n, sum(ln({MU} + {ALPHA} * beta * h)) - {MU} * {END_S} * count(DISTINCT session_id) - {ALPHA} * sum(1 - exp(-beta * ({SESSION_DURATION_MS} - t_ms) / 1000.0)) AS loglik FROM pr GROUP BY ALL)"""
+eh AS (SELECT (max(t_ms) // {BIN_MS} + 1) * {BIN_MS} AS end_ms FROM sig),
+pr AS (SELECT end_ms, a.session_id, a.event_type, a.event_id, a.t_ms, beta, sum(CASE WHEN (b.t_ms, b.event_id) < (a.t_ms, a.event_id) THEN exp(-beta * (a.t_ms - b.t_ms) / 1000.0) ELSE 0 END) AS h
+   FROM sig a JOIN sig b ON a.session_id = b.session_id AND a.event_type = b.event_type, bt, eh GROUP BY ALL),
+hl AS (SELECT event_type, beta, count(*) AS n, sum(ln({MU} + {ALPHA} * beta * h)) - {MU} * max(end_ms) / 1000.0 * count(DISTINCT session_id) - {ALPHA} * sum(1 - exp(-beta * (end_ms - t_ms) / 1000.0)) AS loglik FROM pr GROUP BY ALL)"""
 
 
 def _history(spark, folder):
@@ -150,7 +159,8 @@ def _history(spark, folder):
 
 
 def _loglik(spark, folder):
-    return ops.hawkes_loglik(_history(spark, folder), ["event_type", "beta"], F.lit(MU), F.lit(ALPHA), SESSION_DURATION_MS, _exposure())
+    end_ms = _end_ms(spark, folder)
+    return ops.hawkes_loglik(_history(spark, folder), ["event_type", "beta"], F.lit(MU), F.lit(ALPHA), end_ms, _exposure(end_ms))
 
 
 @query("hawkes_history", f"WITH {SIGNAL_SQL}, {_HAWKES_SQL} SELECT session_id, event_type, event_id, CAST(beta AS DOUBLE) AS beta, round(h, 6) AS history FROM pr")
@@ -168,7 +178,7 @@ WITH {SIGNAL_SQL}, {_POISSON_SQL}, {_HAWKES_SQL}, b AS (SELECT event_type, max(l
 d AS (SELECT event_type, 2 - 2 * loglik AS paic, 6 - 2 * ll AS haic FROM pf JOIN b USING (event_type))
 SELECT event_type, round(CAST(paic - haic AS DOUBLE), 4) AS delta_aic, CASE WHEN haic < paic THEN 'Hawkes' ELSE 'Poisson' END AS winner, CASE WHEN paic - haic > 10 THEN 'strong_self_excitation' WHEN paic - haic > 2 THEN 'moderate_self_excitation' ELSE 'weak_or_none' END AS evidence FROM d""")
 def model_comparison(spark, folder):
-    poisson = ops.poisson_fit(signals(spark, folder), ["event_type"], _exposure()).select("event_type", "aic")
+    poisson = ops.poisson_fit(signals(spark, folder), ["event_type"], _exposure(_end_ms(spark, folder))).select("event_type", "aic")
     hawkes = _loglik(spark, folder).groupBy("event_type").agg((6 - 2 * F.max("loglik")).alias("haic"))
     delta = F.col("aic") - F.col("haic")
     return poisson.join(hawkes, "event_type").select("event_type", F.round(delta, 4).alias("delta_aic"), F.when(delta > 0, "Hawkes").otherwise("Poisson").alias("winner"),
@@ -176,14 +186,15 @@ def model_comparison(spark, folder):
 
 
 @query("intensity_grid", f"""
-WITH {SIGNAL_SQL}, g AS (SELECT s.session_id, i * 30000 AS t_ms FROM (SELECT DISTINCT session_id FROM sig) s, range(25) AS r(i))
+WITH {SIGNAL_SQL}, g AS (SELECT session_id, unnest(range(n + 1)) * {GRID_MS} AS t_ms FROM (SELECT session_id, max(t_ms) // {GRID_MS} + 1 AS n FROM sig GROUP BY session_id))
 SELECT g.session_id, g.t_ms, round({MU} + {ALPHA} * 0.5 * coalesce(sum(exp(-0.5 * (g.t_ms - e.t_ms) / 1000.0)), 0), 6) AS intensity FROM g LEFT JOIN sig e ON e.session_id = g.session_id AND e.t_ms < g.t_ms GROUP BY ALL""")
 def intensity_grid(spark, folder):
     """Intensity on a time grid; an event counts only strictly after it happened, so probes come first at equal times."""
     rows = signals(spark, folder)
     events = rows.select("session_id", "t_ms", (F.col("event_id") + 1).alias("event_id"), F.lit(1.0).alias("w"))
-    probes = rows.select("session_id").distinct().select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(720_000).cast("long"), F.lit(30_000).cast("long"))).alias("t_ms"),
-                                                         F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("w"))
+    ends = observed_durations(rows, GRID_MS)
+    probes = ends.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("duration_ms"), F.lit(GRID_MS).cast("long"))).alias("t_ms"),
+                         F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("w"))
     both = events.unionByName(probes).withColumn("beta", F.least(F.lit(0.5), F.lit(100.0)))
     d = ops.decayed_history(both, ["session_id"], "beta", weights={"history": F.col("w")}).filter("event_id = -1")
     return d.select("session_id", "t_ms", F.round(MU + ALPHA * F.col("beta") * F.col("history"), 6).alias("intensity"))
@@ -191,9 +202,9 @@ def intensity_grid(spark, folder):
 
 @query("hawkes_fit")
 def hawkes_fit(spark, folder):
-    return ops.fit_hawkes(signals(spark, folder), "event_type", "session_id", end_ms=SESSION_DURATION_MS)
+    return ops.fit_hawkes(signals(spark, folder), "event_type", "session_id", end_ms=_end_ms(spark, folder))
 
 
 @query("hawkes_multivariate")
 def hawkes_multivariate(spark, folder):
-    return ops.fit_multivariate(signals(spark, folder), "event_type", "session_id", KINDS, end_ms=SESSION_DURATION_MS)
+    return ops.fit_multivariate(signals(spark, folder), "event_type", "session_id", KINDS, end_ms=_end_ms(spark, folder))

@@ -8,15 +8,14 @@ from sessionlake.functions.scalars import clock_label
 from sessionlake.operators import binning
 from sessionlake.operators.ordering import time_order
 from sessionlake.plans.registry import query
-from sessionlake.sources.telemetry import COUNTER_SQL, SESSION_DURATION_MS, SIGNAL_SQL, counters, signals
+from sessionlake.sources.telemetry import COUNTER_SQL, SIGNAL_SQL, counters, signals
 
 BIN_MS = 5_000
-BINS = SESSION_DURATION_MS // BIN_MS
 
 _SPINE_SQL = f"""
 spine AS (
-  SELECT s.session_id, b * {BIN_MS} AS start_ms, b * {BIN_MS} + {BIN_MS} AS end_ms
-  FROM (SELECT DISTINCT session_id FROM sig) s, range({BINS}) AS r(b))"""
+  SELECT session_id, b * {BIN_MS} AS start_ms, b * {BIN_MS} + {BIN_MS} AS end_ms
+  FROM (SELECT session_id, unnest(range(n)) AS b FROM (SELECT session_id, max(t_ms) // {BIN_MS} + 1 AS n FROM sig GROUP BY session_id)))"""
 
 _BOUNDARY_SQL = """
 edges AS (
@@ -58,7 +57,7 @@ FROM bw LEFT JOIN n USING (session_id, start_ms)""")
 def five_second_windows(spark, folder):
     rows = counters(spark, folder)
     counts = binning.count_by_bin(signals(spark, folder), BIN_MS, _window_counts())
-    windows = binning.boundary_windows(rows, SESSION_DURATION_MS, BIN_MS, value="c")
+    windows = binning.boundary_windows(rows, None, BIN_MS, value="c")
     names = list(_window_counts())
     return windows.join(counts, ["session_id", "start_ms"], "left").select(
         "session_id", "start_ms", "end_ms", *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in names],
@@ -68,7 +67,7 @@ def five_second_windows(spark, folder):
 @query("counter_boundary_windows", f"""
 WITH {COUNTER_SQL}, {_SPINE_SQL}, {_SNAP_SQL}, {_BOUNDARY_SQL} SELECT * FROM bw""")
 def counter_boundary_windows(spark, folder):
-    return binning.boundary_windows(counters(spark, folder), SESSION_DURATION_MS, BIN_MS, value="c")
+    return binning.boundary_windows(counters(spark, folder), None, BIN_MS, value="c")
 
 
 _GOLD_SQL = COUNTER_SQL + f""",
@@ -162,7 +161,7 @@ SELECT sp.session_id, sp.start_ms, sp.end_ms, coalesce(c0, 0) AS kill_counter_st
 FROM spine sp LEFT JOIN agg USING (session_id, start_ms)""")
 def reward_trajectory(spark, folder):
     rows = counters(spark, folder)
-    spine = binning.bin_spine(rows.select("session_id").distinct(), SESSION_DURATION_MS, BIN_MS)
+    spine = binning.bin_spine(binning.observed_durations(rows, BIN_MS), F.col("duration_ms"), BIN_MS)
     joined = spine.join(_pickup_bins(rows), ["session_id", "start_ms"], "left")
     zero = lambda col: F.coalesce(col, F.lit(0)).cast("long")
     return joined.select(
@@ -184,7 +183,7 @@ SELECT e.session_id, e.start_ms, e.end_ms, s0 AS kill_counter_start, s1 AS kill_
 FROM e LEFT JOIN agg USING (session_id, start_ms)""")
 def reward_trajectory_snapshots(spark, folder):
     rows = counters(spark, folder)
-    windows = binning.boundary_windows(rows, SESSION_DURATION_MS, BIN_MS, value="c")
+    windows = binning.boundary_windows(rows, None, BIN_MS, value="c")
     pickups = _pickup_bins(rows)
     # a bin without a snapshot at its start still shows the counter at its end
     joined = windows.join(pickups, ["session_id", "start_ms"], "left")
@@ -203,7 +202,7 @@ def reward_trajectory_snapshots(spark, folder):
 WITH {COUNTER_SQL},
 s AS (SELECT session_id, t_ms // 1000 AS sec, event_id, c FROM cnt),
 m AS (SELECT session_id, max(sec) AS m FROM s GROUP BY ALL),
-e AS (SELECT m.session_id, b * 5 AS start_s, b * 5 + 5 AS end_s FROM m, range({BINS} + 1) AS r(b) WHERE b * 5 + 5 <= ((m + 5) // 5) * 5),
+e AS (SELECT session_id, b * 5 AS start_s, b * 5 + 5 AS end_s FROM (SELECT session_id, m, unnest(range(m // 5 + 2)) AS b FROM m) WHERE b * 5 + 5 <= ((m + 5) // 5) * 5),
 l AS (SELECT session_id, sec, arg_max(c, event_id + 0) AS c FROM (
         SELECT *, max(event_id) OVER (PARTITION BY session_id, sec) AS top FROM s) WHERE event_id = top GROUP BY ALL)
 SELECT e.session_id, start_s, end_s, l.sec AS matched_s, l.c AS value,
@@ -229,7 +228,7 @@ SELECT session_id, start_ms, end_ms, coalesce(jump_events, 0) AS jump_events, le
 FROM spine LEFT JOIN a USING (session_id, start_ms)""")
 def rollup_5s(spark, folder):
     rows = signals(spark, folder)
-    spine = binning.bin_spine(rows.select("session_id").distinct(), SESSION_DURATION_MS, BIN_MS)
+    spine = binning.bin_spine(binning.observed_durations(rows, BIN_MS), F.col("duration_ms"), BIN_MS)
     counted = F.when(F.col("event_type") != "error", F.col("value"))
     agg = rows.groupBy("session_id", binning.bin_start(F.col("t_ms"), BIN_MS).alias("start_ms")).agg(
         F.count(F.lit(1)).alias("jump_events"), F.min(F.col("k") % 10).alias("level_min"), F.max(F.col("k") % 10).alias("level_max"),

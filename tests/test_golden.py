@@ -195,3 +195,13 @@ def test_levels_must_follow(spark):
     df = spark.createDataFrame(data, "session_id long, t_ms long, event_id long, from_level long, to_level long")
     out = events.accepted_levels(df, time_order(df), 1)
     assert {r["event_id"]: r["acceptance"] for r in out.collect()} == {0: "exact", 1: "unresolved", 2: "exact", 3: "first_visible", 5: "after_gap"}
+
+
+def test_windows_hold_late_sessions(spark):
+    """Without a recorded length a session lasts to the bin of its last sample, however late that is."""
+    late = 100 * 86_400_000
+    df = spark.createDataFrame([(1, 1_000, 1, 5), (1, late + 12_000, 2, 9), (2, 4_999, 3, 7)], "session_id long, t_ms long, event_id long, c long")
+    windows = binning.boundary_windows(df, None, 5_000, value="c")
+    ends = {r["session_id"]: r["e"] for r in windows.groupBy("session_id").agg(F.max("end_ms").alias("e")).collect()}
+    assert ends == {1: late + 15_000, 2: 5_000}
+    assert windows.filter("session_id = 1 AND delta = 4").first()["start_ms"] == late + 10_000
