@@ -12,7 +12,7 @@ from sessionlake.sources.telemetry import SIGNAL_SQL
 
 COLOURS = evaluation.COLOURS
 FEATURES = ["hud_level", "log_increase", "log_gain", "confidence", "score", "tracks", "weak_green"]
-TREES = 60
+TREES = 500
 
 
 def feature_rows(spark, folder):
