@@ -88,3 +88,31 @@ def test_stages_keep_columns_and_clean_documents(spark):
         docs = out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert last.filter("not round_trip").count() == 0 and last.count() == sizes[-1]
+
+
+def test_recall_is_measured_where_links_are_rare(spark, monkeypatch):
+    """Pairs whose ends hardly meet within a sample; a crowd that does must not decide for them."""
+    monkeypatch.setattr(near, "SAMPLE_ROWS", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aside = rng.normal(size=(2000, 64))
+    aside -= (aside * x[:2000]).sum(1)[:, None] * x[:2000]
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    x[2000:4000] = 0.935 * x[:2000] + np.sqrt(1 - 0.935 ** 2) * aside
+    crowd = x[5999] + rng.normal(size=(600, 64)) * 0.01
+    x[5000:5600] = crowd / np.linalg.norm(crowd, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, x[i].tolist(), 1) for i in range(6000)], ROWS.replace("float", "double"))
+    got = {r.id: r.n_links for r in near.near_groups(frame).collect()}
+    assert sum(got[i] > 0 for i in range(4000)) >= 0.97 * 4000
+    assert sum(got[i] for i in range(5000, 5600)) >= 0.99 * 600 * 599
+
+
+def test_without_evidence_made_links_set_the_cells():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    probe = near.Probe(near.fit_books(x, 200_000), x[:500], np.zeros(500), np.arange(500))
+    counts = np.zeros((500, near.LEVELS), np.int64)
+    assert near.visits_for(counts, lambda: probe.planted(near.THRESHOLD), 64 * 64) > 4
+    assert near.visits_for(counts, None, 64 * 64) == 4
