@@ -132,9 +132,12 @@ def _order(*columns: str) -> Column:
 
 def _variants(texts: DataFrame, buckets: int) -> DataFrame:
     """Of rows (d, t, text, wanted: array<struct<i, h, low, high, whole>>): rows of lines (d, t, i, h, words), and rows of packed
-    variants (bucket, keys, owners, roles: 0 a word replaced, 1 the whole line, 2 a word left out)."""
+    variants (bucket, keys, owners, roles: 0 a word replaced, 1 the whole line, 2 a word left out).
+
+    Keys are whole hashes: only the earliest line of a key is tried, so a stranger that met on a part of it would hide a neighbour.
+    """
     kind = texts.schema["d"].dataType.simpleString()
-    bits = np.uint64(64 - 32 - (buckets.bit_length() - 1))
+    bits = np.uint64(32 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -157,9 +160,9 @@ def _variants(texts: DataFrame, buckets: int) -> DataFrame:
                     lines.append((r, line["i"], line["h"], x.words.hashes[s:e].view(np.int64)))
             if not lines:
                 continue
-            keys, role = np.concatenate(variants).view(np.uint64) >> bits, np.concatenate(roles)
+            keys, role = np.concatenate(variants).view(np.uint64), np.concatenate(roles)
             owner = np.repeat(np.array([line[2] for line in lines], np.int64), [len(v) for v in variants])
-            rows = [(b, keys[at].astype("<u4").tobytes(), owner[at].tobytes(), role[at].tobytes()) for b, at in by_bucket((keys >> np.uint64(32)).astype(np.int64), buckets)]
+            rows = [(b, keys[at].astype("<u8").tobytes(), owner[at].tobytes(), role[at].tobytes()) for b, at in by_bucket((keys >> bits >> np.uint64(32)).astype(np.int64), buckets)]
             pick, more, blank = pa.array([line[0] for line in lines], pa.int64()), len(rows), len(lines)
             sequence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(line[3]) for line in lines)]), pa.int32()), pa.array(np.concatenate([line[3] for line in lines])))
             columns = {"d": batch.column("d").take(pick), "t": batch.column("t").take(pick), "i": pa.array([line[1] for line in lines], pa.int32()), "h": pa.array([line[2] for line in lines], pa.int64()), "words": sequence}
@@ -173,14 +176,13 @@ def _variants(texts: DataFrame, buckets: int) -> DataFrame:
 
 def _met(rows: pa.Table) -> pa.Table:
     """key, role, h of variants whose key another line has, too."""
-    keys, owners, roles = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u4"), ("owners", np.int64), ("roles", np.uint8)))
+    keys, owners, roles = (np.concatenate([np.frombuffer(v.as_py(), kind) for v in rows.column(c)]) for c, kind in (("keys", "<u8"), ("owners", np.int64), ("roles", np.uint8)))
     order = np.lexsort((owners, keys))
     keys, owners, roles = keys[order], owners[order], roles[order]
     same = keys[1:] == keys[:-1]
     group = np.concatenate(([0], np.cumsum(~same)))
     stay = (np.bincount(group[1:][same & (owners[1:] != owners[:-1])], minlength=group[-1] + 1) > 0)[group]
-    whole = keys[stay].astype(np.int64) + (rows.column("bucket")[0].as_py() << 32)
-    return pa.table({"key": pa.array(whole), "role": pa.array(roles[stay], pa.int32()), "h": pa.array(owners[stay])})
+    return pa.table({"key": pa.array(keys[stay].view(np.int64)), "role": pa.array(roles[stay], pa.int32()), "h": pa.array(owners[stay])})
 
 
 def within_one(a: Column, b: Column) -> Column:

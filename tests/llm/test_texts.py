@@ -169,6 +169,21 @@ def test_lines_match_brute_force(spark, odd, empty):
     assert out.columns == odd.columns and out.filter("doc_id = 7").first().text.strip() == "long text" and lines.line_digests(empty).count() == 0
 
 
+def test_an_earlier_stranger_does_not_hide_a_near_line(spark):
+    """The variants of two unrelated lines agree in 36 bits; the later line's true neighbour lies between them."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(w) for w in rng.integers(0, 10 ** 6, (800_000, 8)).astype(str)]
+    x = lines.Lines(pa.array(texts))
+    rest = (x.sums[x.end] - x.sums[x.start + 1]) * x.down[x.start + 1]
+    cut = lines._tagged(lines.mix(rest), np.full(len(rest), 8), 4).view(np.uint64) >> np.uint64(28)
+    order = np.argsort(cut, kind="stable")
+    at = np.flatnonzero(cut[order][1:] == cut[order][:-1])[0]
+    stranger, late = texts[order[at]], texts[order[at + 1]]
+    other = lambda text: "other " + text.split(" ", 1)[1]
+    docs = frame(spark, [(1, stranger), (2, other(late)), (3, late), (4, other(stranger))])
+    assert {r.doc_id: r.dropped for r in lines.line_digests(docs).collect()} == {1: "", 2: "", 3: "0", 4: "0"}
+
+
 # jaccard
 
 
