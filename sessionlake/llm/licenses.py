@@ -7,6 +7,10 @@ collides in a band with a probability over 1 - 1e-5. A band collision means that
 the window; windows that hold none of these shingles can't collide, so MinHashes are computed for the others only.
 Colliding pairs are verified exactly: the share of the template's distinct shingles in the window must reach 0.75.
 
+Templates compete for words. A match yields to one of another licence that holds more shingles within its span, or as many and more in all, or as
+many in all and a greater share of its own; only matches that stay make others yield. So versions of one notice are told apart, a notice printed inside a
+full text is not a grant of its own, and templates that fit equally well are all reported.
+
 Templates are broadcast; their number is checked against MAX_TEMPLATES. Documents are not shuffled.
 
 Defined cases: null and empty texts match nothing; texts or templates of fewer than five words are one shingle; blank
@@ -16,6 +20,7 @@ templates match nothing; repeated rows are reported each; the result has named c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ CONTAINMENT = 0.75
 MAX_TEMPLATES = 20_000
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
-# fixed values: notices and first sentences of public licences, by SPDX identifier
+# fixed values: notices and first sentences of public licences, by SPDX identifier; default_templates adds NOTICES and the full texts
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
@@ -47,6 +52,45 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
+# full texts, a file each: named by the version alone, since a text does not say whether later versions are allowed
+FULL_TEXTS = Path(__file__).parent / "licence_texts"
+
+_GNU = "under the terms of the GNU {} as published by the Free Software Foundation"
+_FAMILIES = (("GPL", "General Public License", (1, 2, 3)), ("LGPL", "Library General Public License", (2,)), ("LGPL", "Lesser General Public License", (2.1, 3)), ("AGPL", "Affero General Public License", (3,)))
+_CREATIVE = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+             ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+
+
+def _notices() -> Iterator[tuple[str, str]]:
+    """Standard notices by SPDX identifier."""
+    for family, name, versions in _FAMILIES:
+        for version in versions:
+            for suffix, ending in (("only", f"version {version} of the License"), ("only", f"version {version}"), ("or-later", f"either version {version} of the License, or (at your option) any later version")):
+                yield f"{family}-{float(version)}-{suffix}", f"{_GNU.format(name)}, {ending}"
+            yield f"{family}-{float(version)}-only", f"This work is licensed under the GNU {name}, version {version}"
+            yield f"{family}-{float(version)}-or-later", f"This work is licensed under the GNU {name}, version {version} or later"
+    yield "GPL-2.0-or-later", f"{_GNU.format('General Public License')}; either version 2, or (at your option) any later version"
+    for code, name in _CREATIVE:
+        yield f"CC-{code}-4.0", f"Licensed under CC {code} 4.0"
+        yield f"CC-{code}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License"
+        yield f"CC-{code}-4.0", f"This work is licensed under the Creative Commons {name} 4.0 International License"
+        yield f"CC-{code}-3.0", f"This work is licensed under a Creative Commons {name} 3.0 Unported License"
+    yield "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"
+    yield "CC0-1.0", "dedicated to the public domain under CC0 1.0 Universal"
+    for version in ("1.0", "2.0"):
+        yield f"EPL-{version}", f"This program and the accompanying materials are made available under the terms of the Eclipse Public License v{version}"
+        yield f"EPL-{version}", f"Licensed under the Eclipse Public License, Version {version}"
+    yield "EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    yield "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"
+    yield "0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS"
+    yield "ISC", "Released under the ISC License"
+    yield "BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    yield "BSD-2-Clause", "Licensed under the BSD 2-Clause License"
+    yield "BSD-3-Clause", "Licensed under the BSD 3-Clause License"
+
+
+NOTICES = tuple(dict.fromkeys(pair for pair in _notices() if pair not in TEMPLATES))
+
 
 def window_of(length: int) -> tuple[int, int]:
     """Words of a window, and words between window starts, for a template of so many words."""
@@ -89,9 +133,10 @@ class Library:
         at = np.flatnonzero(self.filter[(h & np.uint64(0xFFFF)).astype(np.int64)])
         return at[np.isin(h[at], self.keys)]
 
-    def match(self, h: np.ndarray, hits: np.ndarray, containment: float) -> Iterator[tuple[int, int, int, int]]:
-        """(template, first word, words, shared shingles) of windows of one text's shingles that contain a template."""
-        for length in sorted({n for n, s in zip(self.lengths, self.sets) if len(s)}):
+    def match(self, h: np.ndarray, hits: np.ndarray, containment: float) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(template, places of its shingles, shared shingles) of windows of one text's shingles that contain a template."""
+        # A text of fewer shingles than a template has to share can't contain it.
+        for length in sorted({n for n, s in zip(self.lengths, self.sets) if len(s) and len(h) >= containment * len(s)}):
             size, step = window_of(length)
             span = max(1, size - SHINGLE + 1)
             starts = sorted({int(k) * step for hit in hits.tolist() for k in range(max(0, -(-(hit - span + 1) // step)), hit // step + 1)})
@@ -103,8 +148,23 @@ class Library:
                     inside = np.isin(h[start:start + span], self.sets[t])
                     shared = len(np.unique(h[start:start + span][inside]))
                     if shared >= containment * len(self.sets[t]):
-                        places = np.flatnonzero(inside)
-                        yield t, start + int(places[0]), int(places[-1] - places[0]) + SHINGLE, shared
+                        yield t, start + np.flatnonzero(inside), shared
+
+    def settle(self, h: np.ndarray, matches: list[tuple[int, np.ndarray, int]], names: list) -> list[tuple[int, int, int, int]]:
+        """(template, first word, words, shared shingles) of the matches that yield to none of another licence."""
+        rank = lambda m: (m[2], m[2] / len(self.sets[m[0]]))
+        stay: list[tuple[int, np.ndarray, int]] = []
+        for m in sorted(matches, key=rank, reverse=True):
+            first, last = m[1][0], m[1][-1]
+            for other in stay:
+                if names[other[0]] != names[m[0]] and other[1][0] <= last and other[1][-1] >= first:
+                    over = other[1][(other[1] >= first) & (other[1] <= last)]
+                    held = len(np.unique(h[over]))
+                    if held > m[2] or held == m[2] and rank(other) > rank(m):
+                        break
+            else:
+                stay.append(m)
+        return [(t, int(places[0]), int(places[-1] - places[0]) + SHINGLE, shared) for t, places, shared in stay]
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, id_column: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -132,7 +192,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_column: str = "doc_i
                 best: dict[int, tuple] = {}
                 count: dict[int, int] = {}
                 own = h[bounds[i]:bounds[i + 1]]
-                for t, start, length, shared in library.match(own, hits[text_of == i] - bounds[i], containment):
+                for t, start, length, shared in library.settle(own, list(library.match(own, hits[text_of == i] - bounds[i], containment)), names):
                     count[t] = count.get(t, 0) + 1
                     best[t] = min(best.get(t, (1,)), (-shared, start, length))
                 out += [(i, t, best[t][1], best[t][2], -best[t][0], count[t]) for t in sorted(best)]
@@ -146,7 +206,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, id_column: str = "doc_i
 
 
 def default_templates(spark) -> DataFrame:
-    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template_id long, license string, text string")
+    full = tuple((path.stem, path.read_text(encoding="utf-8")) for path in sorted(FULL_TEXTS.glob("*.txt")))
+    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES + NOTICES + full)], "template_id long, license string, text string")
 
 
 def license_rows(found: DataFrame) -> DataFrame:

@@ -261,6 +261,20 @@ def test_licences(spark, odd, empty):
     assert licenses.scan_licenses(odd, templates).count() == 0 and licenses.scan_licenses(empty, templates).count() == 0
 
 
+def test_licences_and_versions_are_told_apart(spark):
+    gnu = "under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+    text = lambda name: (licenses.FULL_TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+    cases = [("This work is licensed under the GNU General Public License, version 2", {"GPL-2.0-only"}), (gnu.format("General Public License", 2), {"GPL-2.0-or-later"}),
+             (gnu.format("General Public License", 3), {"GPL-3.0-or-later"}), (gnu.format("Lesser General Public License", 3), {"LGPL-3.0-or-later"}),
+             (gnu.format("Affero General Public License", 3), {"AGPL-3.0-or-later"}), ("This work is licensed under the GNU General Public License, version 3", {"GPL-3.0-only"}),
+             ("Licensed under CC BY-NC 4.0", {"CC-BY-NC-4.0"}), ("Licensed under the Eclipse Public License, Version 2.0", {"EPL-2.0"})]
+    cases += [(text(name), {name}) for name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "MPL-2.0", "Apache-2.0", "MIT")]
+    rows = [(i, "before it " * 30 + text + " after it" * 30) for i, (text, _) in enumerate(cases)]
+    found = licenses.license_rows(licenses.scan_licenses(frame(spark, rows), licenses.default_templates(spark))).collect()
+    got = {i: {r.license for r in found if r.doc_id == i} for i in range(len(cases))}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_quality_on_kept_aside_rows(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
