@@ -47,8 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and whether the ids decode to the text's bytes."""
     codec = vocabulary(spark)
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), codec)
-    decoded = bpe.decode(encoded, codec)
+    decoded = bpe.encode(docs.select("doc_id", "source", "text"), codec, decoded="decoded")
     return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
 

@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from sessionlake.llm.common import free_name, pieces
 
 MAX_VOCABULARY = 2_000_000
-CACHED_PRETOKENS = 400_000  # in each of two generations
+CACHE_BYTES = 48 << 20  # of each of two generations, in every worker process
+ENTRY_BYTES = 200  # a text, its ids and a dictionary slot, besides their characters and ids
 LONG_PRETOKEN = 100  # characters; longer ones are not kept
 _MASK = (1 << 64) - 1
 _hash = xxhash.xxh3_64_intdigest
@@ -124,20 +125,24 @@ def merge(piece: bytes, rank) -> list[int]:
 
 
 class Recent(dict):
-    """Ids (packed int32) of pre-tokens by their text, in two generations: a full one becomes the old one, and what is used again moves back."""
+    """Ids (packed int32) of pre-tokens by their text, in two generations: a full one becomes the old one, and what is used again moves back.
+
+    A generation is full when its entries take `CACHE_BYTES`."""
 
     def __init__(self, find):
-        self.find, self.old = find, {}
+        self.find, self.old, self.room = find, {}, CACHE_BYTES
 
     def __missing__(self, token: str) -> bytes:
         ids = self.old.get(token)
         if ids is None:
             ids = self.find(token.encode("utf-8"))
         if len(token) <= LONG_PRETOKEN:
-            if len(self) >= CACHED_PRETOKENS:
+            if self.room <= 0:
                 self.old = dict(self)
                 self.clear()
+                self.room = CACHE_BYTES
             self[token] = ids
+            self.room -= len(token) + len(ids) + ENTRY_BYTES
         return ids
 
 
@@ -200,22 +205,25 @@ def load_codec(spark: SparkSession, path: str, pattern: str) -> Codec:
     return Codec({base64.b64decode(key): int(rank) for key, rank in lines}, pattern)
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids") -> DataFrame:
-    """The rows with a column of token ids (array<int>); special tokens are ordinary text."""
+def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The rows with a column of token ids (array<int>); special tokens are ordinary text. With `decoded`, also the bytes of
+    those ids, decoded by the same worker."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
-    rest = [c for c in docs.columns if c != out]
+    made = [out, decoded] if decoded else [out]
+    rest = [c for c in docs.columns if c not in made]
     keep = [docs[f"`{c}`"] for c in rest]
     own = free_name(docs.columns, "_text")
     source = docs.select(*keep, docs[f"`{text}`"].alias(own))
-    schema = T.StructType([*source.select(*(f"`{c}`" for c in rest)).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*source.select(*(f"`{c}`" for c in rest)).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType(), True)] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = shared.value.packer()
+        codec = shared.value
+        one = codec.packer()
         for batch in pieces(batches, own):
             lists = [one(t) for t in batch.column(own).to_pylist()]
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))
             columns = [batch.column(i) for i in range(len(rest))]
-            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*rest, out])
+            yield pa.RecordBatch.from_arrays([*columns, ids, *([codec.decode_lists(ids)] if decoded else [])], names=[*rest, *made])
 
     return source.mapInArrow(run, schema)
 
@@ -238,9 +246,8 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded"
 
 
 def token_digests(encoded: DataFrame, codec: Codec) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents (doc_id, ids)."""
-    slim = encoded.select("doc_id", "ids")
-    both = decode(slim, codec)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded documents (doc_id, ids); their bytes are decoded here unless a column `decoded` has them."""
+    both = encoded if "decoded" in encoded.columns else decode(encoded.select("doc_id", "ids"), codec)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

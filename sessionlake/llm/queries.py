@@ -61,7 +61,7 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     codec = vocabulary(spark)
-    return bpe.token_digests(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), codec), codec)
+    return bpe.token_digests(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), codec, decoded="decoded"), codec)
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
