@@ -183,6 +183,35 @@ def reset_candidates_fold(frames: DataFrame, order: TimeOrder, frame: str, candi
     return session_fold(d, order, [order.by[-1], frame, "_activity"], step, f"{order.by[-1]} long, {frame} long")
 
 
+def _settle_second(state):
+    """The value of the second that has ended: the upper median of its valid candidates, else the last value."""
+    total = sum(n for _, n, _ in state["valid"])
+    for v, n, c in sorted(state["valid"]):
+        if total // 2 < n:
+            return v, (state["at"], v, c, "observed")
+        total -= 2 * n
+    return state["previous"], (state["at"], state["previous"], 0.0, "carried_forward")
+
+
+def plausible_step(state, row):
+    """One candidate ``(second, value, times seen, confidence)`` in order of seconds; a second without any has one with none seen."""
+    at, v, n, c = row
+    state, out = state or {"at": None, "previous": 0, "valid": []}, []
+    previous = state["previous"]
+    if state["at"] != at:
+        if state["at"] is not None:
+            previous, made = _settle_second(state)
+            out = [made]
+        state = {"at": at, "previous": previous, "valid": []}
+    if n and v >= previous and (previous <= 10 or v - previous <= max(75, int(previous * 0.15))):
+        state = {**state, "valid": [*state["valid"], [v, n, c]]}
+    return state, out
+
+
+def plausible_finish(state):
+    return [_settle_second(state)[1]] if state and state["at"] is not None else []
+
+
 def plausible_counter(points: DataFrame, key: str, second: str, value: str, confidence: str, tie: str) -> DataFrame:
     """Per-second validation: candidates must neither fall nor jump; the upper median is taken, else the last value.
 
@@ -195,30 +224,8 @@ def plausible_counter(points: DataFrame, key: str, second: str, value: str, conf
     rows = seen.unionByName(blank)
     order = time_order(rows, key, (second, value))
 
-    def settle(state):
-        at, previous, valid = state["at"], state["previous"], state["valid"]
-        total = sum(n for _, n, _ in valid)
-        for v, n, c in valid:
-            if total // 2 < n:
-                return {"previous": v}, [(at, v, c, "observed")]
-            total -= 2 * n
-        return {"previous": previous}, [(at, previous, 0.0, "carried_forward")]
-
-    def step(state, row):
-        at, v, n, c = row
-        out = []
-        if state.get("at") is not None and state["at"] != at:
-            state, out = settle(state)
-        if state.get("at") is None:
-            state = {"at": at, "previous": state["previous"], "valid": []}
-        previous = state["previous"]
-        if n and v >= previous and (previous <= 10 or v - previous <= max(75, int(previous * 0.15))):
-            state["valid"].append([v, n, c])
-        return state, out
-
-    return session_fold(rows, order, [second, value, "_n", "_c"], step,
-                        f"{second} long, kill_value long, confidence double, source string",
-                        initial=lambda: {"previous": 0}, finish=lambda state: settle(state)[1])
+    return session_fold(rows, order, [second, value, "_n", "_c"], plausible_step,
+                        f"{second} long, kill_value long, confidence double, source string", finish=plausible_finish)
 
 
 def required_experience(level: Column) -> Column:

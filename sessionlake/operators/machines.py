@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,35 +138,69 @@ def sequence_finish(state):
     return out
 
 
-def candidates_by_second(readings: DataFrame, key: str, second: str, *, sample: str, text: str, confidence: str, excluded: str, tie: str) -> DataFrame:
-    """Readings of one second as one row; repeated readings of a sample are reduced to the most confident one."""
+READING_COLUMNS = ["first", "sample", "digits", "confidence", "excluded"]
+
+
+def distinct_readings(readings: DataFrame, key: str, second: str, *, sample: str, text: str, confidence: str, excluded: str, tie: str) -> DataFrame:
+    """One row per second, sample and digits: the best confidence, the first tie-breaker, and whether any such reading was excluded."""
     digits = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^0-9]", "")
-    distinct = readings.groupBy(key, second, sample, digits.alias("digits")).agg(
-        F.max(confidence).alias("c"), F.min(tie).alias("i"), F.bool_or(excluded).alias("x"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(sample).alias("s"), "digits", "c"))),
-                         lambda r: F.struct(r["s"].alias("s"), r["digits"].alias("d"), r["c"].alias("c")))
-    return distinct.groupBy(key, second).agg(listed.alias("candidates"), F.bool_or("x").alias("excluded"))
+    return readings.groupBy(key, second, F.col(sample).alias("sample"), digits.alias("digits")).agg(
+        F.min(tie).alias("first"), F.max(confidence).alias("confidence"), F.bool_or(excluded).alias("excluded"))
+
+
+def by_second(step):
+    """A step over seconds as a step over single readings `(second, first, sample, digits, confidence, excluded)` in order of seconds.
+
+    The state holds the readings of one second, the best for each sample and digits, and the state of the inner step."""
+
+    def settle(state):
+        listed = sorted(state["open"].values(), key=lambda r: r[0])
+        inner, out = step(state["inner"], (state["second"], [tuple(r[1:]) for r in listed], state["excluded"]))
+        return {"inner": inner, "second": None, "open": {}, "excluded": False}, out
+
+    def run(state, row):
+        second, first, sample, digits, confidence, excluded = row
+        state = state or {"inner": None, "second": None, "open": {}, "excluded": False}
+        out = []
+        if state["second"] is not None and state["second"] != second:
+            state, out = settle(state)
+        name = f"{sample} {digits}"
+        known = state["open"].get(name)
+        best = [first, sample, digits, confidence] if known is None else [min(first, known[0]), sample, digits, max(confidence, known[3])]
+        return {**state, "second": second, "open": {**state["open"], name: best}, "excluded": bool(state["excluded"] or excluded)}, out
+
+    def finish(state, inner_finish=None):
+        if not state:
+            return []
+        out = []
+        if state["second"] is not None:
+            state, out = settle(state)
+        return [*out, *(inner_finish(state["inner"]) if inner_finish else [])]
+
+    return run, finish
+
 
+select_reading, select_finish = by_second(select_step)
+sequence_reading, _sequence_end = by_second(sequence_step)
 
-_SECOND_FIELDS = "{second} long, observed_value long, confidence double, state_value long, status string, valid_candidates long"
 
+def sequence_reading_finish(state):
+    return _sequence_end(state, sequence_finish)
 
-def _unpacked(step):
-    def wrapped(state, row):
-        second, candidates, excluded = row
-        return step(state, (second, [(c["s"], c["d"], c["c"]) for c in candidates], excluded))
 
-    return wrapped
+SECOND_FIELDS = "second long, observed_value long, confidence double, state_value long, status string, valid_candidates long"
 
 
-def selected_counter(seconds: DataFrame, key: str, second: str) -> DataFrame:
-    order = time_order(seconds, key, (second, second))
-    return session_fold(seconds, order, [second, "candidates", "excluded"], _unpacked(select_step), _SECOND_FIELDS.format(second=second))
+def selected_counter(readings: DataFrame, key: str, second: str) -> DataFrame:
+    """``readings`` from ``distinct_readings``."""
+    order = time_order(readings, key, (second, "first"))
+    return session_fold(readings, order, [second, *READING_COLUMNS], select_reading, SECOND_FIELDS, finish=select_finish).withColumnRenamed("second", second)
 
 
-def selected_sequence(seconds: DataFrame, key: str, second: str) -> DataFrame:
-    order = time_order(seconds, key, (second, second))
-    return session_fold(seconds, order, [second, "candidates", "excluded"], _unpacked(sequence_step), _SECOND_FIELDS.format(second=second), finish=sequence_finish)
+def selected_sequence(readings: DataFrame, key: str, second: str) -> DataFrame:
+    """``readings`` from ``distinct_readings``."""
+    order = time_order(readings, key, (second, "first"))
+    return session_fold(readings, order, [second, *READING_COLUMNS], sequence_reading, SECOND_FIELDS, finish=sequence_reading_finish).withColumnRenamed("second", second)
 
 
 def changed_selections(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -176,53 +211,93 @@ def changed_selections(before: DataFrame, after: DataFrame, keys: list[str]) ->
         *keys, F.col("_old.state_value").alias("old_value"), F.col("_old.status").alias("old_status"), "state_value", "status", (F.col("status") != "observed").alias("review"))
 
 
-def one_digit_attached(candidate: int, confirmed: int) -> bool:
-    a, b = str(candidate), str(confirmed)
-    return len(a) == len(b) + 1 and (a.startswith(b) or a.endswith(b))
+class Handling(NamedTuple):
+    """What a kind of sample does: the reason it is published with, whether the counter shows its confirmed value, the memory it
+    needs (a first sighting is remembered there, a second one confirms it) with the reason of a confirmation, and memories it clears."""
 
+    reason: str | None = None
+    shows: bool = False
+    memory: str | None = None
+    confirmed_reason: str | None = None
+    clears: tuple[str, ...] = ()
 
-def first_digit_swapped(candidate: int, confirmed: int) -> bool:
-    a, b = str(candidate), str(confirmed)
-    return len(a) == len(b) > 1 and a[0] != b[0] and a[1:] == b[1:]
 
+# memories: how far above the remembered value a second sighting may lie
+COIN_MEMORY = {"repeat": 0, "surge": FEVER_MAX_RISE}
 
-def coin_step(state, row):
-    """One sample of the coin counter.
+COIN_HANDLING = {
+    "blocked": Handling("excluded_from_gameplay", clears=("repeat", "surge")),
+    "blank": Handling(clears=("surge",)),
+    "blank in fever": Handling(),
+    "lower": Handling("counter_decrease_rejected"),
+    "equal": Handling(shows=True, clears=("repeat", "surge")),
+    "misread": Handling("leading_digit_ocr_artifact_removed_from_confirmed_counter", shows=True, clears=("repeat", "surge")),
+    "too high": Handling("implausible_counter_jump_rejected"),
+    "doubtful in fever": Handling("gold_fever_counter_candidate_rejected"),
+    "higher": Handling("counter_change_awaiting_repeat_confirmation", memory="repeat", clears=("repeat",)),
+    "higher in fever": Handling("gold_fever_counter_awaiting_monotonic_confirmation", memory="surge", confirmed_reason="gold_fever_monotonic_confirmation", clears=("repeat", "surge")),
+}
 
-    State: confirmed value, value waiting to repeat, value waiting for a second rise in fever mode, each with its time.
-    """
-    ident, t, paused, fever, candidate, confidence = row
-    value, wait, fever_wait = state or (None, None, None)
+
+def digit_misread(candidate: int, confirmed: int) -> bool:
+    """Whether a higher candidate is the confirmed number with one digit put before or behind it, or with another first digit."""
+    scale = 10 ** len(str(confirmed))
+    if candidate >= 10 * scale:
+        return False
+    if candidate >= scale:
+        return candidate // 10 == confirmed or candidate % scale == confirmed
+    return scale > 10 and (candidate - confirmed) % (scale // 10) == 0
+
+
+def coin_kind(value: int | None, sample: tuple) -> str:
+    """Kind of one sample against the confirmed value."""
+    _, _, paused, fever, candidate, confidence = sample
     if paused:
-        return [value, None, None], [(ident, t, candidate, None, "excluded_from_gameplay")]
+        return "blocked"
     if candidate is None:
-        return [value, wait, fever_wait if fever else None], [(ident, t, None, None, None)]
-    coin, reason = candidate, None
-    artefact = value is not None and candidate > value and (one_digit_attached(candidate, value) or first_digit_swapped(candidate, value))
-    if fever and value is not None and coin > value:
-        eligible = confidence is not None and confidence >= FEVER_CONFIDENCE and coin - value <= FEVER_MAX_RISE and not artefact
-        if not eligible:
-            coin, reason = None, "gold_fever_counter_candidate_rejected"
-        elif fever_wait and t - fever_wait[1] <= REPEAT_MS and 0 <= coin - fever_wait[0] <= FEVER_MAX_RISE:
-            value, fever_wait, reason = coin, None, "gold_fever_monotonic_confirmation"
-        else:
-            fever_wait, coin, reason = [coin, t], None, "gold_fever_counter_awaiting_monotonic_confirmation"
-    elif value is not None and coin - value > COIN_MAX_RISE:
-        coin, reason = None, "implausible_counter_jump_rejected"
-    if coin is not None and value is not None and coin > value and artefact:
-        coin, reason = value, "leading_digit_ocr_artifact_removed_from_confirmed_counter"
-    if coin is None:
-        pass
-    elif value is None or coin > value:
-        if wait and wait[0] == coin and t - wait[1] <= REPEAT_MS:
-            value, wait = coin, None
+        return "blank in fever" if fever else "blank"
+    if value is None:
+        return "higher"
+    rise = candidate - value
+    if rise <= 0:
+        return "lower" if rise else "equal"
+    misread = digit_misread(candidate, value)
+    if fever:
+        sure = confidence is not None and confidence >= FEVER_CONFIDENCE
+        return "higher in fever" if sure and not misread and rise <= FEVER_MAX_RISE else "doubtful in fever"
+    if rise > COIN_MAX_RISE:
+        return "too high"
+    return "misread" if misread else "higher"
+
+
+def coin_step(state, sample):
+    """One sample of the coin counter. State: the confirmed value, and for each memory the value and time of a first sighting."""
+    state = state or {"value": None}
+    ident, t, _, _, candidate, _ = sample
+    value = state["value"]
+    rule = COIN_HANDLING[coin_kind(value, sample)]
+    reason, shown = rule.reason, value if rule.shows else None
+    cleared = rule.clears
+    if rule.memory:
+        first, at = state.get(rule.memory) or (None, None)
+        if first is not None and t - at <= REPEAT_MS and 0 <= candidate - first <= COIN_MEMORY[rule.memory]:
+            value = shown = candidate
+            reason = rule.confirmed_reason
         else:
-            wait, coin, reason = [coin, t], None, "counter_change_awaiting_repeat_confirmation"
-    elif coin < value:
-        coin, reason = None, "counter_decrease_rejected"
-    else:
-        wait = fever_wait = None
-    return [value, wait, fever_wait], [(ident, t, candidate, coin, reason)]
+            state, cleared = {**state, rule.memory: [candidate, t]}, ()
+    kept = {name: seen for name, seen in state.items() if name not in cleared}
+    return {**kept, "value": value}, [(ident, t, candidate, shown, reason)]
+
+
+def coin_deadline(state) -> int | None:
+    """Time from which the oldest first sighting can confirm nothing."""
+    times = [state[name][1] for name in COIN_MEMORY if state and state.get(name)]
+    return min(times) + REPEAT_MS + 1 if times else None
+
+
+def coin_forget(state, now: int):
+    """The state without first sightings that are too old at `now`; nothing is published for them."""
+    return {name: seen for name, seen in state.items() if name == "value" or now - seen[1] <= REPEAT_MS}, []
 
 
 def coin_counter(samples: DataFrame, order: TimeOrder) -> DataFrame:

@@ -21,7 +21,7 @@ def readings(spark, folder):
 
 
 def _seconds(spark, folder):
-    return ops.candidates_by_second(readings(spark, folder), "session_id", "second", sample="sample", text="text", confidence="confidence", excluded="excluded", tie="event_id")
+    return ops.distinct_readings(readings(spark, folder), "session_id", "second", sample="sample", text="text", confidence="confidence", excluded="excluded", tie="event_id")
 
 
 @query("kill_select")
@@ -64,7 +64,34 @@ def coin_samples(spark, folder):
                                          (F.expr("t_ms div 60000") % 4 == 0).alias("fever"), value.cast("long").alias("candidate"), (0.9 + k % 10 / 100.0).alias("confidence"))
 
 
-@query("coin_machine")
+# independent of the step: digits are compared as texts, every case by its own rule
+COIN_SQL = f"""
+WITH RECURSIVE {SIGNAL_SQL},
+s AS (SELECT session_id, event_id, t_ms // 15 AS t, event_type = 'error' AND k < 25 AS paused, t_ms // 60000 % 4 = 0 AS fever, k % 10 >= 5 AS sure,
+  CASE WHEN k % 17 = 0 THEN NULL WHEN k % 13 = 0 THEN t_ms // 20000 * 500 + 3 WHEN k % 11 = 0 THEN t_ms // 20000 * 50 + 7000 WHEN k % 7 = 0 THEN t_ms // 20000 * 50 - 20 ELSE t_ms // 20000 * 50 END AS c FROM sig),
+o AS (SELECT *, CAST(c AS VARCHAR) AS ct, row_number() OVER (PARTITION BY session_id ORDER BY t, event_id) AS i FROM s),
+r AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS t, CAST(NULL AS BIGINT) AS c, CAST(NULL AS BIGINT) AS shown, CAST(NULL AS VARCHAR) AS reason,
+    CAST(NULL AS BIGINT) AS val, CAST(NULL AS BIGINT) AS wv, CAST(NULL AS BIGINT) AS wt, CAST(NULL AS BIGINT) AS sv, CAST(NULL AS BIGINT) AS st FROM (SELECT DISTINCT session_id FROM s)
+  UNION ALL SELECT session_id, i, event_id, t, c, CASE WHEN ok THEN c WHEN kind IN ('same', 'stray') THEN val END,
+    CASE kind WHEN 'paused' THEN 'excluded_from_gameplay' WHEN 'fall' THEN 'counter_decrease_rejected' WHEN 'stray' THEN 'leading_digit_ocr_artifact_removed_from_confirmed_counter'
+      WHEN 'leap' THEN 'implausible_counter_jump_rejected' WHEN 'noise' THEN 'gold_fever_counter_candidate_rejected'
+      WHEN 'surge' THEN CASE WHEN ok THEN 'gold_fever_monotonic_confirmation' ELSE 'gold_fever_counter_awaiting_monotonic_confirmation' END
+      WHEN 'rise' THEN CASE WHEN ok THEN NULL ELSE 'counter_change_awaiting_repeat_confirmation' END END,
+    CASE WHEN ok THEN c ELSE val END,
+    CASE WHEN kind IN ('paused', 'same', 'stray') OR ok THEN NULL WHEN kind = 'rise' THEN c ELSE wv END, CASE WHEN kind IN ('paused', 'same', 'stray') OR ok THEN NULL WHEN kind = 'rise' THEN t ELSE wt END,
+    CASE WHEN kind IN ('paused', 'same', 'stray', 'blank') OR (ok AND kind = 'surge') THEN NULL WHEN kind = 'surge' THEN c ELSE sv END,
+    CASE WHEN kind IN ('paused', 'same', 'stray', 'blank') OR (ok AND kind = 'surge') THEN NULL WHEN kind = 'surge' THEN t ELSE st END
+  FROM (SELECT *, coalesce(CASE kind WHEN 'rise' THEN wv = c AND t - wt <= 2000 WHEN 'surge' THEN t - st <= 2000 AND c - sv BETWEEN 0 AND 500 END, FALSE) AS ok
+    FROM (SELECT *, CASE WHEN paused THEN 'paused' WHEN c IS NULL THEN CASE WHEN fever THEN 'blank in fever' ELSE 'blank' END WHEN val IS NULL THEN 'rise' WHEN c < val THEN 'fall' WHEN c = val THEN 'same'
+        WHEN fever THEN CASE WHEN sure AND NOT misread AND c - val <= 500 THEN 'surge' ELSE 'noise' END WHEN c - val > 2000 THEN 'leap' WHEN misread THEN 'stray' ELSE 'rise' END AS kind
+      FROM (SELECT o.session_id, o.i, o.event_id, o.t, o.c, o.paused, o.fever, o.sure, r.val, r.wv, r.wt, r.sv, r.st,
+          (length(ct) = length(CAST(val AS VARCHAR)) + 1 AND (starts_with(ct, CAST(val AS VARCHAR)) OR ends_with(ct, CAST(val AS VARCHAR))))
+          OR (length(ct) = length(CAST(val AS VARCHAR)) AND length(ct) > 1 AND ct[1] <> CAST(val AS VARCHAR)[1] AND ct[2:] = CAST(val AS VARCHAR)[2:]) AS misread
+        FROM r JOIN o ON o.session_id = r.session_id AND o.i = r.i + 1))))
+SELECT session_id, event_id, t AS t_ms, c AS candidate, shown AS accepted, reason FROM r WHERE i > 0"""
+
+
+@query("coin_machine", COIN_SQL)
 def coin_machine(spark, folder):
     rows = coin_samples(spark, folder)
     return ops.coin_counter(rows, time_order(rows))
