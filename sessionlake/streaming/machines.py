@@ -3,12 +3,14 @@
 Rows wait in the state of their session until the watermark has passed them, then they are folded in order, so that rows that come late
 but within the watermark give the batch result. Timers wake a session when its next row is due, when something the machine waits for is
 over, and when the session has been silent for so long that it counts as ended: then its machine is finished and its state dropped.
-Rows behind the watermark are never folded and never change what was published; `LateRows` counts them.
+Rows behind the watermark are never folded and never change what was published; `LateRows` counts them. Spark itself refuses those behind
+the watermark of the batch before; those between the two watermarks are refused by the machine.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -25,6 +27,7 @@ from sessionlake.streaming.windows import ORIGIN_MS, with_event_time
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IDLE_MS = 600_000
+REFUSED = "_refused"
 
 Step = Callable[[Any, tuple], tuple[Any, Iterable[tuple]]]
 
@@ -54,7 +57,7 @@ class SessionMachine(StatefulProcessor):
 
     def __init__(self, machine: Machine, keys: Sequence[str], order: Sequence[str], time: str, idle_ms: int) -> None:
         self.machine, self.keys, self.order, self.time, self.idle_ms = machine, list(keys), list(order), time, idle_ms
-        self.names = [*keys, *(field.name for field in T._parse_datatype_string(machine.fields).fields)]
+        self.names = [*keys, *(field.name for field in T._parse_datatype_string(machine.fields).fields), REFUSED]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -62,7 +65,14 @@ class SessionMachine(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(json.dumps([row[self.time], [row[name] for name in self.order], [row[name] for name in self.machine.columns]]),) for row in rows]
+        now, new, late = timerValues.getCurrentWatermarkInMs() - ORIGIN_MS, [], 0
+        for row in rows:
+            if row[self.time] > now:
+                new.append((json.dumps([row[self.time], [row[name] for name in self.order], [row[name] for name in self.machine.columns]]),))
+            else:
+                late += 1
+        if late:
+            yield Row(**{**dict.fromkeys(self.names), **dict(zip(self.names, key)), REFUSED: late})
         if new:
             self.waiting.appendList(new)
         yield from self._advance(key, timerValues)
@@ -109,7 +119,7 @@ class SessionMachine(StatefulProcessor):
             self.core.update((json.dumps(core),))
             self.handle.registerTimer(core["timer"])
         for row in out:
-            yield Row(**dict(zip(self.names, (*key, *row))))
+            yield Row(**dict(zip(self.names, (*key, *row, None))))
 
 
 def run_machine(stream: DataFrame, machine: Machine, keys: Sequence[str], order: Sequence[str], *, time: str = "t_ms", watermark: str = "10 seconds", idle_ms: int = IDLE_MS) -> DataFrame:
@@ -123,7 +133,9 @@ def run_machine(stream: DataFrame, machine: Machine, keys: Sequence[str], order:
     schema = T.StructType([stream.schema[name] for name in keys] + T._parse_datatype_string(machine.fields).fields)
     needed = list(dict.fromkeys([*keys, time, *order, *machine.columns]))
     rows = with_event_time(stream.select(*needed), time).withWatermark("event_time", watermark)
-    return rows.groupBy(*keys).transformWithState(SessionMachine(machine, keys, order, time, idle_ms), schema, "Append", "EventTime")
+    out = rows.groupBy(*keys).transformWithState(SessionMachine(machine, keys, order, time, idle_ms), schema.add(REFUSED, T.LongType()), "Append", "EventTime")
+    counted = out.observe(f"{REFUSED}{uuid.uuid4().hex}", F.sum(REFUSED).alias("rows"))
+    return counted.filter(F.col(REFUSED).isNull()).drop(REFUSED)
 
 
 def stream_fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], step: Step, out_fields: str, **options: Any) -> DataFrame:
@@ -186,7 +198,7 @@ def track_stream(found: DataFrame, stops: DataFrame, codes: Sequence[Any], *, ke
 class LateRows(StreamingQueryListener):
     """Counts what arrived and what came behind the watermark, by query name.
 
-    ``watch`` marks a stream whose rows are to be counted; ``late`` is what stateful operators refused. Add it with ``spark.streams.addListener``."""
+    ``watch`` marks a stream whose rows are to be counted; ``late`` is what stateful operators and machines refused. Add it with ``spark.streams.addListener``."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -207,6 +219,7 @@ class LateRows(StreamingQueryListener):
         if "arrived" in progress.observedMetrics:
             self.arrived[name] += progress.observedMetrics["arrived"].rows or 0
         self.late[name] += sum(operator.numRowsDroppedByWatermark for operator in progress.stateOperators)
+        self.late[name] += sum(row.rows or 0 for metric, row in progress.observedMetrics.items() if metric.startswith(REFUSED))
 
     def onQueryIdle(self, event) -> None:
         pass
