@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sessionlake.operators.folds import session_fold
 from sessionlake.operators.ordering import TimeOrder, last_seen, running_max, running_sum, time_order
+from sessionlake.operators.release import renumbered
 from sessionlake.operators.timejoin import asof, nearest, stream_join
+from sessionlake.session import cut_lineage
 
 
 def level_up_transactions(menus: DataFrame, changes: DataFrame, *, key: str = "session_id", tolerance_ms: int = 250,
@@ -120,47 +122,87 @@ def replacements(timeline: DataFrame, order: TimeOrder, names: str, evolved_from
     return d.groupBy(*order.keys, "item_after").agg(first.alias("_f")).select(*order.keys, "item_after", "_f.*")
 
 
-def progression(events: DataFrame, order: TimeOrder) -> DataFrame:
+def _retirements(evolutions: DataFrame, order: TimeOrder) -> DataFrame:
+    """(keys, item, retired_at): when each item first gave way to an evolution.
+
+    A retrospective row of an item that has gone is contradicted, and this can be an evolution itself, so evolutions alone are folded: a
+    session has as many as its items have forms. Their own number decides whether they are cut, not that of all events."""
+    keys, by = list(order.keys), order.by[:2]
+
+    def step(gone, row):
+        t, tie, before, after, retro = row
+        gone = gone or []
+        if (retro and after in gone) or before is None or before in gone:
+            return gone, []
+        return [*gone, before], [(before, t, tie)]
+
+    own = time_order(evolutions, keys, by) if order.split else TimeOrder(tuple(keys), by)
+    found = session_fold(evolutions, own, [*by, "before", "after", "retro"], step, f"item string, {by[0]} long, {by[1]} long")
+    return found.select(*keys, "item", F.struct(*by).alias("retired_at"))
+
+
+def _owned_before(touches: DataFrame, order: TimeOrder) -> DataFrame:
+    """touches with `held`, how often the item stood in its list just before the row.
+
+    A gain makes that one at least, an evolution into the item adds one if its base was held (else one at least), an evolution of it takes one away:
+    every step is max(n + add, least), so a running sum and a running maximum give all of them."""
+    add = F.when(F.col("role") == 0, -1).when(F.col("swaps"), 1).otherwise(0).cast("long")
+    least = F.when(F.col("role") == 0, 0).otherwise(1).cast("long")
+    d = order.running(order.tag(touches.withColumns({"_add": add, "_least": least})), _sum=running_sum(F.col("_add")))
+    d = order.untag(order.running(d, _top=running_max(F.col("_least") - F.col("_sum"), exclusive=True)))
+    held = F.col("_sum") - F.col("_add") + F.greatest(F.lit(0), F.coalesce("_top", F.lit(0)))
+    return d.withColumn("held", held).drop("_add", "_least", "_sum", "_top")
+
+
+def progression(events: DataFrame, order: TimeOrder, maxima: dict[str, int] | None = None, prefix: str = "inventory_event") -> DataFrame:
     """Levels recomputed in time order over all sources, with evolutions that retire their base item.
 
-    ``events``: ``item_type, change, source, item_before, item_after, configured_level, event_id``.  State is the owned
-    items with their levels and the retired items, bounded by the item catalogue.
+    ``events``: ``item_type, change, source, item_before, item_after, configured_level``. Nothing is folded: every event becomes a row of each item it
+    touches, and an item's levels are counts since it was last gained, evolved or lost, windows over its own rows. So the number of passes does not
+    depend on how a session is cut. Contradicted retrospective rows are dropped, rows are numbered, and levels above the item's normal maximum are flagged.
     """
-
-    def step(state, row):
-        ident, kind, change, source, before, after, configured = row
-        state = state or {"owned": {}, "levels": {}, "retired": []}
-        if not after:
-            return state, []
-        if source == "level_up_retrospective" and after in state["retired"]:
-            return state, []
-        owned = dict(state["owned"])
-        row_items = list(owned.get(kind, []))
-        levels, retired = dict(state["levels"]), list(state["retired"])
-        if change == "evolution":
-            was = levels.pop(before, None)
-            if before in row_items:
-                row_items[row_items.index(before)] = after
-            elif after not in row_items:
-                row_items.append(after)
-            if before not in retired:
-                retired.append(before)
-            levels[after] = 1
-            out = (ident, "evolution", before, after, was, 1)
-        elif after in row_items:
-            was = levels.get(after, 1)
-            levels[after] = was + 1
-            out = (ident, "upgrade", after, after, was, was + 1)
-        else:
-            row_items.append(after)
-            start = max(1, configured) if change == "initial_state" and configured is not None else 1
-            levels[after] = start
-            out = (ident, change if change == "initial_state" else "new", None, after, None, start)
-        owned[kind] = row_items
-        return {"owned": owned, "levels": levels, "retired": retired}, [out]
-
-    return session_fold(events, order, ["event_id", "item_type", "change", "source", "item_before", "item_after", "configured_level"], step,
-                        "event_id long, event_type string, item_before string, item_after string, level_before long, level_after long")
+    keys, (time, tie) = list(order.keys), order.by[:2]
+    name = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    place = F.struct(F.col(time), F.col(tie))
+    rows = events.select(*keys, time, tie, "item_type", "change", name("item_before").alias("before"), name("item_after").alias("after"), "configured_level",
+                         F.coalesce(F.col("source") == "level_up_retrospective", F.lit(False)).alias("retro"), place.alias("place")).filter("after IS NOT NULL")
+    gone = _retirements(rows.filter("change = 'evolution'").select(*keys, time, tie, "before", "after", "retro"), order)
+    rows = rows.join(gone.withColumnRenamed("item", "after"), [*keys, "after"], "left").filter(F.coalesce(~(F.col("retro") & (F.col("retired_at") < F.col("place"))), F.lit(True)))
+    evolves = F.col("change") == "evolution"
+    enters = F.struct(F.lit(1).alias("role"), F.col("after").alias("item"))
+    leaves = F.struct(F.lit(0).alias("role"), F.col("before").alias("item"))
+    roles = F.when(evolves & F.col("before").isNotNull(), F.array(leaves, enters)).otherwise(F.array(enters))
+    touches = rows.withColumn("_t", F.explode(roles)).select(*rows.columns, "_t.*").withColumn("turn", F.col(tie) * 2 + F.col("role")).drop("place", "retired_at", "retro")
+    touches = touches.withColumn("swaps", evolves & F.col("before").isNotNull())
+    by_item = time_order(touches, (*keys, "item"), (time, "turn"))
+    listed = (*keys, "item_type", "item")
+    by_list = time_order(touches, listed, (time, "turn")) if by_item.split else TimeOrder(listed, (time, "turn"))  # no list of an item has more rows than the item
+    while True:  # whether an evolution's base was held is first taken for granted; it matters only where the evolved item was held already
+        held = cut_lineage(_owned_before(touches, by_list))
+        found = held.filter("role = 0").select(*keys, tie, (F.col("held") > 0).alias("_held"))
+        again = held.filter("role = 1").join(found, [*keys, tie], "left").withColumn("_swaps", F.coalesce("_held", F.lit(False)))
+        if again.filter("_swaps <> swaps AND held > 0").isEmpty():
+            break
+        touches = again.withColumn("swaps", F.col("_swaps")).select(touches.columns).unionByName(held.filter("role = 0").select(touches.columns))
+    first = F.when((F.col("change") == "initial_state") & F.col("configured_level").isNotNull(), F.greatest(F.lit(1), F.col("configured_level"))).otherwise(1).cast("long")
+    gains = (F.col("role") == 1) & ~evolves
+    rises = gains & (F.col("held") > 0)
+    start = F.when(F.col("role") == 0, F.lit(None).cast("long")).when(evolves, F.lit(1).cast("long")).otherwise(first)
+    d = by_item.running(by_item.tag(held.withColumns({"_rises": rises, "_start": start})), _n=running_sum(F.col("_rises").cast("long")))
+    mark = F.when(~F.col("_rises"), F.struct(F.col("_start").alias("level"), F.col("_n").alias("n")))
+    d = by_item.untag(by_item.running(d.withColumn("_mark", mark), _since=last_seen(F.col("_mark")), _until=last_seen(F.col("_mark"), exclusive=True)))
+    level = F.coalesce("_since.level", F.lit(1)) + F.col("_n") - F.coalesce("_since.n", F.lit(0))
+    more = F.col("_n") - F.coalesce("_until.n", F.lit(0))
+    lost = F.coalesce(F.col("_until.level"), F.when(more > 0, 1)) + more
+    d = d.withColumns({"_level": level, "_lost": lost})
+    bases = d.filter("role = 0").select(*keys, tie, F.col("_lost").alias("_base"))
+    d = d.filter("role = 1").join(bases, [*keys, tie], "left")
+    kind = F.when(evolves, "evolution").when(F.col("_rises"), "upgrade").when(F.col("change") == "initial_state", "initial_state").otherwise("new")
+    limit = F.element_at(F.create_map(*(F.lit(x) for pair in maxima.items() for x in pair)), F.col("after")) if maxima else F.lit(None)
+    out = d.select(*keys, time, tie, kind.alias("event_type"), F.when(evolves, F.col("before")).when(F.col("_rises"), F.col("after")).alias("item_before"), F.col("after").alias("item_after"),
+                   F.when(evolves, F.col("_base")).when(F.col("_rises"), F.col("_level") - 1).alias("level_before"), F.col("_level").alias("level_after"), limit.cast("long").alias("normal_max_level"))
+    out = out.withColumn("needs_review", F.coalesce(F.col("level_after") > F.col("normal_max_level"), F.lit(False)))
+    return renumbered(out, order, prefix, "row_id").drop(time)
 
 
 def inventory_build(selections: DataFrame, order: TimeOrder, *, slots: int = 6) -> DataFrame:

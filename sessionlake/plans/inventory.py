@@ -184,10 +184,33 @@ def _progress_rows(spark, folder):
         F.when(e % 5 == 0, "level_up_retrospective").otherwise("level_up").alias("source"), item(6).alias("item_before"), item(10).alias("item_after"), (k % 5).alias("configured_level"))
 
 
-@query("inventory_progression")
+PROGRESS_MAXIMA = {f"item_{i}": 1 + i for i in range(10)}
+
+
+# one row after the other over lists of held items, retired items and levels
+@query("inventory_progression", f"""
+WITH RECURSIVE {SIGNAL_SQL},
+p AS (SELECT session_id, event_id, CASE WHEN k % 2 = 0 THEN 'weapon' ELSE 'passive_item' END AS kind, CASE WHEN t_ms < 30000 THEN 'initial_state' WHEN k % 12 = 0 THEN 'evolution' ELSE 'upgrade' END AS c,
+  event_id % 5 = 0 AS retro, 'item_' || (k % 6) AS b, 'item_' || (k % 10) AS a, k % 5 AS cfg, 1 + k % 10 AS top, row_number() OVER (PARTITION BY session_id ORDER BY t_ms, event_id) AS i
+  FROM sig WHERE event_type IN ('click', 'purchase', 'signup')),
+r AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS item_before, CAST(NULL AS VARCHAR) AS item_after,
+    CAST(NULL AS BIGINT) AS level_before, CAST(NULL AS BIGINT) AS level_after, CAST(NULL AS BIGINT) AS top, CAST([] AS VARCHAR[]) AS held, CAST([] AS VARCHAR[]) AS gone, CAST([] AS STRUCT(x VARCHAR, n BIGINT)[]) AS lv
+    FROM (SELECT DISTINCT session_id FROM p)
+  UNION ALL SELECT session_id, i, event_id, kindof, CASE kindof WHEN 'evolution' THEN b WHEN 'upgrade' THEN a END, a, CASE kindof WHEN 'evolution' THEN lb WHEN 'upgrade' THEN coalesce(la, 1) END, after, top,
+    CASE WHEN kindof IS NULL OR kindof = 'upgrade' THEN held WHEN kindof <> 'evolution' THEN list_append(held, ka)
+      WHEN spot > 0 THEN list_concat(list_append(held[1:spot - 1], ka), held[spot + 1:]) WHEN list_contains(held, ka) THEN held ELSE list_append(held, ka) END,
+    CASE WHEN kindof = 'evolution' THEN list_append(gone, b) ELSE gone END,
+    CASE WHEN kindof IS NULL THEN lv ELSE list_append(list_filter(lv, lambda z: z.x <> a AND NOT (kindof = 'evolution' AND z.x = b)), {{'x': a, 'n': after}}) END
+  FROM (SELECT *, CASE kindof WHEN 'evolution' THEN 1 WHEN 'upgrade' THEN coalesce(la, 1) + 1 WHEN 'initial_state' THEN greatest(1, cfg) ELSE 1 END AS after
+    FROM (SELECT r.session_id, p.i, p.event_id, p.b, p.a, p.cfg, p.top, r.held, r.gone, r.lv, p.kind || p.a AS ka, coalesce(list_position(r.held, p.kind || p.b), 0) AS spot,
+        list_filter(r.lv, lambda z: z.x = p.a)[1].n AS la, list_filter(r.lv, lambda z: z.x = p.b)[1].n AS lb,
+        CASE WHEN p.retro AND list_contains(r.gone, p.a) THEN NULL WHEN p.c = 'evolution' THEN 'evolution' WHEN list_contains(r.held, p.kind || p.a) THEN 'upgrade' WHEN p.c = 'initial_state' THEN p.c ELSE 'new' END AS kindof
+      FROM r JOIN p ON p.session_id = r.session_id AND p.i = r.i + 1)))
+SELECT session_id, event_id, event_type, item_before, item_after, level_before, level_after, top AS normal_max_level, level_after > top AS needs_review,
+  printf('inventory_event_%04d', row_number() OVER (PARTITION BY session_id ORDER BY i)) AS row_id FROM r WHERE event_type IS NOT NULL""")
 def inventory_progression(spark, folder):
     rows = _progress_rows(spark, folder)
-    return ops.progression(rows, time_order(rows))
+    return ops.progression(rows, time_order(rows), PROGRESS_MAXIMA)
 
 
 @query("inventory_build")
