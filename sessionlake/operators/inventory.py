@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.operators.folds import session_fold
@@ -205,31 +205,95 @@ def progression(events: DataFrame, order: TimeOrder, maxima: dict[str, int] | No
     return renumbered(out, order, prefix, "row_id").drop(time)
 
 
-def inventory_build(selections: DataFrame, order: TimeOrder, *, slots: int = 6) -> DataFrame:
-    """Inventory rows from menu choices: impossible ones are excluded with a reason, the others advance the state.
+def _grown_slots(before: Column, after: Column) -> Column:
+    """(place, level) of every place whose level rose by exactly one between two snapshots (map of `type:slot` to level)."""
+    rose = F.filter(F.map_keys(after), lambda p: F.coalesce(F.element_at(after, p) == F.element_at(before, p) + 1, F.lit(False)))
+    return F.transform(rose, lambda p: F.struct(p.alias("place"), F.element_at(after, p).alias("level")))
 
-    ``selections``: ``item_type, item, cursor_score, needs_review, max_level, event_id``.
-    """
 
-    def step(state, row):
-        ident, kind, item, cursor, review, limit = row
-        state = state or {"owned": {}, "levels": {}}
-        owned = state["owned"].get(kind, [])
-        level = state["levels"].get(item, 1)
-        if cursor < 20:
-            return state, [(ident, "excluded", "selection_pointer_unconfirmed", item, None, None, None)]
-        if item in owned and limit is not None and level >= limit:
-            return state, [(ident, "excluded", "item_already_at_normal_max", item, None, None, None)]
-        if item not in owned and len(owned) >= slots and review:
-            return state, [(ident, "excluded", "low_confidence_beyond_standard_slots", item, None, None, None)]
-        known = item in owned
-        items = owned if known else owned + [item]
-        after = level + 1 if known else 1
-        new = {"owned": {**state["owned"], kind: items}, "levels": {**state["levels"], item: after}}
-        return new, [(ident, "upgrade" if known else "new", None, item, items.index(item) + 1, level if known else None, after)]
-
-    return session_fold(selections, order, ["event_id", "item_type", "item", "cursor_score", "needs_review", "max_level"], step,
-                        "event_id long, event_type string, exclusion_reason string, item string, slot long, level_before long, level_after long")
+def _acquired(rows: DataFrame, opening: DataFrame, keys: list[str], slots: int) -> DataFrame:
+    """(keys, item_type, item, at, slot): when each item joined its list, and where it stands there; `at` is null for the opening inventory.
+
+    While a list has room, an item joins with its first usable choice; after that only with a choice that needs no review. So the first items to
+    appear fill the list, and the others wait for their first sure choice: two minima per item, and ranks over items, not over rows."""
+    listed = [*keys, "item_type"]
+    usable = (F.col("cursor_score") >= 20) & ~F.col("fired")
+    seen = rows.groupBy(*listed, "item").agg(F.min(F.when(usable, F.col("place"))).alias("first"), F.min(F.when(usable & ~F.col("needs_review"), F.col("place"))).alias("sure"))
+    taken = opening.groupBy(*listed).agg(F.count(F.lit(1)).alias("taken"))
+    fresh = seen.filter("first IS NOT NULL").join(opening, [*listed, "item"], "left_anti").join(taken, listed, "left").fillna(0, ["taken"])
+    by_first, by_time = Window.partitionBy(*listed).orderBy("first"), Window.partitionBy(*listed).orderBy("at")
+    fresh = fresh.withColumn("at", F.when(F.row_number().over(by_first) <= slots - F.col("taken"), F.col("first")).otherwise(F.col("sure"))).filter("at IS NOT NULL")
+    joined = fresh.select(*listed, "item", "at", (F.col("taken") + F.row_number().over(by_time)).cast("long").alias("slot"))
+    return joined.unionByName(opening.select(*listed, "item", F.lit(None).cast(joined.schema["at"].dataType).alias("at"), F.col("slot").cast("long").alias("slot")))
+
+
+def inventory_build(selections: DataFrame, order: TimeOrder, opening: DataFrame | None = None, *, slots: int = 6) -> DataFrame:
+    """Inventory rows from menu choices: the opening inventory, then upgrades and new items; impossible choices are excluded with a reason.
+
+    ``selections``: ``item_type, item, cursor_score, needs_review, max_level`` (one per item) ``, snapshot`` (map of `type:slot` to level, may be null);
+    ``opening``: ``item_type, slot, item, baseline_ms``, slots from 1 without gaps. Menus up to a session's baseline are cut before anything looks ahead.
+
+    A doubtful choice of an owned item is confirmed, and a doubtful choice of anything replaced, by the only level that rose in the next snapshot
+    (`level_up_retrospective`). What replaced a choice decides which items are owned later, and that decides which levels count, so replacements are settled in
+    rounds; only earlier rows decide, and a round is a few windows and joins whatever the number of pieces. An item is of one type.
+    """
+    keys, (time, tie) = list(order.keys), order.by[:2]
+    rows = selections
+    if opening is None:
+        opening = rows.limit(0).select(*keys, "item_type", F.lit(1).alias("slot"), "item", F.lit(0).cast("long").alias("baseline_ms"))
+    starts = opening.groupBy(*keys).agg(F.min("baseline_ms").alias("_baseline"))
+    rows = rows.join(starts, keys, "left").filter(F.coalesce(F.col(time) > F.col("_baseline"), F.lit(True))).drop("_baseline")
+    ahead = order.untag(order.frames(order.tag(rows), 2, _next=lambda w: F.lead("snapshot").over(w), _later=lambda w: F.lead("snapshot", 2).over(w)))
+    rows = cut_lineage(ahead.select(*keys, time, tie, "item_type", "item", "cursor_score", "needs_review", "max_level", F.struct(time, tie).alias("place"),
+                                    F.when(F.col("needs_review"), _grown_slots(F.col("snapshot"), F.col("_next"))).alias("grown"), F.col("_later").alias("later"),
+                                    F.lit(False).alias("fired"), F.lit(None).cast("string").alias("to_type"), F.lit(None).cast("string").alias("to_item"), F.lit(None).cast("long").alias("to_slot")))
+    listed = [*keys, "item_type"]
+    per_item = time_order(rows, (*listed, "item"), (time, tie))
+    while True:
+        owned = _acquired(rows, opening, keys, slots)
+        before = lambda at: F.coalesce(F.col(at) < F.col("place"), F.lit(True))
+        d = rows.join(owned, [*listed, "item"], "left").join(owned.filter(F.col("slot") == slots).select(*listed, F.col("at").alias("_full"), F.lit(True).alias("_has_full")), listed, "left")
+        d = d.withColumns({"has": F.col("slot").isNotNull() & before("at"), "joins": F.coalesce(F.col("at") == F.col("place"), F.lit(False)), "full": F.coalesce(F.col("_has_full"), F.lit(False)) & before("_full")})
+        own = F.filter("grown", lambda g: F.substring_index(g["place"], ":", 1) == F.col("item_type"))
+        there = (F.col("slot") > slots) | (F.substring_index(F.get(own, F.lit(0))["place"], ":", -1).cast("long") == F.col("slot"))
+        d = d.withColumn("confirmed", F.coalesce(F.col("has") & (F.size(own) == 1) & there, F.lit(False)) & ~F.col("joins"))
+        moves = F.col("fired") | F.col("confirmed") | ((F.col("cursor_score") >= 20) & F.col("has"))
+        d = d.withColumns({"moves": moves, "sure": F.col("fired") | F.col("confirmed"), "on_type": F.coalesce("to_type", "item_type"), "on_item": F.coalesce("to_item", "item")})
+        steps = d.select(*keys, time, tie, F.col("on_type").alias("item_type"), F.col("on_item").alias("item"), "max_level", "moves", "sure", "fired")
+        limits = selections.groupBy(F.col("item").alias("item")).agg(F.max("max_level").alias("_limit"))
+        steps = steps.drop("max_level").join(limits, "item", "left")
+        # below the limit every step counts, above it only sure ones do
+        one = F.lit(1).cast("long")
+        s = per_item.running(per_item.tag(steps), _all=running_sum(F.when(F.col("moves"), one).otherwise(0)), _sure=running_sum(F.when(F.col("sure"), one).otherwise(0)))
+        s = per_item.running(s.withColumn("_mark", F.when(F.col("moves") & (1 + F.col("_all") == F.greatest("_limit", F.lit(1))), F.col("_sure"))), _at=last_seen(F.col("_mark"), exclusive=True))
+        s = per_item.untag(s)
+        earlier, sures = 1 + F.col("_all") - F.col("moves").cast("long"), F.col("_sure") - F.col("sure").cast("long")
+        level = F.when(F.col("_limit").isNull() | (earlier <= F.col("_limit")), earlier).otherwise(F.greatest(F.col("_limit"), one) + sures - F.coalesce("_at", F.lit(0)))
+        levels = s.select(*keys, tie, level.alias("level"))
+        d = d.join(levels, [*keys, tie])
+        at_max = F.coalesce(F.col("has") & (F.col("level") >= F.col("max_level")) & ~F.col("fired"), F.lit(False))
+        d = cut_lineage(d.withColumn("reason", F.when(F.col("cursor_score") < 20, "selection_pointer_unconfirmed").when(at_max, "item_already_at_normal_max")
+                                     .when(~F.col("has") & F.col("full") & F.col("needs_review"), "low_confidence_beyond_standard_slots")))
+        plain = F.coalesce(~F.col("reason").isin("item_already_at_normal_max", "low_confidence_beyond_standard_slots"), F.lit(True))
+        asked = d.filter(F.col("needs_review") & ~F.col("confirmed") & plain & (F.size("grown") > 0)).withColumn("_g", F.explode("grown"))
+        asked = asked.select(*keys, tie, "place", "later", "_g.level", F.col("_g.place").alias("_p"), F.substring_index("_g.place", ":", 1).alias("item_type"), F.substring_index("_g.place", ":", -1).cast("long").alias("slot"))
+        held = asked.join(owned.withColumnRenamed("item", "to_item"), [*listed, "slot"]).filter(before("at"))
+        only = held.groupBy(*keys, tie).agg(F.count(F.lit(1)).alias("_n"), F.first(F.element_at("later", F.col("_p")) >= F.col("level")).alias("_ok"), F.first("item_type").alias("_type"), F.first("to_item").alias("_item"), F.first("slot").alias("_slot"))
+        only = only.filter("_n = 1 AND _ok").drop("_n")
+        again = d.select(*rows.columns, "confirmed", "has", "joins", "level", "reason", F.col("slot").alias("own_slot")).join(only, [*keys, tie], "left").withColumn("_now", F.col("_ok").isNotNull())
+        if again.filter("_now <> fired OR (fired AND (_item <> to_item OR _slot <> to_slot))").isEmpty():
+            break
+        rows = cut_lineage(again.withColumns({"fired": F.col("_now"), "to_type": F.col("_type"), "to_item": F.col("_item"), "to_slot": F.col("_slot")}).select(rows.columns))
+    retro = F.col("fired") | F.col("confirmed")
+    excluded = ~retro & F.col("reason").isNotNull()
+    new = ~retro & ~excluded & ~F.col("has")
+    kind = F.when(excluded, "excluded").when(new, "new").otherwise("upgrade")
+    out = again.select(*keys, tie, kind.alias("event_type"), F.when(retro, "level_up_retrospective").otherwise("level_up").alias("event_source"), F.when(excluded, F.col("reason")).alias("exclusion_reason"),
+                       F.coalesce("to_type", "item_type").alias("item_type"), F.coalesce("to_item", "item").alias("item"), F.when(~excluded, F.coalesce("to_slot", "own_slot")).alias("slot"),
+                       F.when(~excluded & ~new, F.col("level")).alias("level_before"), F.when(new, 1).when(~excluded, F.col("level") + 1).cast("long").alias("level_after"))
+    first = opening.select(*keys, F.lit(None).cast(out.schema[tie].dataType).alias(tie), F.lit("initial_state").alias("event_type"), F.lit("initial_state").alias("event_source"), F.lit(None).cast("string").alias("exclusion_reason"),
+                           "item_type", "item", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("long").alias("level_before"), F.lit(1).cast("long").alias("level_after"))
+    return first.unionByName(out)
 
 
 def inferred_initial_levels(observations: DataFrame, upgrades: DataFrame, key: str = "session_id") -> DataFrame:

@@ -213,13 +213,50 @@ def inventory_progression(spark, folder):
     return ops.progression(rows, time_order(rows), PROGRESS_MAXIMA)
 
 
-@query("inventory_build")
-def inventory_build(spark, folder):
-    k = F.col("k")
-    rows = signals(spark, folder).filter("event_type = 'signup'").select(
+def _menu_rows(spark, folder):
+    """Choices of menus with the levels their snapshots show in five places; a session starts with two items at its baseline."""
+    k, e = F.col("k"), F.col("event_id")
+    level = lambda n: (F.expr("t_ms div 40000") + F.when((e * n) % 7 < 2, 1).otherwise(0)).cast("long")
+    places = {"weapon:1": 3, "weapon:2": 5, "weapon:4": 2, "passive_item:1": 4, "passive_item:3": 6}
+    snapshot = F.create_map(*(x for p, n in places.items() for x in (F.lit(p), level(n))))
+    rows = signals(spark, folder).filter("event_type IN ('signup', 'click')").select(
         "session_id", "event_id", "t_ms", F.when(k % 2 == 0, "weapon").otherwise("passive_item").alias("item_type"), F.concat(F.lit("item_"), (k % 18).cast("string")).alias("item"),
-        (F.col("event_id") % 60).cast("double").alias("cursor_score"), (k % 3 == 0).alias("needs_review"), F.when(k % 4 != 0, 2 + k % 3).alias("max_level"))
-    return ops.inventory_build(rows, time_order(rows))
+        (e % 60).cast("double").alias("cursor_score"), (e % 3 == 0).alias("needs_review"), F.when(k % 18 % 4 != 0, 2 + k % 18 % 3).alias("max_level"), F.when(e % 11 != 0, snapshot).alias("snapshot"))
+    sessions = signals(spark, folder).select("session_id").distinct()
+    opening = sessions.select("session_id", F.explode(F.array(*(F.struct(F.lit(t).alias("item_type"), F.lit(1).alias("slot"), F.lit(i).alias("item")) for t, i in (("weapon", "item_0"), ("passive_item", "item_3"))))).alias("o"))
+    return rows, opening.select("session_id", "o.*", F.lit(20_000).cast("long").alias("baseline_ms"))
+
+
+# menus one after the other over the lists of owned items and their levels
+@query("inventory_build", f"""
+WITH RECURSIVE {SIGNAL_SQL},
+m AS (SELECT session_id, event_id, t_ms, CASE WHEN k % 2 = 0 THEN 'weapon' ELSE 'passive_item' END AS kind, 'item_' || (k % 18) AS item, event_id % 60 AS cur, event_id % 3 = 0 AS rev,
+  t_ms // 40000 AS q, CASE WHEN event_id % 11 <> 0 THEN event_id END AS s FROM sig WHERE event_type IN ('signup', 'click') AND t_ms > 20000),
+l AS (SELECT *, lead(s) OVER w AS s1, lead(q) OVER w AS q1, lead(s, 2) OVER w AS s2, lead(q, 2) OVER w AS q2, row_number() OVER w AS i FROM m WINDOW w AS (PARTITION BY session_id ORDER BY t_ms, event_id)),
+x AS (SELECT *, list_filter(list_transform([('weapon', 1, 3), ('weapon', 2, 5), ('weapon', 4, 2), ('passive_item', 1, 4), ('passive_item', 3, 6)], lambda p: {{'kind': p[1], 'slot': p[2],
+    'a': q + CASE WHEN s * p[3] % 7 < 2 THEN 1 ELSE 0 END + s * 0, 'b': q1 + CASE WHEN s1 * p[3] % 7 < 2 THEN 1 ELSE 0 END + s1 * 0, 'c': q2 + CASE WHEN s2 * p[3] % 7 < 2 THEN 1 ELSE 0 END + s2 * 0}}), lambda g: rev AND g.b = g.a + 1) AS grown FROM l),
+caps AS (SELECT 'item_' || i AS item, CASE WHEN i % 4 <> 0 THEN 2 + i % 3 END AS cap FROM range(0, 18) r(i)),
+r AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS src, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS item,
+    CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS lb, CAST(NULL AS BIGINT) AS la, CAST(['item_0'] AS VARCHAR[]) AS ws, CAST(['item_3'] AS VARCHAR[]) AS ps, CAST([{{'x': 'item_0', 'n': 1}}, {{'x': 'item_3', 'n': 1}}] AS STRUCT(x VARCHAR, n BIGINT)[]) AS lv
+    FROM (SELECT DISTINCT session_id FROM sig)
+  UNION ALL SELECT session_id, i, event_id, ev, CASE WHEN f1 OR f2 THEN 'level_up_retrospective' ELSE 'level_up' END, CASE WHEN ev = 'excluded' THEN reason END, tk, ti,
+    CASE WHEN ev = 'excluded' THEN NULL WHEN f2 THEN tslot WHEN has THEN list_position(mine, ti) ELSE len(mine) + 1 END, CASE WHEN ev = 'upgrade' THEN cur_level END, CASE ev WHEN 'upgrade' THEN cur_level + 1 WHEN 'new' THEN 1 END,
+    CASE WHEN ev = 'new' AND tk = 'weapon' THEN list_append(ws, ti) ELSE ws END, CASE WHEN ev = 'new' AND tk = 'passive_item' THEN list_append(ps, ti) ELSE ps END,
+    CASE ev WHEN 'excluded' THEN lv ELSE list_append(list_filter(lv, lambda z: z.x <> ti), {{'x': ti, 'n': CASE ev WHEN 'upgrade' THEN cur_level + 1 ELSE 1 END}}) END
+  FROM (SELECT *, list_filter(lv, lambda z: z.x = ti)[1].n AS cur_level, CASE WHEN f1 OR f2 THEN 'upgrade' WHEN reason IS NOT NULL THEN 'excluded' WHEN has THEN 'upgrade' ELSE 'new' END AS ev
+    FROM (SELECT *, CASE WHEN f2 THEN cand[1].kind ELSE kind END AS tk, CASE WHEN f2 THEN CASE cand[1].kind WHEN 'weapon' THEN ws[cand[1].slot] ELSE ps[cand[1].slot] END ELSE item END AS ti, cand[1].slot AS tslot
+      FROM (SELECT *, NOT f1 AND rev AND coalesce(reason, '') NOT IN ('item_already_at_normal_max', 'low_confidence_beyond_standard_slots') AND len(cand) = 1 AND coalesce(cand[1].c >= cand[1].b, FALSE) AS f2
+        FROM (SELECT *, has AND len(own) = 1 AND (list_position(mine, item) > 6 OR own[1].slot = list_position(mine, item)) AS f1,
+            CASE WHEN cur < 20 THEN 'selection_pointer_unconfirmed' WHEN has AND list_filter(lv, lambda z: z.x = item)[1].n >= cap THEN 'item_already_at_normal_max' WHEN NOT has AND len(mine) >= 6 AND rev THEN 'low_confidence_beyond_standard_slots' END AS reason
+          FROM (SELECT *, list_contains(mine, item) AS has FROM (
+            SELECT r.session_id, x.i, x.event_id, x.kind, x.item, x.cur, x.rev, r.ws, r.ps, r.lv, caps.cap, CASE x.kind WHEN 'weapon' THEN r.ws ELSE r.ps END AS mine,
+              list_filter(x.grown, lambda g: g.kind = x.kind) AS own, list_filter(x.grown, lambda g: g.slot <= CASE g.kind WHEN 'weapon' THEN len(r.ws) ELSE len(r.ps) END) AS cand
+            FROM r JOIN x ON x.session_id = r.session_id AND x.i = r.i + 1 JOIN caps ON caps.item = x.item)))))))
+SELECT session_id, event_id, event_type, src AS event_source, reason AS exclusion_reason, kind AS item_type, item, slot, lb AS level_before, la AS level_after FROM r WHERE i > 0
+UNION ALL SELECT session_id, NULL, 'initial_state', 'initial_state', NULL, o.kind, o.item, 1, NULL, 1 FROM (SELECT DISTINCT session_id FROM sig), (VALUES ('weapon', 'item_0'), ('passive_item', 'item_3')) o(kind, item)""")
+def inventory_build(spark, folder):
+    rows, opening = _menu_rows(spark, folder)
+    return ops.inventory_build(rows, time_order(rows), opening)
 
 
 @query("initial_levels", f"""
