@@ -272,16 +272,16 @@ def initial_levels(spark, folder):
 
 @query("chest_reward_merge", f"""
 WITH {SIGNAL_SQL}, b AS (SELECT session_id, event_id, t_ms, CASE WHEN k % 5 = 0 THEN 'treasure_chest' ELSE 'level_up' END AS source, 'item_' || (k % 6) AS item FROM sig WHERE event_type = 'click'),
-r AS (SELECT session_id, event_id, t_ms, 'treasure_chest' AS source, 'item_' || (k % 6) AS item FROM sig WHERE event_type = 'signup' AND k < 80),
+r AS (SELECT session_id, event_id, t_ms, 'treasure_chest' AS source, 'item_' || (k % 6) AS item FROM sig WHERE event_type = 'signup' AND k < 98),
 x AS (SELECT DISTINCT session_id FROM sig WHERE event_type = 'signup' AND k >= 98),
 u AS (SELECT * FROM b WHERE source <> 'treasure_chest' UNION ALL SELECT * FROM r)
 SELECT session_id, event_id, source, item, printf('inv_%04d', row_number() OVER ({_W})) AS row_id FROM u WHERE session_id NOT IN (SELECT session_id FROM x)""")
 def chest_reward_merge(spark, folder):
-    """Guessed chest rows give way to accepted rewards; a session with an unaccepted reward is refused as a whole."""
+    """Guessed chest rows give way to accepted rewards (signups below 98); a session with any other, unaccepted one is refused as a whole."""
     rows = signals(spark, folder)
     item = F.concat(F.lit("item_"), (F.col("k") % 6).cast("string")).alias("item")
     guessed = rows.filter("event_type = 'click' AND k % 5 <> 0").select("session_id", "event_id", "t_ms", F.lit("level_up").alias("source"), item)
-    accepted = rows.filter("event_type = 'signup' AND k < 80").select("session_id", "event_id", "t_ms", F.lit("treasure_chest").alias("source"), item)
+    accepted = rows.filter("event_type = 'signup' AND k < 98").select("session_id", "event_id", "t_ms", F.lit("treasure_chest").alias("source"), item)
     refused = rows.filter("event_type = 'signup' AND k >= 98").select("session_id").distinct()
     merged = guessed.unionByName(accepted).join(refused, "session_id", "left_anti")
     return renumbered(merged, time_order(merged), "inv", "row_id").select("session_id", "event_id", "source", "item", "row_id")

@@ -67,10 +67,17 @@ def run_manifest(spark, folder):
         F.count_if(k >= 60).alias("needs_review"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"))
 
 
-@query("table_fingerprints")
+def _text_sql(*names: str) -> str:
+    return " || ".join(f"coalesce(strlen(CAST({n} AS VARCHAR)) || ':' || {n}, '-')" for n in sorted(names))
+
+
+@query("table_fingerprints", f"""
+WITH {SIGNAL_SQL}, h AS (SELECT session_id, CAST('0x' || substr(sha256({_text_sql('session_id', 'event_id', 't_ms', 'event_type', 'cents', 'k')}), 1, 15) AS BIGINT) AS h FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM sig))
+SELECT session_id, count(*) AS rows, CAST(sum(h) AS VARCHAR) AS fingerprint FROM h GROUP BY session_id""")
 def table_fingerprints(spark, folder):
     """Order-insensitive content fingerprint per session."""
-    return ops.table_fingerprint(signals(spark, folder), ["session_id"])
+    rows = signals(spark, folder).withColumn("cents", F.round(F.col("value") * 100).cast("long")).drop("value")
+    return ops.table_fingerprint(rows, ["session_id"])
 
 
 @query("manifest_verification", f"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CORRUPT = "_corrupt_record"
 
@@ -56,14 +58,101 @@ def write_table(df: DataFrame, path: str, fmt: str, *, partition: Sequence[str]
     return seen.get["rows"]
 
 
+CHUNK_BYTES, SPLIT_BYTES, TREE_FAN = 4 << 20, 256 << 20, 4096
+
+
+class FileChunks(DataSource):
+    """Hashes of the files under `path`, read piece by piece: a task holds one chunk in memory, however large its file.
+
+    With `whole` the file is one split and its running SHA-256 comes out at its end (chunk -1); otherwise splits of `split_bytes` are read in parallel and give the
+    SHA-256 of every chunk of `chunk_bytes`. Paths are local or those of a store that `pyarrow.fs` opens by its address."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_chunks"
+
+    def schema(self) -> str:
+        return "path string, size_bytes long, chunk long, sha256 string"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return ChunkReader(dict(self.options))
+
+
+class ChunkSplit(InputPartition):
+    def __init__(self, path: str, size: int, start: int, end: int) -> None:
+        self.path, self.size, self.start, self.end = path, size, start, end
+
+
+class ChunkReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root, self.whole = options["path"], options.get("whole", "false") == "true"
+        self.chunk = int(options.get("chunk_bytes", CHUNK_BYTES))
+        self.split = max(1, int(options.get("split_bytes", SPLIT_BYTES)) // self.chunk) * self.chunk
+
+    def _open(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.root if "://" in self.root or self.root.startswith("file:") else f"file://{self.root}")
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, root = self._open()
+        found = store.get_file_info(root)
+        if found.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.root)
+        files = [found] if found.is_file else [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file]
+        step = lambda f: max(1, f.size) if self.whole else self.split
+        return [ChunkSplit(f.path, f.size, at, min(f.size, at + step(f))) for f in files for at in range(0, max(1, f.size), step(f))]
+
+    def read(self, partition: ChunkSplit) -> Iterator[tuple]:
+        running = hashlib.sha256()
+        with self._open()[0].open_input_file(partition.path) as handle:
+            handle.seek(partition.start)
+            for at in range(partition.start, max(partition.end, partition.start + 1), self.chunk):
+                block = handle.read(min(self.chunk, partition.end - at))
+                if self.whole:
+                    running.update(block)
+                else:
+                    yield partition.path, partition.size, at // self.chunk, hashlib.sha256(block).hexdigest()
+        if self.whole:
+            yield partition.path, partition.size, -1, running.hexdigest()
+
+
+def file_chunks(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    spark.dataSource.register(FileChunks)
+    return spark.read.format("file_chunks").options(path=path, **{k: str(v).lower() for k, v in options.items()}).load()
+
+
+def tree_fingerprints(spark: SparkSession, path: str, *, fan: int = TREE_FAN, **options: object) -> DataFrame:
+    """path, size_bytes, tree_sha256: SHA-256 over the digests of up to ``fan`` neighbours, level by level, from chunks read in parallel."""
+    nodes = file_chunks(spark, path, **options)
+    while True:
+        top = nodes.agg(F.max("chunk")).first()[0]
+        if not top:
+            return nodes.select("path", "size_bytes", F.col("sha256").alias("tree_sha256"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "sha256"))), lambda n: n["sha256"])
+        only = F.col("_n") == 1  # the digest of a lone chunk stands for itself
+        nodes = nodes.groupBy("path", "size_bytes", F.floor(F.col("chunk") / fan).alias("chunk")).agg(F.count(F.lit(1)).alias("_n"), listed.alias("_l")).select(
+            "path", "size_bytes", "chunk", F.when(only, F.get("_l", F.lit(0))).otherwise(F.sha2(F.array_join("_l", ""), 256)).alias("sha256"))
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 and size of every file under a path, each read as a stream by one task."""
+    return file_chunks(spark, path, whole=True).select("path", "size_bytes", "sha256")
+
+
+def verify_files(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Files under a path against ``expected`` (path, sha256): path, sha256, size_bytes. Any missing or different file fails the job that reads them."""
+    d = expected.withColumnRenamed("sha256", "_wanted").join(file_fingerprints(spark, path), "path", "left")
+    said = F.concat(F.lit("integrity check failed for "), F.col("path"), F.lit(": expected "), F.col("_wanted"), F.lit(", got "), F.coalesce("sha256", F.lit("no file")))
+    return d.select("path", F.when(F.coalesce(F.col("sha256") == F.col("_wanted"), F.lit(False)), F.col("sha256")).otherwise(F.raise_error(said)).alias("sha256"), "size_bytes")
 
 
 def row_hash(df: DataFrame):
-    return F.xxhash64(*[F.col(name) for name in sorted(df.columns)])
+    """60 bits of the SHA-256 of a row's columns in order of their names, each as its length and text; the same in every engine."""
+    text = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.conv(F.substring(F.sha2(F.concat(*[text(F.col(name)) for name in sorted(df.columns)]), 256), 1, 15), 16, 10)
 
 
 def table_fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

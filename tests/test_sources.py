@@ -1,6 +1,8 @@
 """Readers, writers, fingerprints and observers."""
 
+import hashlib
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -67,3 +69,43 @@ def test_observer(spark):
     features = spark.createDataFrame([(1, 0.5), (2, 0.7)], "frame long, luma double")
     out = observe(features, "bright")
     assert sorted((r["frame_number"], r["value_num"]) for r in out.collect()) == [(1, 0.5), (2, 0.7)]
+
+
+def test_file_fingerprints_of_large_files(spark, tmp_path):
+    """A file over the limit of one cell is hashed piece by piece; its tree hash comes from chunks in parallel."""
+    large, small, blank = tmp_path / "in" / "large.bin", tmp_path / "in" / "sub" / "small.bin", tmp_path / "in" / "blank.bin"
+    small.parent.mkdir(parents=True)
+    size = (2 << 30) + 5_000_000
+    with large.open("wb") as handle:
+        handle.write(b"head")
+        handle.truncate(size)  # takes no disk
+    small.write_bytes(b"some bytes")
+    blank.write_bytes(b"")
+    step = 64 << 20
+    running, digests, zeros = hashlib.sha256(b"head"), [], bytes(step)
+    for at in range(0, size, step):
+        block = zeros[:min(step, size - at)]
+        if at == 0:
+            block = b"head" + block[4:]
+        running.update(block[4:] if at == 0 else block)
+        digests.append(hashlib.sha256(block).hexdigest())
+    found = {os.path.basename(r.path): (r.size_bytes, r.sha256) for r in files.file_fingerprints(spark, str(tmp_path / "in")).collect()}
+    assert found == {"large.bin": (size, running.hexdigest()), "small.bin": (10, hashlib.sha256(b"some bytes").hexdigest()), "blank.bin": (0, hashlib.sha256(b"").hexdigest())}
+    nodes = digests
+    while len(nodes) > 1:
+        runs = [nodes[i:i + 4] for i in range(0, len(nodes), 4)]
+        nodes = [run[0] if len(run) == 1 else hashlib.sha256("".join(run).encode()).hexdigest() for run in runs]
+    trees = {os.path.basename(r.path): r.tree_sha256 for r in files.tree_fingerprints(spark, str(tmp_path / "in"), fan=4, chunk_bytes=step).collect()}
+    assert trees == {"large.bin": nodes[0], "small.bin": found["small.bin"][1], "blank.bin": found["blank.bin"][1]}
+    assert files.file_chunks(spark, str(large), chunk_bytes=step).count() == len(digests)
+
+
+def test_verify_files(spark, tmp_path):
+    path = tmp_path / "a.bin"
+    path.write_bytes(b"abc")
+    wanted = lambda sha: spark.createDataFrame([(str(path), sha)], "path string, sha256 string")
+    assert files.verify_files(spark, str(path), wanted(hashlib.sha256(b"abc").hexdigest())).first().size_bytes == 3
+    with pytest.raises(Exception, match="integrity check failed"):
+        files.verify_files(spark, str(path), wanted("0" * 64)).collect()
+    with pytest.raises(Exception, match="nowhere"):
+        files.file_fingerprints(spark, str(tmp_path / "nowhere")).collect()
