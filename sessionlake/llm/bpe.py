@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import free_name, pieces
+from sessionlake.llm.common import free_name, lean, pieces
 
 MAX_VOCABULARY = 2_000_000
 CACHE_BYTES = 48 << 20  # of each of two generations, in every worker process
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids",
             columns = [batch.column(i) for i in range(len(rest))]
             yield pa.RecordBatch.from_arrays([*columns, ids, *([codec.decode_lists(ids)] if decoded else [])], names=[*rest, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(docs: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -242,7 +242,7 @@ def decode(docs: DataFrame, codec: Codec, ids: str = "ids", out: str = "decoded"
             raw = codec.decode_lists(batch.column(own))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), raw], names=[*rest, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def token_digests(encoded: DataFrame, codec: Codec) -> DataFrame:

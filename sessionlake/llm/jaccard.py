@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionlake.llm.common import bucket_count, by_bucket, free_name, pieces, smallest_linked
+from sessionlake.llm.common import bucket_count, by_bucket, free_name, lean, pieces, smallest_linked
 from sessionlake.llm.words import distinct_sets, mix, shingles, words
 from sessionlake.session import cut_lineage
 
@@ -103,7 +103,7 @@ def frequent_shingles(docs: DataFrame, buckets: int, text: str = "text") -> np.n
         whole = token[first][keep].astype(np.int64) + (rows.column("bucket")[0].as_py() << 32)
         return pa.table({"token": pa.array(whole), "n": pa.array(total[keep])})
 
-    counted = docs.select(text).mapInArrow(count, "bucket int, tokens binary, places binary, times binary")
+    counted = docs.select(text).mapInArrow(lean(count), "bucket int, tokens binary, places binary, times binary")
     found = cut_lineage(counted.groupBy("bucket").applyInArrow(merge, "token long, n long"))
     if found.count() > MAX_FREQUENT:
         found = found.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
@@ -225,7 +225,7 @@ def _documents(docs: DataFrame) -> DataFrame:
             bits = [_bits(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "sid": pa.array(sid.view(np.int64)), "n": pa.array(np.diff(bounds), pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return docs.mapInArrow(run, f"d {kind}, t long, sid long, n long, bits binary")
+    return docs.mapInArrow(lean(run), f"d {kind}, t long, sid long, n long, bits binary")
 
 
 def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _candidates(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
         sure = np.concatenate((np.ones(len(a), bool), np.zeros(len(pairs), bool)))
         return pa.table({"a": pa.array(np.concatenate((a, pairs[:, 0]))), "b": pa.array(np.concatenate((b, pairs[:, 1]))), "sure": pa.array(sure)})
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sids binary, sizes binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long, sure boolean")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, keys binary, sids binary, sizes binary, a binary, b binary").groupBy("bucket").applyInArrow(meet, "a long, b long, sure boolean")
 
 
 def _verified(sets: list[np.ndarray], left: range | list, right: range | list) -> list[tuple[int, int]]:
@@ -326,7 +326,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = info.filter("n > 0").select("sid", "n", "bits").dropDuplicates(["sid"])
     sized = pairs.filter("not sure").select("a", "b").distinct().join(known.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
     sized = sized.join(known.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    possible = sized.filter(F.col("n_a") * 100 >= F.col("n_b") * PERCENT).filter(F.col("n_b") * 100 >= F.col("n_a") * PERCENT).select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible, "a long, b long")
+    possible = sized.filter(F.col("n_a") * 100 >= F.col("n_b") * PERCENT).filter(F.col("n_b") * 100 >= F.col("n_a") * PERCENT).select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(lean(_possible), "a long, b long")
     candidates = smallest_linked(possible.unionAll(pairs.filter("sure").select("a", "b")))
     counts = candidates.groupBy("root").agg(F.count("*").alias("members"))
     first = info.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "t")).alias("first"))
@@ -339,7 +339,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             blobs = [h[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.record_batch({"sid": batch.column("sid"), "root": batch.column("root"), "members": batch.column("members"), "n": pa.array(np.diff(bounds), pa.int64()), "items": pa.array(blobs, pa.binary())})
 
-    table = cut_lineage(texts.mapInArrow(sets, "sid long, root long, members long, n long, items binary"))
+    table = cut_lineage(texts.mapInArrow(lean(sets), "sid long, root long, members long, n long, items binary"))
 
     def whole(rows: pa.Table) -> pa.Table:
         """Verify all groups of one bin."""
@@ -381,7 +381,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     if not large.isEmpty():
-        found = found.unionAll(work.mapInArrow(across, "a long, b long"))
+        found = found.unionAll(work.mapInArrow(lean(across), "a long, b long"))
     return info, smallest_linked(found)
 
 

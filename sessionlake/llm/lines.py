@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import bucket_count, by_bucket, free_name, pieces
+from sessionlake.llm.common import bucket_count, by_bucket, free_name, lean, pieces
 from sessionlake.llm.words import _BASE, _INVERSE, mix, powers, words
 from sessionlake.session import cut_lineage
 
@@ -82,7 +82,7 @@ def line_table(source: DataFrame) -> DataFrame:
             h = _tagged(x.stretch(x.start, x.end), x.end - x.start, 1)
             yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "i": pa.ListArray.from_arrays(bounds, pa.array(x.number, pa.int32())), "h": pa.ListArray.from_arrays(bounds, pa.array(h))})
 
-    return source.mapInArrow(run, f"d {kind}, t long, i array<int>, h array<long>")
+    return source.mapInArrow(lean(run), f"d {kind}, t long, i array<int>, h array<long>")
 
 
 def shared_halves(source: DataFrame, buckets: int) -> DataFrame:
@@ -120,7 +120,7 @@ def shared_halves(source: DataFrame, buckets: int) -> DataFrame:
         stay = crowded[key]
         return pa.table({"h": pa.array(owners[stay]), "side": pa.array(sides[stay], pa.int32())})
 
-    met = source.select("text").mapInArrow(run, "bucket int, keys binary, owners binary, sides binary").groupBy("bucket").applyInArrow(meet, "h long, side int")
+    met = source.select("text").mapInArrow(lean(run), "bucket int, keys binary, owners binary, sides binary").groupBy("bucket").applyInArrow(meet, "h long, side int")
     flag = lambda condition, name: F.max(condition.cast("int")).alias(name)
     return met.groupBy("h").agg(flag(F.col("side") == 1, "low"), flag(F.col("side") == 0, "high"), flag(F.col("side") >= 2, "whole"))
 
@@ -171,7 +171,7 @@ def _variants(texts: DataFrame, buckets: int) -> DataFrame:
                 out[name] = pa.array([None] * blank + [row[at] for row in rows], type_)
             yield pa.record_batch(out)
 
-    return texts.mapInArrow(run, f"d {kind}, t long, i int, h long, words array<long>, bucket int, keys binary, owners binary, roles binary")
+    return texts.mapInArrow(lean(run), f"d {kind}, t long, i int, h long, words array<long>, bucket int, keys binary, owners binary, roles binary")
 
 
 def _met(rows: pa.Table) -> pa.Table:
@@ -258,7 +258,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.select(columns)
 
-    out = joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    out = joined.mapInArrow(lean(run), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
     if length in docs.columns:
         kind = docs.schema[length].dataType
         changed = F.length(F.col(f"`{text}`")).cast(kind)

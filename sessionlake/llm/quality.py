@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import free_name, pieces
+from sessionlake.llm.common import free_name, lean, pieces
 from sessionlake.llm.words import mix, words
 
 LABELLED_ROWS = 20_000
@@ -227,7 +227,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(n, pa.int64())], names=["id", "x", "n"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    drawn = rows.mapInArrow(run, f"id {id_type}, x array<float>, n long").filter("n > 0")
+    drawn = rows.mapInArrow(lean(run), f"id {id_type}, x array<float>, n long").filter("n > 0")
     sample = drawn.join(known.filter(h < int(space * share)).withColumn("aside", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(5)) == 0), "id", "left")
     sample = sample.filter(F.col("y").isNotNull() | (h < int(space * others))).select("id", "x", "y", "aside").limit(3 * (labelled_rows + unlabelled_rows))
     table = sample.toArrow().combine_chunks()
@@ -262,4 +262,4 @@ def score_quality(docs: DataFrame, model: Model | None, score: str = "score", ke
             scores = pa.array(p, pa.float64(), mask=(n == 0) | (model is None))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), scores, pa.array(kept)], names=[*rest, score, keep])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
