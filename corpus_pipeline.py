@@ -47,10 +47,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens, and whether the ids decode to the text's bytes."""
     codec = vocabulary(spark)
-    decoded = bpe.encode(docs.select("doc_id", "source", "text"), codec, decoded="decoded")
+    decoded = bpe.encode(docs.select("doc_id", "source", "text"), codec, decoded="decoded", cache_bytes=CACHE_BYTES)
     return decoded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
 
+CACHE_BYTES = 16 << 20  # of pre-tokens in a worker: executors that have run the earlier stages have less room than those of a job of its own
+
 STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_copies), ("mixing", mix), ("byte-level BPE", tokenize)]
 
 ORACLE_SQL = None  # a trained classifier and hashed draws are not expressible

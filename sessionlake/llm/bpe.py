@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from sessionlake.llm.common import free_name, lean, pieces
 
 MAX_VOCABULARY = 2_000_000
-CACHE_BYTES = 48 << 20  # of each of two generations, in every worker process
+CACHE_BYTES = 96 << 20  # of recent pre-tokens in every worker process: more memory saves merges, the ids are the same
 ENTRY_BYTES = 200  # a text, its ids and a dictionary slot, besides their characters and ids
 LONG_PRETOKEN = 100  # characters; longer ones are not kept
 _MASK = (1 << 64) - 1
@@ -127,10 +127,10 @@ def merge(piece: bytes, rank) -> list[int]:
 class Recent(dict):
     """Ids (packed int32) of pre-tokens by their text, in two generations: a full one becomes the old one, and what is used again moves back.
 
-    A generation is full when its entries take `CACHE_BYTES`."""
+    A generation is full when its entries take half of `limit` bytes."""
 
-    def __init__(self, find):
-        self.find, self.old, self.room = find, {}, CACHE_BYTES
+    def __init__(self, find, limit: int = CACHE_BYTES):
+        self.find, self.old, self.limit, self.room = find, {}, limit, limit // 2
 
     def __missing__(self, token: str) -> bytes:
         ids = self.old.get(token)
@@ -140,7 +140,7 @@ class Recent(dict):
             if self.room <= 0:
                 self.old = dict(self)
                 self.clear()
-                self.room = CACHE_BYTES
+                self.room = self.limit // 2
             self[token] = ids
             self.room -= len(token) + len(ids) + ENTRY_BYTES
         return ids
@@ -169,11 +169,11 @@ class Codec:
         whole = self.table.get(raw)
         return array("i", [whole] if whole is not None else merge(raw, self.ranks.get)).tobytes()
 
-    def packer(self):
+    def packer(self, cache_bytes: int = CACHE_BYTES):
         """A function from a text to its ids, packed as int32."""
         find = regex.compile(self.pattern).findall
-        if self.recent is None:
-            self.recent = Recent(self.ids_of)
+        if self.recent is None or self.recent.limit != cache_bytes:
+            self.recent = Recent(self.ids_of, cache_bytes)
         ids = self.recent.__getitem__
         return lambda text: b"".join(map(ids, find(text))) if text else b""
 
@@ -205,7 +205,7 @@ def load_codec(spark: SparkSession, path: str, pattern: str) -> Codec:
     return Codec({base64.b64decode(key): int(rank) for key, rank in lines}, pattern)
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids", decoded: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The rows with a column of token ids (array<int>); special tokens are ordinary text. With `decoded`, also the bytes of
     those ids, decoded by the same worker."""
     shared = docs.sparkSession.sparkContext.broadcast(codec)
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", out: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared.value
-        one = codec.packer()
+        one = codec.packer(cache_bytes)
         for batch in pieces(batches, own):
             lists = [one(t) for t in batch.column(own).to_pylist()]
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]) // 4, pa.int32()), pa.array(np.frombuffer(b"".join(lists), np.int32)))

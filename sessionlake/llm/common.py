@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
 from collections.abc import Iterator
 
@@ -38,7 +37,6 @@ def lean(run):
     what one stage has used once would stay beside what the next one needs."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux keeps freed blocks otherwise
             trim(0)
