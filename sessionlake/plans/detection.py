@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sessionlake.operators import detections as ops
 from sessionlake.operators.ordering import time_order
 from sessionlake.plans.registry import query
-from sessionlake.sources.telemetry import signals, table
+from sessionlake.sources.telemetry import SIGNAL_SQL, signals, table
 
 # fixed values: scale of the mapped pixel plane
 PLANE = 1000.0
@@ -53,7 +53,7 @@ def track_candidates(spark, folder):
 def _moving(spark, folder):
     """Detections as slow movers around the player, so that frames can be linked."""
     d = detections(spark, folder).withColumn("frame", F.expr("det_id div 6"))
-    d = d.withColumns({"code": F.col("det_id") % 6, "x": F.col("det_id") % 6 * 150 - 300 + F.col("x") * 0.1 + (F.col("frame") % 10) * 8, "y": F.col("y") * 0.1, "session_id": F.col("frame") % 1,
+    d = d.withColumns({"code": F.col("det_id") % 6, "x": F.col("det_id") % 6 * 150 - 300 + F.col("x") * 0.1 + (F.col("frame") % 10) * 8, "y": F.col("y") * 0.1, "session_id": F.expr("frame div 100"),
                        "score": 0.85 + F.abs("score") * 0.3})
     return d.withColumn("distance", F.hypot("x", "y"))
 
@@ -110,24 +110,52 @@ def separability(spark, folder):
 
 
 @query("content_changes", """
-WITH v AS (SELECT vec_id // 4 AS menu, vec_id % 4 AS pos, embedding FROM embeddings WHERE vec_id % 37 <> 0), m AS (SELECT menu, count(*) AS n FROM v GROUP BY ALL),
-l AS (SELECT menu, n, lag(menu) OVER (ORDER BY menu) AS pm, lag(n) OVER (ORDER BY menu) AS pn FROM m),
+WITH v AS (SELECT vec_id // 4 + CASE WHEN vec_id % 37 = 0 THEN 1 ELSE 0 END AS menu, vec_id AS pos, embedding FROM embeddings), m AS (SELECT menu, count(*) AS n FROM v GROUP BY ALL),
+l AS (SELECT menu // 50 AS session_id, menu, n, lag(menu) OVER w AS pm, lag(n) OVER w AS pn FROM m WINDOW w AS (PARTITION BY menu // 50 ORDER BY menu)),
 r AS (SELECT menu, row_number() OVER (PARTITION BY menu ORDER BY pos) AS i, embedding FROM v),
 d AS (SELECT l.menu, min(list_sum(list_transform(range(1, 65), lambda q: CAST(a.embedding[q] AS DOUBLE) * CAST(b.embedding[q] AS DOUBLE)))) AS s FROM l JOIN r a ON a.menu = l.menu JOIN r b ON b.menu = l.pm AND b.i = a.i GROUP BY l.menu)
-SELECT 0 AS session_id, l.menu, round(CASE WHEN n = pn THEN s END, 6) AS least_similarity, CASE WHEN pm IS NULL THEN NULL WHEN n <> pn THEN TRUE ELSE coalesce(s < 0.1, FALSE) END AS changed FROM l LEFT JOIN d USING (menu)""")
+SELECT l.session_id, l.menu, round(CASE WHEN n = pn THEN s END, 6) AS least_similarity, CASE WHEN pm IS NULL THEN NULL WHEN n <> pn THEN TRUE ELSE coalesce(s < 0.1, FALSE) END AS changed FROM l LEFT JOIN d USING (menu)""")
 def content_changes(spark, folder):
-    """Menus whose icons changed since the one before."""
-    menus = table(spark, folder, "embeddings").filter("vec_id % 37 <> 0").groupBy(F.lit(0).alias("session_id"), F.expr("vec_id div 4").alias("menu")).agg(
-        F.array_sort(F.collect_list(F.struct((F.col("vec_id") % 4).alias("p"), F.col("embedding").alias("e")))).alias("l"))
-    rows = menus.select("session_id", "menu", F.transform("l", lambda x: x["e"]).alias("vectors"))
+    """Menus whose icons changed since the one before; one icon in 37 stands in the next menu, so that menus differ in length."""
+    menu = F.expr("vec_id div 4 + CASE WHEN vec_id % 37 = 0 THEN 1 ELSE 0 END")
+    menus = table(spark, folder, "embeddings").groupBy(menu.alias("menu")).agg(F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("p"), F.col("embedding").alias("e")))).alias("l"))
+    rows = menus.select(F.expr("menu div 50").alias("session_id"), "menu", F.transform("l", lambda x: x["e"]).alias("vectors"))
     return ops.content_changes(rows, time_order(rows, "session_id", ("menu", "menu")), "vectors", 0.1).select("session_id", "menu", "least_similarity", "changed")
 
 
+REWARD_NAMES = [f"item_{i}" for i in range(4)]  # a fifth name is read, but no chest may hold it
+
+
+def _reward_scores(spark, folder):
+    k = F.col("k")
+    rows = signals(spark, folder).groupBy(F.col("session_id").alias("chest"), F.expr("t_ms div 20000").alias("frame"), (F.col("event_id") % 3).alias("place"), F.concat(F.lit("item_"), (k % 5).cast("string")).alias("name")).agg(F.max(k / 100.0).alias("score"))
+    return rows.withColumn("allowed", F.array(*map(F.lit, REWARD_NAMES)))
+
+
+def _resolved(spark, folder):
+    scores = _reward_scores(spark, folder)
+    return ops.resolved_rewards(scores, time_order(scores, "chest", ("frame", "place")))
+
+
+# every choice of different names is tried
+@query("resolved_rewards", f"""
+WITH {SIGNAL_SQL}, s AS (SELECT session_id AS chest, t_ms // 20000 AS frame, event_id % 3 AS place, k % 5 AS name, max(k) AS score FROM sig GROUP BY ALL),
+f AS (SELECT DISTINCT chest, frame FROM s), p AS (SELECT DISTINCT chest, frame, place FROM s),
+c AS (SELECT p.*, n.name, coalesce(s.score, -100) AS gain FROM p CROSS JOIN range(0, 4) n(name) LEFT JOIN s USING (chest, frame, place, name)),
+u AS (SELECT chest, frame, a.name AS n0, b.name AS n1, d.name AS n2, coalesce(a.gain, 0) + coalesce(b.gain, 0) + coalesce(d.gain, 0) AS total
+  FROM f LEFT JOIN (FROM c WHERE place = 0) a USING (chest, frame) LEFT JOIN (FROM c WHERE place = 1) b USING (chest, frame) LEFT JOIN (FROM c WHERE place = 2) d USING (chest, frame)
+  WHERE coalesce(a.name <> b.name, TRUE) AND coalesce(a.name <> d.name, TRUE) AND coalesce(b.name <> d.name, TRUE)),
+w AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY chest, frame ORDER BY total DESC, n0, n1, n2) = 1),
+r AS (SELECT chest, frame, unnest([0, 1, 2]) AS place, unnest([n0, n1, n2]) AS name FROM w)
+SELECT r.chest, r.frame, CAST(r.place AS BIGINT) AS place, 'item_' || r.name AS name, round(s.score / 100.0, 6) AS score,
+  round(s.score / 100.0 - coalesce((SELECT max(o.score) FROM s o WHERE o.chest = r.chest AND o.frame = r.frame AND o.place = r.place AND o.name <> r.name), 0) / 100.0, 6) AS margin
+FROM r LEFT JOIN s USING (chest, frame, place, name) WHERE r.name IS NOT NULL""")
+def resolved_rewards(spark, folder):
+    return _resolved(spark, folder).withColumns({name: F.round(name, 6) for name in ("score", "margin")})
+
+
 @query("reward_consensus")
 def reward_consensus(spark, folder):
-    k = F.col("k")
-    rows = signals(spark, folder).select(
-        F.expr("session_id % 40").alias("chest"), F.expr("t_ms div 20000").alias("frame"), (F.col("event_id") % 3).alias("place"), F.concat(F.lit("item_"), (k % 5).cast("string")).alias("name"),
-        (k / 100.0).alias("score"), (k % 10 / 50.0).alias("margin"), F.lit(3).alias("expected"))
-    first = rows.groupBy("chest", "frame", "place").agg(F.min(F.struct("name", "score", "margin", "expected")).alias("r")).select("chest", "frame", "place", "r.*")
-    return ops.consensus_identities(first, "chest").withColumns({name: F.round(name, 6) for name in ("score", "margin")})
+    """Votes over the frames of a chest, each resolved one to one."""
+    frames = _resolved(spark, folder).filter("score IS NOT NULL").withColumn("expected", F.lit(3))
+    return ops.consensus_identities(frames, "chest").withColumns({name: F.round(name, 6) for name in ("score", "margin")})
