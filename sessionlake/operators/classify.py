@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionlake.operators.ordering import running_sum, time_order
-
-REFERENCE_POINTS = 50_000
-BLOCK_CELLS = 4_000_000
+from sessionlake.session import cut_lineage
 
 
 def scaled_by(reference: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
@@ -22,56 +18,69 @@ def scaled_by(reference: DataFrame, columns: Sequence[str]) -> dict[str, Column]
     return {c: (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns}
 
 
-def nearest_votes(queries: DataFrame, reference: DataFrame, columns: Sequence[str], label: str, labels: Sequence[str], *, ident: str = "event_id",
-                  k: int = 31, points: int = REFERENCE_POINTS) -> DataFrame:
+def nearest_points(places: DataFrame, points: DataFrame, fields: Sequence[str], weight: str, k: int, *, levels: int | None = None) -> DataFrame:
+    """fields and `z`, the ``k`` nearest rows of ``points`` by distance, then by place (array of `d`, `at_<field>`, and what else a point has), for every distinct place.
+
+    Grids of halving cell width lie over the points. A place starts at the finest level whose own cell holds ``k`` rows and meets the points of the cells
+    around it; if its k-th row lies beyond the nearest border with unseen points, it goes on one level coarser, so the result is exact and only such places
+    go on. ``weight`` counts the rows of a point. At level 0 one cell holds all points.
+    """
+    fields = list(fields)
+    count, *box = points.agg(F.count(F.lit(1)), *[f(c) for c in fields for f in (F.min, F.max)]).first()
+    low, high = box[0::2], box[1::2]
+    extent = max(*(hi - lo for lo, hi in zip(low, high)), 1e-9) * 1.000001
+    levels = levels if levels is not None else min(24, max(0, math.ceil(math.log2(max(1.0, count / k)) / len(fields)) + 1))
+    width, last = F.lit(extent) / F.pow(F.lit(2.0), F.col("level")), F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
+    cells = [f"_c{i}" for i in range(len(fields))]
+    tile = lambda df: df.withColumns({name: F.greatest(F.lit(0).cast("long"), F.least(last, F.floor((F.col(c) - F.lit(lo)) / width).cast("long"))) for name, c, lo in zip(cells, fields, low)})
+    ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    tiled = cut_lineage(tile(points.select("*", ladder)))
+    dense = tiled.groupBy("level", *cells).agg(F.sum(weight).alias("_k")).filter(F.col("_k") >= k).select("level", *cells)
+    asked = places.select(*fields).distinct()
+    start = tile(asked.select("*", ladder)).join(dense, ["level", *cells]).groupBy(*fields).agg(F.max("level").alias("level"))
+    active = cut_lineage(asked.join(start, fields, "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    met = tiled.withColumnsRenamed({c: f"at_{c}" for c in fields})
+    item = F.struct("d", *[c for c in met.columns if c not in ("level", *cells)])
+    squares = [(F.col(c) - F.col(f"at_{c}")) * (F.col(c) - F.col(f"at_{c}")) for c in fields]
+    nearest_first = Window.partitionBy(*fields).orderBy("d", *[f"at_{c}" for c in fields])
+    done = None
+    while True:
+        own = tile(active)
+        # points that a place has not met lie behind a border of the cells around it, where there are more cells behind
+        borders = [F.when(F.col(i) - side > 0, F.col(c) - (F.lit(lo) + (F.col(i) - side) * width)) if side > 0 else F.when(F.col(i) - 2 * side - 1 < last, F.lit(lo) + (F.col(i) + 2) * width - F.col(c))
+                   for i, c, lo in zip(cells, fields, low) for side in (1, -1)]
+        own = own.withColumn("safe", F.coalesce(F.least(*borders), F.lit(math.inf)) * 0.999999)
+        for i in cells:
+            own = own.withColumn(i, F.explode(F.array(F.col(i) - 1, F.col(i), F.col(i) + 1)))
+        near = own.join(met, ["level", *cells]).withColumn("d", F.sqrt(sum(squares[1:], squares[0])))
+        best = near.withColumn("_no", F.row_number().over(nearest_first)).filter(F.col("_no") <= k)
+        listed = best.groupBy(*fields, "level", "safe").agg(F.array_sort(F.collect_list(item)).alias("z"))
+        within = F.aggregate(F.filter("z", lambda p: p["d"] <= F.col("safe")), F.lit(0).cast("long"), lambda total, p: total + p[weight])
+        judged = cut_lineage(listed.withColumn("_ok", (F.col("level") == 0) | (within >= k)))
+        ready = judged.filter("_ok").select(*fields, "z")
+        done = ready if done is None else done.unionByName(ready)
+        active = cut_lineage(active.join(ready.select(*fields), fields, "left_anti").filter("level > 0").withColumn("level", F.col("level") - 1))
+        if active.isEmpty():
+            return done
+
+
+def nearest_votes(queries: DataFrame, reference: DataFrame, columns: Sequence[str], label: str, labels: Sequence[str], *, ident: str = "event_id", k: int = 31) -> DataFrame:
     """Distance-weighted vote of the ``k`` nearest reference rows.
 
-    The reference is first reduced to distinct points with a count per class.  It is broadcast in parts of at most
-    ``points`` points; each part yields the nearest neighbours of every query, and the parts are merged per query.
+    The reference is first reduced to distinct points with a count per class, the queries to distinct places, which search on grids (``nearest_points``).
     A query at distance zero to some neighbours is decided by those alone.
     """
-    spark = queries.sparkSession
     scale = scaled_by(reference, columns)
     fields = [f"_f{i}" for i in range(len(columns))]
     place = [scale[c].alias(name) for c, name in zip(columns, fields)]
-    counts = reference.select(*place, F.col(label)).groupBy(*fields).agg(*[F.count_if(F.col(label) == name).alias(f"_n{i}") for i, name in enumerate(labels)])
-    total = counts.count()
-    parts = max(1, -(-total // points))
-    asked = queries.select(ident, *place).filter(" AND ".join(f"{name} IS NOT NULL" for name in fields))
-    schema = T.StructType([queries.schema[ident], T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.ArrayType(T.LongType())))])
-    found = []
-    for part in range(parts):
-        rows = counts.filter(F.pmod(F.xxhash64(*fields), F.lit(parts)) == part).toPandas()
-        if rows.empty:
-            continue
-        rows = rows.sort_values(fields, kind="stable")
-        shared = spark.sparkContext.broadcast((rows[fields].to_numpy(float), rows[[f"_n{i}" for i in range(len(labels))]].to_numpy(np.int64)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            where, votes = shared.value
-            keep = min(k, len(where))
-            step = max(1, BLOCK_CELLS // len(where))
-            for batch in batches:
-                at = batch[fields].to_numpy(float)
-                ids, far, near = [], [], []
-                for start in range(0, len(batch), step):
-                    gap = np.sqrt(((at[start:start + step, None, :] - where[None, :, :]) ** 2).sum(axis=2))
-                    best = np.argsort(gap, axis=1, kind="stable")[:, :keep]
-                    far.extend(np.take_along_axis(gap, best, axis=1).tolist())
-                    near.extend(votes[best].tolist())
-                    ids.extend(batch[ident].iloc[start:start + step].tolist())
-                yield pd.DataFrame({ident: ids, "d": far, "n": near})
-
-        found.append(asked.mapInPandas(search, schema))
-    merged = found[0]
-    for other in found[1:]:
-        merged = merged.unionByName(other)
-    zipped = F.zip_with("d", "n", lambda d, n: F.struct(d.alias("d"), n.alias("n")))
-    merged = merged.select(ident, zipped.alias("z"))
-    if parts > 1:
-        # at most ``parts * k`` neighbours per query
-        merged = merged.groupBy(ident).agg(F.flatten(F.collect_list("z")).alias("z"))
-    ordered = F.array_sort("z")
+    known = " AND ".join(f"{name} IS NOT NULL" for name in fields)
+    counts = reference.select(*place, F.col(label)).filter(known).groupBy(*fields).agg(*[F.count_if(F.col(label) == name).alias(f"_n{i}") for i, name in enumerate(labels)])
+    points = counts.select(*fields, F.array(*[F.col(f"_n{i}") for i in range(len(labels))]).alias("n"), sum((F.col(f"_n{i}") for i in range(1, len(labels))), F.col("_n0")).alias("rows"))
+    asked = queries.select(ident, *place).filter(known)
+    if points.isEmpty():
+        return asked.limit(0).select(ident, *[F.lit(None).cast("double").alias(f"p_{name}") for name in labels])
+    merged = asked.join(nearest_points(asked, points, fields, "rows", k), fields).select(ident, "z")
+    ordered = F.col("z")
     first = F.struct(F.lit(0).cast("long").alias("used"), *[F.lit(0.0).alias(f"w{i}") for i in range(len(labels))], *[F.lit(0.0).alias(f"e{i}") for i in range(len(labels))])
 
     def add(acc: Column, x: Column) -> Column:
