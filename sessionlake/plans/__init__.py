@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("windows", "clock", "counter", "interval", "stream", "event", "contract", "release", "inventory",
-           "evaluation", "classifier", "detection", "pointprocess", "machine", "source", "streams")
+           "evaluation", "classifier", "detection", "pointprocess", "machine", "source", "streams", "health")
 
 
 def load_all() -> None:
