@@ -9,8 +9,8 @@ bounds the candidate's coordinate on both sides; otherwise only candidates of le
 multiplied out exactly. Only k rows per query and block leave a task, and they are merged by a partial aggregate.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; queries meet candidates of
-their own dimension only; a row never meets itself (same id); rows of equal id and vector count once each; ties go to the
-smaller id; with fewer candidates all are returned. Components must be whole numbers whose products sum below 2**53.
+their own dimension only; a row never meets itself (same id); rows of equal id count once each, as candidates and as
+queries, so a query row that stands twice has its k ranks twice; ties go to the smaller id; with fewer candidates all are returned. Components must be whole numbers whose products sum below 2**53.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _search(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, c: np.ndarray,
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector: str = "embedding",
           buckets: int = BUCKETS, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank (from 1), id, score for every query row against every other row."""
+    """query_id, rank (from 1), id, score for every query row against every other row. A query row is its place in its block, not its id."""
     own = vectors.filter(usable(F.col(vector))).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"),
                                                        F.coalesce(is_query, F.lit(False)).alias("asks"))
     own = own.filter("id is not null").withColumn("dim", F.size("vector")).withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
@@ -99,20 +99,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
                 bound = batch.column("q_bounds")[r].values.to_numpy(zero_copy_only=False)
                 found = list(_search(matrix(batch.column("q_vectors"), r), q_ids, bound, matrix(batch.column("vectors"), r), batch.column("ids")[r].values.to_numpy(), k))
                 rows = np.array([i for i, _, _ in found], dtype=np.int64)
-                yield pa.record_batch({"query_id": pa.array(q_ids[rows], pa.int64()), "q_block": pa.array(np.full(len(rows), batch.column("q_block")[r].as_py()), pa.int32()),
+                yield pa.record_batch({"query_id": pa.array(q_ids[rows], pa.int64()), "q_row": pa.array(rows, pa.int32()), "q_block": pa.array(np.full(len(rows), batch.column("q_block")[r].as_py()), pa.int32()),
                                        "dim": pa.array(np.full(len(rows), batch.column("dim")[r].as_py()), pa.int32()),
                                        "id": pa.array([x for _, x, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
 
-    schema = "query_id long, q_block int, dim int, id long, score long"
+    schema = "query_id long, q_row int, q_block int, dim int, id long, score long"
     columns = ["dim", "q_block", "q_ids", "q_vectors", "q_bounds", "ids", "vectors"]
     unknown = queries.withColumn("q_bounds", F.transform("q_ids", lambda _: F.lit(float("-inf"))))
     first = candidates.groupBy("dim").agg(F.max(F.struct("bucket", F.size("ids").alias("n"), "block")).alias("top"))
     first = candidates.join(first.select("dim", F.col("top.bucket").alias("bucket"), F.col("top.block").alias("block")), ["dim", "bucket", "block"], "left_semi")
     seeds = pair(first, unknown).select(*columns).mapInArrow(run, schema)
-    kth = seeds.groupBy("dim", "q_block", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    known = kth.filter(F.col("n") >= k).groupBy("dim", "q_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "low"))).alias("lows"))
+    kth = seeds.groupBy("dim", "q_block", "q_row").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    known = kth.filter(F.col("n") >= k).groupBy("dim", "q_block").agg(F.map_from_entries(F.collect_list(F.struct("q_row", "low"))).alias("lows"))
     bounded = (queries.join(known, ["dim", "q_block"], "left")
-               .withColumn("q_bounds", F.transform("q_ids", lambda q: F.coalesce(F.try_element_at("lows", q).cast("double"), F.lit(float("-inf"))))).drop("lows"))
+               .withColumn("q_bounds", F.transform("q_ids", lambda _, i: F.coalesce(F.try_element_at("lows", i).cast("double"), F.lit(float("-inf"))))).drop("lows"))
     found = pair(candidates, bounded).select(*columns).mapInArrow(run, schema)
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
+    best = found.groupBy("dim", "q_block", "q_row", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))

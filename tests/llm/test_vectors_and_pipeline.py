@@ -41,6 +41,18 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(frame.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_top_k_of_repeated_queries_and_candidates(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (50, [-3.0, 1.0]), (100, [0.0, -1.0]), *[(i, [float(i), float(i % 3)]) for i in range(1, 9)], (8, [8.0, 2.0])]
+    frame = spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<double>, id string, dim int")
+    got = topk.top_k(frame, F.col("vec_id") % 50 == 0, 5, candidate_rows=4, query_rows=2)
+    want = []
+    for q, x in rows:
+        if q % 50 == 0:
+            best = sorted((-int(np.dot(x, y)), i) for i, y in rows if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 20
+
+
 def test_near_vectors_recall_and_odd_rows(spark):
     x, label = clustered(1500, 2)
     x[5:25] = x[4]
