@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.functions.scalars import first_max_name
 from sessionlake.operators.ordering import running_sum, time_order
 from sessionlake.session import cut_lineage
 
@@ -145,6 +146,41 @@ def forest_predictions(model, rows: DataFrame, ident: str) -> DataFrame:
     return scored.select(ident, F.element_at(F.array(*[F.lit(n) for n in names]), index).alias("prediction"), F.element_at(p, index).alias("confidence"))
 
 
+def forest_probabilities(model, rows: DataFrame, ident: str, labels: Sequence[str]) -> DataFrame:
+    """`p_<label>` for every label; a label the forest was not trained on has probability zero."""
+    from pyspark.ml.functions import vector_to_array
+
+    names = list(model.stages[2].labels)
+    scored = model.stages[3].transform(model.stages[1].transform(model.stages[0].transform(rows)))
+    p = vector_to_array("probability")
+    return scored.select(ident, *[(F.element_at(p, names.index(name) + 1) if name in names else F.lit(0.0)).alias(f"p_{name}") for name in labels])
+
+
+def combined_prediction(rows: DataFrame, labels: Sequence[str], *, rare_label: str, rare: Column, saturated: Column, override: Column,
+                        seen_label: Column, score: Column, ceiling: float = 0.99) -> DataFrame:
+    """One decision per row from the probabilities `p_<label>` of a model and from evidence that outranks it; replaces them, adds `prediction, reason`.
+
+    In order: one strong visual track decides a row whose value is saturated (its score, the rest shared by the other labels); any other saturated row stays
+    open (empty prediction, probabilities zero); the guarded rare class decides with 0.65 to 0.99 by its score; else the model's largest probability, the
+    first label on a tie. Null evidence is no evidence; without it a row with null probabilities stays open as `no_model`.
+    """
+    holds = lambda condition: F.coalesce(condition, F.lit(False))
+    sure = F.least(F.lit(ceiling), F.greatest(F.lit(0.0), F.coalesce(score, F.lit(0.0))))
+    rarely = F.least(F.lit(ceiling), F.greatest(F.lit(0.0), 0.65 + 0.35 * F.coalesce(score, F.lit(0.0))))
+    known = F.lit(True)
+    for name in labels:
+        known = known & F.col(f"p_{name}").isNotNull()
+    reason = (F.when(holds(override) & seen_label.isin(*labels), "single_strong_track").when(holds(saturated), "saturated_unresolved")
+              .when(holds(rare), "guarded_rare_class").when(known, "model_probability").otherwise("no_model"))
+    d = rows.withColumn("reason", reason)
+    why = lambda name: F.col("reason") == name
+    p = {name: (F.when(why("single_strong_track"), F.when(seen_label == name, sure).otherwise((1.0 - sure) / (len(labels) - 1)))
+                .when(why("guarded_rare_class"), rarely if name == rare_label else F.lit(0.0)).when(why("model_probability"), F.col(f"p_{name}")).otherwise(0.0)) for name in labels}
+    prediction = (F.when(why("single_strong_track"), seen_label).when(why("guarded_rare_class"), rare_label)
+                  .when(why("model_probability"), first_max_name(labels, [F.col(f"p_{name}") for name in labels])).otherwise(""))
+    return d.withColumns({"prediction": prediction, **{f"p_{name}": p[name] for name in labels}})
+
+
 def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, ident: str, *, folds: int = 3, trees: int = 500, depth: int = 9) -> DataFrame:
     """Every row predicted by a forest that has not seen its fold."""
     dealt = stratified_folds(rows, label, ident, folds)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.functions.scalars import mean_median
 from sessionlake.operators.folds import session_fold
 from sessionlake.operators.ordering import Running, TimeOrder, last_seen, running_max, running_min, running_sum, time_order
 
@@ -168,19 +169,43 @@ def transition_guard(frames: DataFrame, order: TimeOrder, strong: Column, *, min
     return order.untag(d.withColumn("guarded", F.col("_near") == 1)).select(*frames.columns, "guarded")
 
 
-def reset_candidates_fold(frames: DataFrame, order: TimeOrder, frame: str, candidate: str, activity: str,
-                          collapse_frames: int = 15) -> DataFrame:
-    """Accepted bar resets: far enough from the previous one and with real activity in between."""
-    d = order.running(order.tag(frames), _activity=running_sum(F.col(activity).cast("long")))
-    d = order.untag(d.filter(F.col(candidate)))
+def bar_resets(frames: DataFrame, order: TimeOrder, *, hud_floor: float = 0.90, min_quality: float = 0.78, overlay_limit: float = 0.05,
+               drop: float = 0.20, full: float = 0.90, low: float = 0.80, collapse_frames: int = 15) -> DataFrame:
+    """Falls of a nearly full bar to a low one, as `frame` (from 1) and row at which each begins, beside the row of the fall.
 
-    def step(state, row):
-        tie, at, active = row
-        if state is not None and (at - state[0] <= collapse_frames or active - state[1] <= 0):
-            return state, []
-        return [at, active], [(tie, at)]
-
-    return session_fold(d, order, [order.by[-1], frame, "_activity"], step, f"{order.by[-1]} long, {frame} long")
+    ``frames`` hold ``pixels, quality, hud, overlay, guarded, reappeared, paused``. The bar is as wide as its longest reading of the session. A fall
+    counts where the panel is readable on both sides, and only if, since the last reset began, more than ``collapse_frames`` frames have gone by and the
+    bar has grown between two clean, unguarded frames. A fall at the end of a pause belongs to what opened the pause, however many stretches of it follow
+    each other: its reset begins at the first paused frame of the run. Pauses are guarded. Null flags are false; frames with null pixels or scores are no evidence.
+    """
+    time, tie = order.by
+    back = {name: (lambda w, name=name: F.lag(name).over(w)) for name in ("pixels", "hud", "quality", "overlay", "guarded", "paused")}
+    holds = lambda name: F.coalesce(F.col(name), F.lit(False))
+    flags = {"guarded": holds("guarded") | holds("paused"), "reappeared": holds("reappeared"), "paused": holds("paused")}
+    d = order.tag(frames.withColumns(flags))
+    d = order.frames(d, 15, **{f"_a_{name}": lag for name, lag in back.items()}, _before=lambda w: F.max("pixels").over(w.rowsBetween(-15, -1)),
+                     _after=lambda w: F.collect_list("pixels").over(w.rowsBetween(0, 4)))
+    d = order.running(d, frame=running_sum(F.lit(1).cast("long")), _left=running_max(F.col("pixels")), _right=Running("max", F.col("pixels"), reverse=True))
+    c = F.col
+    width = F.greatest(F.lit(1), "_left", "_right")
+    step = c("pixels") - c("_a_pixels")
+    readable = (c("hud") >= hud_floor) & (c("_a_hud") >= hud_floor)
+    clean = [(c(f"{side}quality") >= min_quality) & (c(f"{side}overlay") < overlay_limit) & ~c(f"{side}guarded") for side in ("", "_a_")]
+    grows = readable & (step >= 1) & clean[0] & clean[1] & ~c("reappeared")
+    falls = readable & (step <= -drop * width) & (c("_before") >= full * width) & (mean_median(c("_after")) <= low * width)
+    here = F.struct("frame", time, tie)
+    opens = c("paused") & ~F.coalesce("_a_paused", F.lit(False))
+    d = order.running(d, _opened=last_seen(F.when(opens, here), exclusive=True), _grown=last_seen(F.when(grows, c("frame")), exclusive=True))
+    begin = F.when(c("_a_paused"), c("_opened")).otherwise(here)
+    d = order.untag(d.filter(falls)).select(*order.keys, *order.by, c("frame").alias("_fell"), "_grown", *[begin[name].alias(f"_begin_{name}") for name in ("frame", time, tie)])
+
+    def step_on(last, row):
+        at, grown, frame, begins, ident, fell = row
+        if last is not None and (at - last <= collapse_frames or grown is None or grown <= last):
+            return last, []
+        return frame, [(frame, begins, ident, fell)]
+
+    return session_fold(d, order, ["_fell", "_grown", "_begin_frame", f"_begin_{time}", f"_begin_{tie}", tie], step_on, f"frame long, {time} long, {tie} long, fall_{tie} long")
 
 
 def _settle_second(state):

@@ -244,22 +244,31 @@ def persistent_increases(spark, folder):
     return ops.bar_increases(rows, time_order(rows), bar_width=100, min_quality=0.72, hud_floor=0.86)
 
 
-@query("level_resets")
+_RESET_SQL = f"""
+rb AS (SELECT *, (session_id % 2 = 0 AND ((t_ms // 1000) % 100 >= 84 OR (t_ms // 1000) % 100 < 16)) AS paused, row_number() OVER w AS frame, lag(pixels) OVER w AS p1,
+  last_value(CASE WHEN pixels > 1 THEN pixels END IGNORE NULLS) OVER (w ROWS BETWEEN 12 PRECEDING AND 2 PRECEDING) AS seen, max(pixels) OVER (PARTITION BY session_id) AS width,
+  max(pixels) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS before, median(pixels) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS after FROM bar WINDOW w AS ({_W})),
+rg AS (SELECT *, paused OR k >= 97 AS guarded, coalesce(pixels > 1 AND p1 <= 1 AND seen >= pixels - 1, FALSE) AS reappeared FROM rb),
+rl AS (SELECT *, quality >= 0.72 AND overlay < 0.05 AND NOT guarded AS clean, hud >= 0.86 AS readable FROM rg),
+rp AS (SELECT *, lag(clean) OVER w AS c1, lag(readable) OVER w AS r1 FROM rl WINDOW w AS ({_W})),
+grown AS (SELECT session_id, frame FROM rp WHERE readable AND r1 AND clean AND c1 AND pixels > p1 AND NOT reappeared),
+cand AS (SELECT session_id, event_id, frame, (SELECT max(g.frame) FROM grown g WHERE g.session_id = rp.session_id AND g.frame < rp.frame) AS g,
+  coalesce((SELECT max(o.frame) FROM rp o WHERE o.session_id = rp.session_id AND o.frame < rp.frame AND NOT o.paused), 0) + 1 AS b
+  FROM rp WHERE readable AND r1 AND pixels - p1 <= CAST(-0.2 AS DOUBLE) * width AND before >= CAST(0.9 AS DOUBLE) * width AND after <= CAST(0.8 AS DOUBLE) * width),
+nx AS (SELECT a.session_id, a.frame, min(z.frame) AS nxt FROM cand a JOIN cand z ON z.session_id = a.session_id AND z.frame > a.b + 6 AND z.g > a.b GROUP BY ALL),
+walk AS (SELECT session_id, min(frame) AS frame FROM cand GROUP BY session_id UNION ALL SELECT nx.session_id, nx.nxt FROM walk JOIN nx USING (session_id, frame))"""
+
+
+@query("level_resets", f"""
+WITH RECURSIVE {_BAR_SQL}, {_RESET_SQL}
+SELECT session_id, b AS frame, s.t_ms, s.event_id, cand.event_id AS fall_event_id FROM walk JOIN cand USING (session_id, frame) JOIN (SELECT session_id, frame AS b, t_ms, event_id FROM rb) s USING (session_id, b)""")
 def level_resets(spark, folder):
-    """Bar resets: a large fall with a nearly full bar before and a low one after, after renewed activity."""
-    from sessionlake.functions.scalars import mean_median
-    from sessionlake.operators.ordering import running_sum
-
-    rows = bar_frames(spark, folder)
+    """Bar resets: a large fall with a nearly full bar before and a low one after, after renewed activity, dated back to the pause it ends."""
+    second = F.expr("(t_ms div 1000) % 100")
+    paused = (F.col("session_id") % 2 == 0) & ((second >= 84) | (second < 16))
+    rows = bar_frames(spark, folder).select("session_id", "t_ms", "event_id", "pixels", "quality", "hud", "overlay", paused.alias("paused"), (paused | (F.col("k") >= 97)).alias("guarded"))
     order = time_order(rows)
-    d = order.running(order.tag(rows), frame=running_sum(F.lit(1).cast("long")))
-    d = order.frames(d, 15, a=lambda w: F.lag("pixels").over(w), ah=lambda w: F.lag("hud").over(w),
-                     before=lambda w: F.max("pixels").over(w.rowsBetween(-15, -1)), after=lambda w: F.collect_list("pixels").over(w.rowsBetween(0, 4)))
-    width = 102
-    good = (F.col("hud") >= 0.86) & (F.coalesce("ah", "hud") >= 0.86)
-    fall = good & (F.col("pixels") - F.col("a") <= -0.20 * width) & (F.col("before") >= 0.5 * width) & (mean_median(F.col("after")) <= 0.8 * width)
-    d = order.untag(d.withColumns({"candidate": F.coalesce(fall, F.lit(False)), "activity": F.coalesce(good & (F.col("pixels") > F.col("a")), F.lit(False)).cast("int")}))
-    return counter_ops.reset_candidates_fold(d.select("session_id", "t_ms", "event_id", "frame", "candidate", "activity"), order, "frame", "candidate", "activity")
+    return counter_ops.bar_resets(counter_ops.reappearances(rows, order, "pixels"), order, hud_floor=0.86, min_quality=0.72, collapse_frames=6)
 
 
 @query("reset_levels", f"""

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.operators import classify
 
@@ -34,3 +35,26 @@ def test_votes_without_reference_or_position(spark):
     assert classify.nearest_votes(rows, rows.limit(0), ["a", "b"], "label", ["x", "y"]).count() == 0
     out = classify.nearest_votes(rows, rows, ["a", "b"], "label", ["x", "y"]).collect()
     assert [(r.event_id, r.p_x, r.p_y) for r in out] == [(1, 1.0, 0.0)]
+
+
+def test_combined_prediction_order_of_evidence(spark):
+    rows = [  # id, p, rare, saturated, strong, seen, score
+        (1, (0.2, 0.5, 0.3), False, False, False, "red", 0.9), (2, (0.4, 0.4, 0.2), None, None, None, None, None), (3, (0.9, 0.1, 0.0), True, False, False, "red|blue", 0.8),
+        (4, (0.9, 0.1, 0.0), True, True, False, "red", 0.8), (5, (0.9, 0.1, 0.0), True, True, True, "green", 1.0), (6, (None, None, None), False, False, False, "red", 0.9),
+        (7, (None, None, None), True, None, None, None, None), (8, (0.1, 0.2, 0.7), False, True, True, "purple", 0.95)]
+    df = spark.createDataFrame([(i, *p, *rest) for i, p, *rest in rows], "event_id long, p_blue double, p_green double, p_red double, rare boolean, sat boolean, strong boolean, seen string, score double")
+    c = F.col
+    fused = lambda df: classify.combined_prediction(df, ["blue", "green", "red"], rare_label="red", rare=c("rare"), saturated=c("sat"), override=c("strong"), seen_label=c("seen"), score=c("score"))
+    got = {r.event_id: (r.prediction, r.reason, tuple(round(r[f"p_{x}"], 6) for x in ("blue", "green", "red"))) for r in fused(df).collect()}
+    assert got == {
+        1: ("green", "model_probability", (0.2, 0.5, 0.3)), 2: ("blue", "model_probability", (0.4, 0.4, 0.2)), 3: ("red", "guarded_rare_class", (0, 0, 0.93)),
+        4: ("", "saturated_unresolved", (0, 0, 0)), 5: ("green", "single_strong_track", (0.005, 0.99, 0.005)), 6: ("", "no_model", (0, 0, 0)),
+        7: ("red", "guarded_rare_class", (0, 0, 0.65)), 8: ("", "saturated_unresolved", (0, 0, 0))}
+    assert fused(df.limit(0)).count() == 0
+
+
+def test_forest_probabilities_of_unknown_labels(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), "blue" if i % 2 else "green") for i in range(60)], "event_id long, a double, b double, label string")
+    model = classify.fit_forest(rows, ["a", "b"], "label", trees=5)
+    out = classify.forest_probabilities(model, rows, "event_id", ["blue", "green", "red"]).collect()
+    assert len(out) == 60 and all(r.p_red == 0.0 and abs(r.p_blue + r.p_green - 1) < 1e-9 for r in out)

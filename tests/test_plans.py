@@ -15,7 +15,7 @@ def plan(spark, name):
     return QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"hawkes_fit", "hawkes_multivariate", "forest_oof", "forest_importance", "forest_assignment"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"hawkes_fit", "hawkes_multivariate", "forest_oof", "forest_importance", "forest_assignment", "combined_forest"}))
 def test_no_pairwise_join(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
