@@ -3,7 +3,9 @@
 1. Every source gets a target number of words: its share of all words by weight, no more than MAX_REPEATS times its own
    words; the excess is shared again by weight among the others until none is above.
 2. A source's documents are dealt into blocks by hash, each about equally large. Whole passes take every block; of the rest
-   blocks are taken in a random order until the target, and inside the one block on the border documents until the target.
+   blocks are taken in a random order until the target. The one block on the border is filled by documents in hash order: a
+   document that no longer fits is passed over, those behind it that fit go on, and what is then open is closed by the one
+   document nearest to it in size, if that comes nearer than leaving it open.
 3. The taken blocks (a block once per pass) are split among the output shards by a binary tree. A node knows only its quota
    per source. Its blocks are put in a random order and the first half goes left, so the left quotas are one draw of the
    multivariate hypergeometric distribution and the right ones the rest. After log2(shards) levels every shard has exact quotas.
@@ -31,6 +33,7 @@ from sessionlake.session import cut_lineage
 MAX_REPEATS = 3
 MAX_BLOCKS = 16_384
 SHARDS = 16  # a power of two
+FILL_ROUNDS = 4  # over a border block
 SEED = 11
 
 
@@ -70,6 +73,25 @@ def split_quotas(units: DataFrame, shards: int, seed: int) -> DataFrame:
     return quotas.withColumnRenamed("node", "shard")
 
 
+def fill_border(rows: DataFrame, rounds: int = FILL_ROUNDS) -> DataFrame:
+    """rows (source, block, h, id, size, part) of border blocks with `last`: whether the last pass takes the document.
+
+    Every round goes over the documents that fit into what is open and takes them up to the first that no longer fits. All rounds share one order.
+    """
+    block = Window.partitionBy("source", "block")
+    order = block.orderBy("h", "id")
+    d = rows.withColumns({"last": F.lit(False), "open": F.col("part")})
+    for _ in range(rounds):
+        fits = ~F.col("last") & (F.col("size") <= F.col("open"))
+        d = d.withColumn("fits", fits).withColumn("sum", F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        d = d.withColumn("now", F.col("fits") & (F.col("sum") <= F.col("open")))
+        d = d.withColumn("last", F.col("last") | F.col("now")).withColumn("open", F.col("open") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(block))
+    off = F.abs(F.col("size") - F.col("open"))
+    nearest = F.row_number().over(block.orderBy("last", off, "h", "id"))
+    d = d.withColumn("nearest", nearest)
+    return d.withColumn("last", F.col("last") | ((F.col("nearest") == 1) & (off < F.col("open")))).drop("open", "fits", "sum", "now", "nearest")
+
+
 def mix_sources(docs: DataFrame, weights: Sequence[float], shards: int = SHARDS, seed: int = SEED, id_column: str = "doc_id", text: str = "text",
                 source: str = "source", most: int = MAX_REPEATS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """One row per document: id, key (xxhash64 of id, source and text), size, source_size, target, draws (array<struct<pass, shard, place>>, one for each time it is taken).
@@ -112,12 +134,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float], shards: int = SHARDS,
     homes = blocks.alias("b").join(homes.alias("h"), F.col("b.source").eqNullSafe(F.col("h.source")) & (F.col("b.block") == F.col("h.block"))).select("b.source", "b.block", "b.passes", "b.part", "b.words", "h.homes")
 
     taken = dealt.alias("d").join(homes.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.block") == F.col("h.block")), "left").select("d.*", "h.passes", "h.part", "h.words", "h.homes")
-    border = (F.col("part") > 0) & (F.col("part") < F.col("words"))
-    within = Window.partitionBy("source", "block").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    # A document on the border is taken if more than half of it lies before the border.
-    taken = taken.withColumn("middle", F.when(border, F.sum("size").over(within) - F.col("size") / 2))
-    last = F.when(border, F.col("middle") < F.col("part")).otherwise(F.col("part") > 0)
-    homes_ = F.filter("homes", lambda x: (x["pass"] <= F.col("passes")) | last)
+    taken = taken.withColumn("border", F.coalesce((F.col("part") > 0) & (F.col("part") < F.col("words")), F.lit(False)))
+    # A source has one border block at most, so only its rows are sorted.
+    taken = taken.filter("NOT border").withColumn("last", F.col("part") > 0).unionByName(fill_border(taken.filter("border")))
+    homes_ = F.filter("homes", lambda x: (x["pass"] <= F.col("passes")) | F.col("last"))
     draws = F.when((F.col("size") > 0) & F.col("homes").isNotNull(), F.transform(homes_, lambda x: F.struct(
         x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(seed + 4), x["shard"], x["pass"], F.col("h")).alias("place")))).otherwise(
         F.array().cast("array<struct<pass:int,shard:int,place:bigint>>"))
@@ -130,4 +150,6 @@ def mixture(drawn: DataFrame) -> DataFrame:
 
 
 def mixing_digests(drawn: DataFrame) -> DataFrame:
-    return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("copies"))
+    """`draws` lists pass:shard:place of each time the document is taken, by pass."""
+    places = F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["pass"], x["shard"], x["place"])), ",")
+    return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.size("draws").cast("long").alias("copies"), places.alias("draws"))

@@ -319,3 +319,46 @@ def test_mixing_meets_targets(spark, odd, empty):
     again = {r.doc_id: r.taken for r in mixing.mixing_digests(mixing.mix_sources(docs.repartition(7), (5, 2, 1))).collect()}
     assert again == {d: r.taken for d, r in got.items()}
     assert mixing.mix_sources(odd, (5, 2, 1)).count() == 9 and mixing.mix_sources(empty, (5, 2, 1)).count() == 0
+
+
+def test_border_blocks_are_filled_like_one_document_after_the_other(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for block in range(30):
+        own = [(None if block % 7 == 0 else f"s{block % 7}", block, rng.getrandbits(40), 100 * block + i, rng.choice([0, 1, 3, 10, 40, 900])) for i in range(rng.randint(1, 40))]
+        total = sum(r[4] for r in own)
+        part = rng.random() * total
+        rows += [(*r, part) for r in own]
+        left, taken, queue = part, set(), sorted(own, key=lambda r: r[2:4])
+        for _ in range(mixing.FILL_ROUNDS):
+            run, fitting = 0, [r for r in queue if r[3] not in taken and r[4] <= left]
+            for r in fitting:
+                run += r[4]
+                if run > left:
+                    break
+                taken.add(r[3])
+            left = part - sum(r[4] for r in own if r[3] in taken)
+        rest = sorted((abs(r[4] - left), *r[2:4]) for r in own if r[3] not in taken)
+        if rest and rest[0][0] < left:
+            taken.add(rest[0][2])
+        want[block] = taken
+        smallest = min((r[4] for r in own if r[3] not in taken), default=0)
+        assert abs(part - sum(r[4] for r in own if r[3] in taken)) <= max(900 / 2, smallest)
+    frame_ = spark.createDataFrame(rows, "source string, block int, h long, id long, size long, part double")
+    got = {}
+    for r in mixing.fill_border(frame_).collect():
+        got.setdefault(r.block, set()).update([r.id] if r.last else [])
+    assert got == want
+
+
+def test_a_long_document_on_the_border_does_not_end_its_source(spark):
+    rows = [(i, "w " * (3_000 if i % 12 == 0 else 20 + i % 9), "a" if i % 2 else "b") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        got = mixing.mixing_digests(mixing.mix_sources(docs, (5, 2), seed=seed)).collect()
+        for odd in (0, 1):
+            own = [r for r in got if r.doc_id % 2 == odd]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target  # half a long document would be 2.6 % or more
+        for r in got:
+            draws = [d.split(":") for d in r.draws.split(",") if d]
+            assert [int(d[0]) for d in draws] == list(range(1, r.copies + 1)) and all(0 <= int(d[1]) < mixing.SHARDS for d in draws)
