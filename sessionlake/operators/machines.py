@@ -240,13 +240,11 @@ COIN_HANDLING = {
 
 
 def digit_misread(candidate: int, confirmed: int) -> bool:
-    """Whether a higher candidate is the confirmed number with one digit put before or behind it, or with another first digit."""
-    scale = 10 ** len(str(confirmed))
-    if candidate >= 10 * scale:
-        return False
-    if candidate >= scale:
-        return candidate // 10 == confirmed or candidate % scale == confirmed
-    return scale > 10 and (candidate - confirmed) % (scale // 10) == 0
+    """Whether a higher candidate reads as the confirmed number with one digit put before or behind it, or with another first character."""
+    read, known = str(candidate), str(confirmed)
+    if len(read) == len(known) + 1:
+        return read.startswith(known) or read.endswith(known)
+    return len(read) == len(known) > 1 and read[0] != known[0] and read[1:] == known[1:]
 
 
 def coin_kind(value: int | None, sample: tuple) -> str:
