@@ -259,9 +259,12 @@ def inventory_build(selections: DataFrame, order: TimeOrder, opening: DataFrame
         d = d.withColumn("confirmed", F.coalesce(F.col("has") & (F.size(own) == 1) & there, F.lit(False)) & ~F.col("joins"))
         moves = F.col("fired") | F.col("confirmed") | ((F.col("cursor_score") >= 20) & F.col("has"))
         d = d.withColumns({"moves": moves, "sure": F.col("fired") | F.col("confirmed"), "on_type": F.coalesce("to_type", "item_type"), "on_item": F.coalesce("to_item", "item")})
-        steps = d.select(*keys, time, tie, F.col("on_type").alias("item_type"), F.col("on_item").alias("item"), "max_level", "moves", "sure", "fired")
+        steps = d.select(*keys, time, tie, F.col("on_type").alias("item_type"), F.col("on_item").alias("item"), "moves", "sure", F.lit(False).alias("asks"))
+        # whether a replaced choice was at its maximum depends on its own item, not on the one that replaced it
+        replaced = d.filter(F.col("fired") & ((F.col("to_type") != F.col("item_type")) | (F.col("to_item") != F.col("item"))))
+        steps = steps.unionByName(replaced.select(*keys, time, tie, "item_type", "item", F.lit(False).alias("moves"), F.lit(False).alias("sure"), F.lit(True).alias("asks")))
         limits = selections.groupBy(F.col("item").alias("item")).agg(F.max("max_level").alias("_limit"))
-        steps = steps.drop("max_level").join(limits, "item", "left")
+        steps = steps.join(limits, "item", "left")
         # below the limit every step counts, above it only sure ones do
         one = F.lit(1).cast("long")
         s = per_item.running(per_item.tag(steps), _all=running_sum(F.when(F.col("moves"), one).otherwise(0)), _sure=running_sum(F.when(F.col("sure"), one).otherwise(0)))
@@ -269,9 +272,9 @@ def inventory_build(selections: DataFrame, order: TimeOrder, opening: DataFrame
         s = per_item.untag(s)
         earlier, sures = 1 + F.col("_all") - F.col("moves").cast("long"), F.col("_sure") - F.col("sure").cast("long")
         level = F.when(F.col("_limit").isNull() | (earlier <= F.col("_limit")), earlier).otherwise(F.greatest(F.col("_limit"), one) + sures - F.coalesce("_at", F.lit(0)))
-        levels = s.select(*keys, tie, level.alias("level"))
+        levels = s.withColumn("_level", level).groupBy(*keys, tie).agg(F.max(F.when(~F.col("asks"), F.col("_level"))).alias("level"), F.max(F.when(F.col("asks"), F.col("_level"))).alias("_own"))
         d = d.join(levels, [*keys, tie])
-        at_max = F.coalesce(F.col("has") & (F.col("level") >= F.col("max_level")) & ~F.col("fired"), F.lit(False))
+        at_max = F.coalesce(F.col("has") & (F.coalesce("_own", "level") >= F.col("max_level")), F.lit(False))
         d = cut_lineage(d.withColumn("reason", F.when(F.col("cursor_score") < 20, "selection_pointer_unconfirmed").when(at_max, "item_already_at_normal_max")
                                      .when(~F.col("has") & F.col("full") & F.col("needs_review"), "low_confidence_beyond_standard_slots")))
         plain = F.coalesce(~F.col("reason").isin("item_already_at_normal_max", "low_confidence_beyond_standard_slots"), F.lit(True))

@@ -31,3 +31,9 @@ def test_digits_of_a_negative_counter():
 @needs_tables
 def test_coins_below_zero(spark, tmp_path):
     same_for(spark, "coin_machine", [135], str(tmp_path))
+
+
+@needs_tables
+def test_replaced_choice_at_its_maximum(spark, tmp_path):
+    """A choice is first replaced, then found to be at its maximum by a replacement before it."""
+    same_for(spark, "inventory_build", [679, 391, 189], str(tmp_path))
