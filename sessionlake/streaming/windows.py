@@ -35,8 +35,8 @@ def trailing_mean(stream: DataFrame, value: str, *, watermark: str = "30 seconds
 
 
 def gap_sessions(stream: DataFrame, gap: str, keys: Sequence[str], *, watermark: str = "30 seconds") -> DataFrame:
-    """Runs of events that follow each other within the gap."""
-    w = F.session_window("event_time", gap)
+    """Runs of events that follow each other in less than the gap; Spark's session window also joins events a whole gap apart."""
+    w = F.session_window("event_time", f"{gap} -1 microseconds")
     d = stream.withWatermark("event_time", watermark).groupBy(*keys, w.alias("w")).agg(
         F.count(F.lit(1)).alias("events"), F.min("t_ms").alias("start_ms"), F.max("t_ms").alias("last_ms"))
     return d.drop("w")

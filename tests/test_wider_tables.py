@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sessionlake.operators.machines import digit_misread
+from sessionlake.streaming.windows import gap_sessions, with_event_time
 from tests.compare import difference
 
 FOLDER = "/root/testdata/sf0.1"
@@ -37,3 +38,9 @@ def test_coins_below_zero(spark, tmp_path):
 def test_replaced_choice_at_its_maximum(spark, tmp_path):
     """A choice is first replaced, then found to be at its maximum by a replacement before it."""
     same_for(spark, "inventory_build", [679, 391, 189], str(tmp_path))
+
+
+def test_events_a_whole_gap_apart_are_two_sessions(spark):
+    df = with_event_time(spark.createDataFrame([(1, 0), (1, 9_999), (1, 19_999), (1, 29_998)], "session_id long, t_ms long"))
+    got = gap_sessions(df, "10 seconds", ["session_id"]).collect()
+    assert sorted((r.start_ms, r.last_ms, r.events) for r in got) == [(0, 9_999, 2), (19_999, 29_998, 2)]
