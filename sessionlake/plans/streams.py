@@ -70,7 +70,8 @@ def replayed(spark, rows):
 def stream_coin_machine(spark, folder):
     """The coin counter in event time; equal to the batch machine."""
     replay, stream = replayed(spark, coin_samples(spark, folder))
-    return drained(machines.run_machine(stream, machines.COIN, ["session_id"], ["event_id"], watermark=replay.watermark), replay)
+    with machines.state_store(spark):
+        return drained(machines.run_machine(stream, machines.COIN, ["session_id"], ["event_id"], watermark=replay.watermark), replay)
 
 
 @query("stream_tracks")
@@ -81,8 +82,9 @@ def stream_tracks(spark, folder):
         stops.select("session_id", "t_ms", F.lit(True).alias("stop")), allowMissingColumns=True)
     replay, stream = replayed(spark, both)
     codes = [row[0] for row in found.select("code").distinct().limit(1_000).collect()]
-    tracks = machines.track_stream(stream.filter("NOT stop"), stream.filter("stop OR session_id < 0"), codes, reach=300.0, watermark=replay.watermark)
-    return drained(tracks, replay).select("session_id", "code", "det_id", "track_id", "t_ms")
+    with machines.state_store(spark):
+        tracks = machines.track_stream(stream.filter("NOT stop"), stream.filter("stop OR session_id < 0"), codes, reach=300.0, watermark=replay.watermark)
+        return drained(tracks, replay).select("session_id", "code", "det_id", "track_id", "t_ms")
 
 
 @query("stream_bins", f"""
@@ -132,7 +134,8 @@ def stream_late_rows(spark, folder):
     listener = machines.LateRows()
     spark.streams.addListener(listener)
     try:
-        drained(machines.run_machine(machines.LateRows.watch(replay.stream()), machines.COIN, ["session_id"], ["event_id"], watermark=replay.watermark), replay, name)
+        with machines.state_store(spark):
+            drained(machines.run_machine(machines.LateRows.watch(replay.stream()), machines.COIN, ["session_id"], ["event_id"], watermark=replay.watermark), replay, name)
         for _ in range(100):  # events reach a listener shortly after the stream has ended
             if listener.ended:
                 break

@@ -13,10 +13,11 @@ import json
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
@@ -122,11 +123,25 @@ class SessionMachine(StatefulProcessor):
             yield Row(**dict(zip(self.names, (*key, *row, None))))
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that machines need, for streams built and started inside; later ones have the session's own again."""
+    before = spark.conf.get(STATE_STORE_CONF, None)
+    spark.conf.set(STATE_STORE_CONF, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE_CONF)
+        else:
+            spark.conf.set(STATE_STORE_CONF, before)
+
+
 def run_machine(stream: DataFrame, machine: Machine, keys: Sequence[str], order: Sequence[str], *, time: str = "t_ms", watermark: str = "10 seconds", idle_ms: int = IDLE_MS) -> DataFrame:
     """The machine's rows for every key of the stream, equal to those of the batch fold.
 
     ``time`` is in session milliseconds, ``order`` sorts rows of one time. A key that is silent for ``idle_ms`` has ended: a row that comes later starts
-    it anew. Needs the RocksDB state store, which `build_session` names."""
+    it anew. Needs the RocksDB state store, which `build_session` and `state_store` name."""
     spark = stream.sparkSession
     if spark.conf.get(STATE_STORE_CONF, None) != ROCKSDB:
         raise ValueError(f"set {STATE_STORE_CONF} to {ROCKSDB}")

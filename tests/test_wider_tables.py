@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sessionlake.operators.machines import digit_misread
+from sessionlake.streaming.machines import STATE_STORE_CONF
 from sessionlake.streaming.windows import gap_sessions, with_event_time
 from tests.compare import difference
 
 FOLDER = "/root/testdata/sf0.1"
+OTHER_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
 
@@ -44,3 +46,20 @@ def test_events_a_whole_gap_apart_are_two_sessions(spark):
     df = with_event_time(spark.createDataFrame([(1, 0), (1, 9_999), (1, 19_999), (1, 29_998)], "session_id long, t_ms long"))
     got = gap_sessions(df, "10 seconds", ["session_id"]).collect()
     assert sorted((r.start_ms, r.last_ms, r.events) for r in got) == [(0, 9_999, 2), (19_999, 29_998, 2)]
+
+
+@pytest.mark.parametrize("name", ["stream_coin_machine", "stream_late_rows", "stream_tracks"])
+def test_machines_in_a_session_with_another_state_store(spark, name):
+    """A session that names no store has Spark's default one, which machines cannot use."""
+    folder, before = "/root/testdata/sf0.001", spark.conf.get(STATE_STORE_CONF)
+    if not os.path.isdir(folder):
+        pytest.skip("tables not present")
+    spark.conf.set(STATE_STORE_CONF, OTHER_STORE)
+    try:
+        if name in entry.oracle_sql():
+            assert difference(spark, entry.queries()[name], entry.oracle_sql()[name], folder) is None
+        else:
+            assert entry.queries()[name](spark, folder).count() > 0
+        assert spark.conf.get(STATE_STORE_CONF) == OTHER_STORE
+    finally:
+        spark.conf.set(STATE_STORE_CONF, before)
