@@ -22,47 +22,47 @@ def scaled_by(reference: DataFrame, columns: Sequence[str]) -> dict[str, Column]
 def nearest_points(places: DataFrame, points: DataFrame, fields: Sequence[str], weight: str, k: int, *, levels: int | None = None) -> DataFrame:
     """fields and `z`, the ``k`` nearest rows of ``points`` by distance, then by place (array of `d`, `at_<field>`, and what else a point has), for every distinct place.
 
-    Grids of halving cell width lie over the points. A place starts at the finest level whose own cell holds ``k`` rows and meets the points of the cells
-    around it; if its k-th row lies beyond the nearest border with unseen points, it goes on one level coarser, so the result is exact and only such places
-    go on. ``weight`` counts the rows of a point. At level 0 one cell holds all points.
+    Grids of halving cell width lie over the points; every cell knows its rows and the box of its points. The cells around a place, taken by the farthest
+    corner of their box until they hold ``k`` rows, bound the distance of its k-th row, at each level; the place takes the least bound and meets the points
+    of all cells within it, at the level whose width fits it. So the result is exact, and no place is asked twice. ``weight`` counts the rows of a point.
     """
     fields = list(fields)
     count, *box = points.agg(F.count(F.lit(1)), *[f(c) for c in fields for f in (F.min, F.max)]).first()
     low, high = box[0::2], box[1::2]
     extent = max(*(hi - lo for lo, hi in zip(low, high)), 1e-9) * 1.000001
-    levels = levels if levels is not None else min(24, max(0, math.ceil(math.log2(max(1.0, count / k)) / len(fields)) + 1))
+    levels = levels if levels is not None else min(24, max(0, math.ceil(math.log2(max(1.0, count / k)) / len(fields)) + 2))
     width, last = F.lit(extent) / F.pow(F.lit(2.0), F.col("level")), F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
     cells = [f"_c{i}" for i in range(len(fields))]
-    tile = lambda df: df.withColumns({name: F.greatest(F.lit(0).cast("long"), F.least(last, F.floor((F.col(c) - F.lit(lo)) / width).cast("long"))) for name, c, lo in zip(cells, fields, low)})
+    index = lambda at, lo: F.greatest(F.lit(0).cast("long"), F.least(last, F.floor((at - F.lit(lo)) / width).cast("long")))
+    tile = lambda df: df.withColumns({name: index(F.col(c), lo) for name, c, lo in zip(cells, fields, low)})
     ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     tiled = cut_lineage(tile(points.select("*", ladder)))
-    dense = tiled.groupBy("level", *cells).agg(F.sum(weight).alias("_k")).filter(F.col("_k") >= k).select("level", *cells)
-    asked = places.select(*fields).distinct()
-    start = tile(asked.select("*", ladder)).join(dense, ["level", *cells]).groupBy(*fields).agg(F.max("level").alias("level"))
-    active = cut_lineage(asked.join(start, fields, "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    edges = [f(c).alias(f"_{side}{i}") for i, c in enumerate(fields) for f, side in ((F.min, "lo"), (F.max, "hi"))]
+    boxes = cut_lineage(tiled.groupBy("level", *cells).agg(F.sum(weight).alias("_rows"), *edges))
+    length = lambda sides: F.sqrt(sum((x * x for x in sides[1:]), sides[0] * sides[0]))
+    parts = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # places are few bytes but much work, so their number of tasks is given
+    asked = places.select(*fields).distinct().repartition(parts, *fields)
+    around = tile(asked.select("*", ladder))
+    for i in cells:
+        around = around.withColumn(i, F.explode(F.array(F.col(i) - 1, F.col(i), F.col(i) + 1)))
+    corner = length([F.greatest(F.abs(F.col(c) - F.col(f"_lo{i}")), F.abs(F.col(c) - F.col(f"_hi{i}"))) for i, c in enumerate(fields)])
+    upto = Window.partitionBy(*fields, "level").orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = around.join(boxes, ["level", *cells]).withColumn("_far", corner).withColumn("_sum", F.sum("_rows").over(upto))
+    bounds = bounds.groupBy(*fields).agg((F.min(F.when(F.col("_sum") >= k, F.col("_far"))) * 1.000001).alias("reach"))  # null where all points together have fewer rows
+    fit = F.floor(F.log2(F.lit(2 * extent) / F.greatest(F.col("reach"), F.lit(extent / 2.0 ** levels)))).cast("int")
+    own = cut_lineage(bounds.withColumn("level", F.when(F.col("reach").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(levels), fit)))))
+    for i, c, lo in zip(cells, fields, low):
+        ends = [F.when(F.col("level") == 0, 0).otherwise(index(F.col(c) + side * F.col("reach"), lo)).cast("long") for side in (-1, 1)]
+        own = own.withColumn(i, F.explode(F.sequence(*ends)))
+    border = length([F.greatest(F.lit(0.0), F.col(f"_lo{i}") - F.col(c), F.col(c) - F.col(f"_hi{i}")) for i, c in enumerate(fields)])
+    within = lambda d: F.coalesce(d <= F.col("reach"), F.lit(True))
     met = tiled.withColumnsRenamed({c: f"at_{c}" for c in fields})
     item = F.struct("d", *[c for c in met.columns if c not in ("level", *cells)])
-    squares = [(F.col(c) - F.col(f"at_{c}")) * (F.col(c) - F.col(f"at_{c}")) for c in fields]
+    kept = own.join(boxes, ["level", *cells]).filter(within(border)).select(*fields, "reach", "level", *cells)
+    near = kept.join(met, ["level", *cells]).withColumn("d", length([F.col(c) - F.col(f"at_{c}") for c in fields])).filter(within(F.col("d")))
     nearest_first = Window.partitionBy(*fields).orderBy("d", *[f"at_{c}" for c in fields])
-    done = None
-    while True:
-        own = tile(active)
-        # points that a place has not met lie behind a border of the cells around it, where there are more cells behind
-        borders = [F.when(F.col(i) - side > 0, F.col(c) - (F.lit(lo) + (F.col(i) - side) * width)) if side > 0 else F.when(F.col(i) - 2 * side - 1 < last, F.lit(lo) + (F.col(i) + 2) * width - F.col(c))
-                   for i, c, lo in zip(cells, fields, low) for side in (1, -1)]
-        own = own.withColumn("safe", F.coalesce(F.least(*borders), F.lit(math.inf)) * 0.999999)
-        for i in cells:
-            own = own.withColumn(i, F.explode(F.array(F.col(i) - 1, F.col(i), F.col(i) + 1)))
-        near = own.join(met, ["level", *cells]).withColumn("d", F.sqrt(sum(squares[1:], squares[0])))
-        best = near.withColumn("_no", F.row_number().over(nearest_first)).filter(F.col("_no") <= k)
-        listed = best.groupBy(*fields, "level", "safe").agg(F.array_sort(F.collect_list(item)).alias("z"))
-        within = F.aggregate(F.filter("z", lambda p: p["d"] <= F.col("safe")), F.lit(0).cast("long"), lambda total, p: total + p[weight])
-        judged = cut_lineage(listed.withColumn("_ok", (F.col("level") == 0) | (within >= k)))
-        ready = judged.filter("_ok").select(*fields, "z")
-        done = ready if done is None else done.unionByName(ready)
-        active = cut_lineage(active.join(ready.select(*fields), fields, "left_anti").filter("level > 0").withColumn("level", F.col("level") - 1))
-        if active.isEmpty():
-            return done
+    best = near.withColumn("_no", F.row_number().over(nearest_first)).filter(F.col("_no") <= k)
+    return best.groupBy(*fields).agg(F.array_sort(F.collect_list(item)).alias("z"))
 
 
 def nearest_votes(queries: DataFrame, reference: DataFrame, columns: Sequence[str], label: str, labels: Sequence[str], *, ident: str = "event_id", k: int = 31) -> DataFrame:

@@ -58,3 +58,13 @@ def test_forest_probabilities_of_unknown_labels(spark):
     model = classify.fit_forest(rows, ["a", "b"], "label", trees=5)
     out = classify.forest_probabilities(model, rows, "event_id", ["blue", "green", "red"]).collect()
     assert len(out) == 60 and all(r.p_red == 0.0 and abs(r.p_blue + r.p_green - 1) < 1e-9 for r in out)
+
+
+def test_every_place_is_asked_once(spark, monkeypatch):
+    """Places in sparse stretches do not go up the levels one job after the other."""
+    cuts, plain = [], classify.cut_lineage
+    monkeypatch.setattr(classify, "cut_lineage", lambda df: cuts.append(1) or plain(df))
+    points = spark.createDataFrame([(float(i % 40) ** 3, float(i // 40), 1) for i in range(400)], "a double, b double, rows long")
+    found = classify.nearest_points(points, points, ["a", "b"], "rows", 9, levels=8).collect()
+    assert len(found) == 400 and all(len(r.z) == 9 and r.z[0].d == 0 for r in found)
+    assert len(cuts) == 3
