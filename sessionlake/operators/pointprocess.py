@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.operators.binning import group_quantiles
@@ -102,20 +102,48 @@ def poisson_fit(events: DataFrame, keys: Sequence[str], exposure_s: Column) -> D
     return d.withColumns({"aic": 2 - 2 * F.col("loglik"), "bic": F.log("n") - 2 * F.col("loglik")})
 
 
+def _tiled(points: DataFrame, beta: str, time_ms: str, weights: dict[str, Column]) -> DataFrame:
+    """Points with their tile, their weights as seen from its start, and what is left of a weight since then."""
+    b = F.col(beta)
+    width = TILE_DECAY * 1000.0 / b
+    d = points.withColumn("_tile", F.floor(F.col(time_ms) / width).cast("long"))
+    age = (F.col(time_ms) - F.col("_tile") * width) / 1000.0
+    return d.withColumns({**{f"_w_{name}": weight * F.exp(b * age) for name, weight in weights.items()}, "_fade": F.exp(-b * age)})
+
+
+def _history_in_place(d: DataFrame, series: Sequence[str], time_ms: str, tie: str, weights: dict[str, Column]) -> DataFrame:
+    """The history where no series is too large for a window: what the two tiles before left stands on earlier rows, so rows are shuffled at most once."""
+    inside = Window.partitionBy(*series, "_tile").orderBy(time_ms, tie).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*series).orderBy("_tile", time_ms, tie)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({f"_r_{name}": F.coalesce(F.sum(f"_w_{name}").over(inside), F.lit(0.0)) for name in weights})
+    left = F.struct(F.col("_tile").alias("tile"), *[((F.col(f"_r_{name}") + F.col(f"_w_{name}")) * math.exp(-TILE_DECAY)).alias(name) for name in weights])
+    d = d.withColumn("_left", F.lag(left).over(along))
+    opens = F.col("_left").isNotNull() & (F.col("_left.tile") != F.col("_tile"))
+    d = d.withColumn("_one", F.last(F.when(opens, F.col("_left")), ignorenulls=True).over(so_far))  # the tile before with points, null in the first
+    d = d.withColumn("_lag", F.lag("_one").over(along))
+    d = d.withColumn("_two", F.last(F.when(opens, F.struct(F.col("_lag").alias("before"))), ignorenulls=True).over(so_far))
+    at = lambda tile, name, back: F.when(F.col(f"{tile}.tile") == F.col("_tile") - back, F.col(f"{tile}.{name}")).otherwise(0.0)
+    far = math.exp(-TILE_DECAY)
+    out = {name: F.col("_fade") * (F.col(f"_r_{name}") + at("_one", name, 1) + far * (at("_one", name, 2) + at("_two.before", name, 2))) for name in weights}
+    return d.withColumns(out).drop("_tile", "_fade", "_left", "_one", "_lag", "_two", *[f"_{p}_{name}" for p in "wr" for name in weights])
+
+
 def decayed_history(points: DataFrame, keys: Sequence[str], beta: str, *, time_ms: str = "t_ms", tie: str = "event_id",
-                    weights: dict[str, Column] | None = None) -> DataFrame:
+                    weights: dict[str, Column] | None = None, small: bool | None = None) -> DataFrame:
     """For each point and weight the sum of ``w * exp(-beta * age)`` over the earlier points of its keys.
 
     ``beta`` names a column; it is part of the series.  ``weights`` maps output names to weights (default: one).
+    ``small`` says whether every series is known to fit a window (default: they are counted); points that lie by ``keys`` are then not shuffled again.
     """
     weights = weights or {"history": F.lit(1.0)}
     series = [*keys, beta]
-    b = F.col(beta)
-    width = TILE_DECAY * 1000.0 / b
-    d = points.withColumn("_tile", F.floor(F.col(time_ms) / width).cast("long"))
-    age = (F.col(time_ms) - F.col("_tile") * width) / 1000.0
-    d = d.withColumns({f"_w_{name}": weight * F.exp(b * age) for name, weight in weights.items()})
-    d = d.withColumn("_fade", F.exp(-b * age))
+    if small is None:
+        small = not time_order(points, series, (time_ms, tie)).split
+        points = points.repartition(*keys) if small else points
+    d = _tiled(points, beta, time_ms, weights)
+    if small:
+        return _history_in_place(d, series, time_ms, tie, weights)
     order = time_order(d, [*series, "_tile"], (time_ms, tie))
     d = order.untag(order.running(order.tag(d), **{f"_r_{name}": running_sum(F.col(f"_w_{name}"), exclusive=True) for name in weights}))
     # what a tile leaves at its end reaches the next tile in full and the one after faded by a whole tile
@@ -223,6 +251,8 @@ def fit_hawkes(events: DataFrame, series: str, session: str, *, end_ms: int, bet
     exposure = sessions * end_ms / 1000.0
     kind = events.schema[series].dataType.simpleString()
     grid = events.select(session, series, "t_ms", "event_id")
+    small = not time_order(grid, (session, series)).split  # counted once for all decays
+    lie = (lambda rows: rows.repartition(session, series)) if small else (lambda rows: rows)  # shuffled before decays multiply the rows
     best: dict[str, tuple] = {}
     tried: dict[str, set[float]] = {}
     spacing: dict[str, float] = {}
@@ -231,11 +261,11 @@ def fit_hawkes(events: DataFrame, series: str, session: str, *, end_ms: int, bet
     first_spacing = max((math.log(b / a) for a, b in zip(sorted(betas), sorted(betas)[1:])), default=math.log(3.0))
     for attempt in range(refinements + 1):
         if wanted is None:
-            points = with_decay_rates(grid, betas)
+            points = with_decay_rates(lie(grid), betas)
         else:
             near = literal_rows(spark, [(name, b) for name, some in wanted.items() for b in some], f"{series} {kind}, beta double")
-            points = grid.join(F.broadcast(near), series)
-        h = cut_lineage(decayed_history(points, [session, series], "beta").select(
+            points = lie(grid.filter(F.col(series).isin(*wanted))).join(F.broadcast(near), series)
+        h = cut_lineage(decayed_history(points, [session, series], "beta", small=small or None).select(
             series, "beta", (F.col("beta") * F.col("history")).alias("r"), (1 - F.exp(-F.col("beta") * (end_ms - F.col("t_ms")) / 1000.0)).alias("m")))
         sizes = {(row[series], row["beta"]): row["n"] for row in h.groupBy(series, "beta").agg(F.count(F.lit(1)).alias("n")).collect() if row[series] is not None}
         start = {key: (best[key[0]][0], min(max(best[key[0]][1], 0.01), 0.9)) if key[0] in best else (0.5 * n / exposure, 0.3) for key, n in sizes.items()}

@@ -79,3 +79,16 @@ def test_decay_is_found_between_and_beyond_the_grid(spark):
     far = ops.fit_hawkes(df, "event_type", "session_id", end_ms=end, betas=(4.0, 6.0)).first()
     assert near["converged"] and far["converged"] and far["beta"] > 6.0
     assert abs(near["loglik"] - far["loglik"]) < 0.01
+
+
+def test_history_shuffles_rows_once(spark):
+    """Series that fit a window need neither a count of tiles nor joins of what tiles leave; the result is that of cut series."""
+    rng = random.Random(4)
+    rows = [(s, t, i) for s in (1, 2) for i, t in enumerate(sorted(rng.choice([rng.randrange(2_000), rng.randrange(400_000)]) for _ in range(150)))]
+    df = ops.with_decay_rates(spark.createDataFrame(rows, "session_id long, t_ms long, event_id long").repartition("session_id"), [0.3, 2.0, 20.0])
+    out = ops.decayed_history(df, ["session_id"], "beta", small=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    for r in out.collect():
+        direct = sum(math.exp(-r.beta * (r.t_ms - t) / 1000) for s, t, i in rows if s == r.session_id and (t, i) < (r.t_ms, r.event_id))
+        assert abs(r.history - direct) < 1e-9
