@@ -132,7 +132,9 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
 def fit_forest(rows: DataFrame, features: Sequence[str], label: str, *, trees: int = 500, depth: int = 9, seed: int = 20260802):
     from pyspark.ml import Pipeline
 
-    return Pipeline(stages=_stages(features, label, trees, depth, seed)).fit(balanced(rows, label))
+    # training reads its rows many times and costs far more than they weigh: they are written once, spread over all cores (more parts would each send the statistics of all nodes)
+    spread = cut_lineage(rows.select(*features, label).repartition(rows.sparkSession.sparkContext.defaultParallelism))
+    return Pipeline(stages=_stages(features, label, trees, depth, seed)).fit(balanced(spread, label))
 
 
 def forest_predictions(model, rows: DataFrame, ident: str) -> DataFrame:

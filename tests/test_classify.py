@@ -68,3 +68,14 @@ def test_every_place_is_asked_once(spark, monkeypatch):
     found = classify.nearest_points(points, points, ["a", "b"], "rows", 9, levels=8).collect()
     assert len(found) == 400 and all(len(r.z) == 9 and r.z[0].d == 0 for r in found)
     assert len(cuts) == 3
+
+
+def test_forest_trains_on_all_cores(spark, monkeypatch):
+    """A small file is one task, but its forest is not."""
+    from pyspark.ml import Pipeline
+
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), "blue" if i % 2 else "green") for i in range(200)], "event_id long, a double, b double, label string").coalesce(1)
+    seen, plain = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or plain(self, df))
+    classify.fit_forest(rows, ["a", "b"], "label", trees=3)
+    assert seen == [(spark.sparkContext.defaultParallelism, 200)]
