@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.scalars import deterministic_id, frame_ms, half_even_ms, optional_int, truth
@@ -378,8 +379,10 @@ SELECT DISTINCT l_orderkey, slot, slot <= top AS occupied FROM a JOIN m USING (l
 def slot_occupancy(spark, folder):
     """Slots fill from the left: every slot up to the last active one counts."""
     rows = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("slot"), ((F.col("l_discount") >= 0.08) | (F.col("l_tax") >= 0.07) | (F.col("l_quantity") >= 45)).alias("active"))
-    top = rows.groupBy("l_orderkey").agg(F.max(F.when(F.col("active"), F.col("slot")).otherwise(0)).alias("top"))
-    return rows.join(top, "l_orderkey").select("l_orderkey", "slot", (F.col("slot") <= F.col("top")).alias("occupied")).distinct()
+    # one row per slot before anything is sorted; the last active one stands on its order's rows instead of in a second table
+    slots = rows.filter("l_orderkey IS NOT NULL").groupBy("l_orderkey", "slot").agg(F.max(F.when(F.col("active"), F.col("slot")).otherwise(0)).alias("top"))
+    top = F.max("top").over(Window.partitionBy("l_orderkey"))
+    return slots.select("l_orderkey", "slot", (F.col("slot") <= top).alias("occupied"))
 
 
 @query("entry_rows", f"""

@@ -63,3 +63,12 @@ def test_machines_in_a_session_with_another_state_store(spark, name):
         assert spark.conf.get(STATE_STORE_CONF) == OTHER_STORE
     finally:
         spark.conf.set(STATE_STORE_CONF, before)
+
+
+def test_slots_of_an_order_without_a_join(spark, tmp_path):
+    """Memory of a task holds one row per slot, not the rows beside their orders' last slots."""
+    rows = [(1, 1, 0.0, 0.0, 1.0), (1, 2, 0.09, 0.0, 1.0), (1, 2, 0.0, 0.0, 1.0), (1, 3, 0.0, 0.0, 1.0), (2, 1, 0.0, 0.0, 1.0), (2, None, 0.0, 0.0, 50.0), (None, 1, 0.09, 0.0, 1.0), (3, 4, None, None, 45.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = entry.queries()["slot_occupancy"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 1, True), (1, 2, True), (1, 3, False), (2, 1, False), (2, None, None), (3, 4, True)], key=repr)
