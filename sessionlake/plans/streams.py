@@ -81,9 +81,8 @@ def stream_tracks(spark, folder):
     both = found.select("session_id", "code", "t_ms", "det_id", "x", "y", "score", F.lit(False).alias("stop")).unionByName(
         stops.select("session_id", "t_ms", F.lit(True).alias("stop")), allowMissingColumns=True)
     replay, stream = replayed(spark, both)
-    codes = [row[0] for row in found.select("code").distinct().limit(1_000).collect()]
     with machines.state_store(spark):
-        tracks = machines.track_stream(stream.filter("NOT stop"), stream.filter("stop OR session_id < 0"), codes, reach=300.0, watermark=replay.watermark)
+        tracks = machines.track_stream(stream.filter("NOT stop"), stream.filter("stop OR session_id < 0"), reach=300.0, watermark=replay.watermark)
         return drained(tracks, replay).select("session_id", "code", "det_id", "track_id", "t_ms")
 
 

@@ -178,36 +178,47 @@ def candidate_stream(stream: DataFrame, *, second: str, value: str, confidence:
 
 
 def track_machine(reach: float = 100.0, gap_ms: int = 1_250) -> Machine:
-    """Detections and interruptions (`stop`) of one session and code, to tracks. State: the time of the last stop, and the open tracks."""
+    """Detections and interruptions (`stop`) of one session and any codes, to tracks. State: the time of the last stop, and the open tracks by code."""
 
     def step(state, row):
-        stop, ident, t, x, y, score = row
-        last, open_tracks = state or (None, [])
+        stop, code, ident, t, x, y, score = row
+        last, open_tracks = state or (None, {})
         if stop:
-            return [t, []], []
+            return [t, {}], []
         if last == t:
             return [last, open_tracks], []
-        open_tracks, out = detections.nearest_track(open_tracks, (ident, t, x, y, score), reach, gap_ms)
-        return [last, open_tracks], out
+        name = json.dumps(code)  # no code is a name, too
+        open_tracks[name], out = detections.nearest_track(open_tracks.get(name, []), (ident, t, x, y, score), reach, gap_ms)
+        return [last, open_tracks], [(code, *made) for made in out]
 
     def deadline(state):
-        return min(k[3] for k in state[1]) + gap_ms + 1 if state and state[1] else None
+        times = [k[3] for mine in state[1].values() for k in mine] if state else []
+        return min(times) + gap_ms + 1 if times else None
 
     def forget(state, now):
-        return [state[0], [k for k in state[1] if now - k[3] <= gap_ms]], []
+        kept = {name: [k for k in mine if now - k[3] <= gap_ms] for name, mine in state[1].items()}
+        return [state[0], {name: mine for name, mine in kept.items() if mine}], []
 
-    return Machine(step, ("stop", "det_id", "t_ms", "x", "y", "score"), detections.TRACK_FIELDS, deadline=deadline, forget=forget)
+    return Machine(step, ("stop", "code", "det_id", "t_ms", "x", "y", "score"), f"code string, {detections.TRACK_FIELDS}", deadline=deadline, forget=forget)
 
 
-def track_stream(found: DataFrame, stops: DataFrame, codes: Sequence[Any], *, key: str = "session_id", reach: float = 100.0, gap_ms: int = 1_250, **options: Any) -> DataFrame:
-    """Tracks over a stream of detections (`key`, code, det_id, t_ms, x, y, score) and one of interruptions (`key`, t_ms), which end the tracks of all ``codes``.
+def track_stream(found: DataFrame, stops: DataFrame, codes: Sequence[Any] | None = None, *, key: str = "session_id", reach: float = 100.0, gap_ms: int = 1_250, slots: int = 16, **options: Any) -> DataFrame:
+    """Tracks over a stream of detections (`key`, code, det_id, t_ms, x, y, score) and one of interruptions (`key`, t_ms), which end the tracks of all codes,
+    or of those in ``codes`` only.
 
-    Keyed by session and code; a track that nothing may join any more leaves the state by its timer."""
+    Keyed by session and slot: a code belongs to one of ``slots`` by its hash, and an interruption goes to all of them, so that it meets any number of codes
+    without a list of them, before the detections of its time. A track that nothing may join any more leaves the state by its timer."""
+    code, kind = F.col("code"), found.schema["code"].dataType
+    slot = F.pmod(F.xxhash64(code), F.lit(slots)).cast("int")
+    if codes is not None:  # the other codes have slots below zero, where no interruption goes
+        listed = F.when(code.isNull(), F.lit(None in codes)).otherwise(code.isin([c for c in codes if c is not None]))
+        slot = F.when(listed, slot).otherwise(-1 - slot)
     rank = (-F.round(F.col("score") * 1e9)).cast("long")
-    d = found.select(key, "code", "t_ms", "det_id", "x", "y", "score", F.lit(False).alias("stop"), rank.alias("rank"))
-    every = F.explode(F.array(*(F.lit(code).cast(found.schema["code"].dataType) for code in codes))).alias("code")
-    ends = stops.select(key, every, "t_ms", F.lit(0).cast(found.schema["det_id"].dataType).alias("det_id"), *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "score")), F.lit(True).alias("stop"), F.lit(None).cast("long").alias("rank"))
-    return run_machine(d.unionByName(ends), track_machine(reach, gap_ms), [key, "code"], ["rank", "det_id"], **options)
+    d = found.select(key, slot.alias("slot"), code.cast("string").alias("code"), "t_ms", "det_id", "x", "y", "score", F.lit(False).alias("stop"), rank.alias("rank"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")
+    ends = stops.select(key, every, F.lit(None).cast("string").alias("code"), "t_ms", F.lit(None).cast(found.schema["det_id"].dataType).alias("det_id"), *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "score")), F.lit(True).alias("stop"), F.lit(None).cast("long").alias("rank"))
+    out = run_machine(d.unionByName(ends), track_machine(reach, gap_ms), [key, "slot"], ["rank", "det_id"], **options)
+    return out.select(key, code.cast(kind).alias("code"), *(c for c in out.columns if c not in (key, "slot", "code")))
 
 
 class LateRows(StreamingQueryListener):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sessionlake.operators.machines import digit_misread
-from sessionlake.streaming.machines import STATE_STORE_CONF
+from sessionlake.streaming.machines import STATE_STORE_CONF, track_stream
 from sessionlake.streaming.windows import gap_sessions, with_event_time
 from tests.compare import difference
+from tests.test_streaming import feed, run
 
 FOLDER = "/root/testdata/sf0.1"
 OTHER_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
@@ -72,3 +73,28 @@ def test_slots_of_an_order_without_a_join(spark, tmp_path):
     out = entry.queries()["slot_occupancy"](spark, str(tmp_path))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 1, True), (1, 2, True), (1, 3, False), (2, 1, False), (2, None, None), (3, 4, True)], key=repr)
+
+
+def test_interruptions_end_tracks_of_any_number_of_codes(spark, tmp_path):
+    """1,126 codes, none among them, each seen in the frame before an interruption and in the one after; detection 0 has no place and meets an interruption."""
+    near = [0.1, 0.1, 0.5]
+    rows = [(0, 0, None), (1, 0, near), (2, 0, near)]
+    for k in range(1, 126):
+        rows += [(110 * k + shift + i, 9 * k + i, near) for shift in (-10, 11) for i in range(9)] + [(110 * k + i, 9 * k, near) for i in range(3)]
+    rows += [(110 * k + i, None, near) for k, i in ((130, -10), (130, 0), (130, 1), (130, 2), (130, 11))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = entry.queries()["stream_tracks"](spark, str(tmp_path))
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert len(got) == 2 * 9 * 125 + 2 and all(row[2] == row[3] for row in got)
+    assert got == sorted(map(tuple, entry.queries()["tracks"](spark, str(tmp_path)).select(out.columns).collect()), key=repr)
+
+
+def test_interruptions_of_listed_codes_alone(spark, tmp_path):
+    rows = [(1, code, i, t, 5.0, 5.0, 0.5) for i, (code, t) in enumerate((code, t) for code in ("a", "b", None) for t in (0, 500, 1_000))]
+    df = spark.createDataFrame(rows, "session_id long, code string, det_id long, t_ms long, x double, y double, score double")
+    stops = spark.createDataFrame([(1, 500, 0)], "session_id long, t_ms long, n int")
+    for number, (codes, cut) in enumerate(((["a"], {"a"}), ([None, "b"], {None, "b"}), ([], set()), (None, {"a", "b", None}))):
+        folder = f"{tmp_path}/{number}"
+        out = run(track_stream(feed(spark, df, f"{folder}/in"), feed(spark, stops, f"{folder}/stops"), codes), f"listed_{number}").filter("session_id >= 0")
+        whole = {(code, i if code in cut else 3 * (i // 3)) for i, (_, code, *_) in enumerate(rows) if not (code in cut and i % 3 == 1)}
+        assert {(r.code, r.track_id) for r in out.collect()} == whole and out.count() == 9 - len(cut)
